@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,30 @@ BLANKS = b" \t\n\x0b\x0c\r"
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; also bounds the Arrow batches that Python workers of this session get."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they may not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        at = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
