@@ -27,11 +27,16 @@ _shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; also bounds the Arrow batches that Python workers of this session get."""
+    """A driver table, in a session that is prepared."""
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the Python workers this package, and bound the Arrow batches they get."""
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _ship(spark: SparkSession) -> None:

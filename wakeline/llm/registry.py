@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import quality_rules, sentencepiece_bpe
+from . import html_text, mixing, near_dup, quality_rules, secret_scan, sentencepiece_bpe
 
-MODULES = (quality_rules, sentencepiece_bpe)
+MODULES = (quality_rules, sentencepiece_bpe, mixing, near_dup, secret_scan, html_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
