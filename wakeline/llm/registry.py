@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import html_text, imatch, mixing, near_dup, quality_rules, secret_scan, sentencepiece_bpe
+from . import html_text, imatch, language_id, mixing, near_dup, pu_quality, quality_rules, secret_scan, sentencepiece_bpe, toxicity
 
-MODULES = (quality_rules, sentencepiece_bpe, imatch, mixing, near_dup, secret_scan, html_text)
+MODULES = (quality_rules, sentencepiece_bpe, imatch, mixing, near_dup, language_id, toxicity, pu_quality, secret_scan, html_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
