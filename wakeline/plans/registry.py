@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import track_queries
+
+MODULES = (track_queries,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
