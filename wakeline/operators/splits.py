@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 NAMES = ("train", "val", "test")
 RATIOS = (0.70, 0.15, 0.15)
 
@@ -17,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", save=None) -> DataF
     Each round goes to the checkpoint folder of the session (or through ``save``), which also cuts the lineage; it
     takes a logarithmic number of rounds. Components never reach the driver.
     """
-    save = save or (lambda df: df.checkpoint())
+    save = save or session.checkpoint
     at = save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     last = None
     while True:
@@ -131,8 +133,9 @@ def near_duplicate_hashes(items: DataFrame, hash_col: str, id_col: str, radius:
     Equal hashes are one class and are linked to its first id alone; the classes are compared within bands. A bucket
     that many classes share is joined by the class and the band value, which AQE splits if it is large.
     """
-    classes = items.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
-    same = items.join(classes, F.col(hash_col) == F.col("h")).where(F.col(id_col) != F.col("id")).select(F.col("id").alias("a"), F.col(id_col).alias("b"), F.lit(0).alias("distance"))
+    items = items.select(F.col(hash_col).alias("h"), F.col(id_col).alias("item")).where("h is not null")
+    classes = items.groupBy("h").agg(F.min("item").alias("id"))
+    same = items.join(classes, "h").where("item <> id").select(F.col("id").alias("a"), F.col("item").alias("b"), F.lit(0).alias("distance"))
     banded = classes.select("id", "h", F.explode(hash_bands("h")).alias("k")).select("id", "h", "k.band", "k.value")
     x, y = banded.alias("x"), banded.alias("y")
     d = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import track_queries
+from . import model_queries, track_queries
 
-MODULES = (track_queries,)
+MODULES = (track_queries, model_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
