@@ -158,9 +158,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_co
     return out.withColumn(text_col, F.col("__clean")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _count(spans: str, k: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("secret_spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(RULES) if r.base]
+    count = [_count("secret_spans", k).alias(f"n_{r.kind}") for k, r in enumerate(RULES) if r.base]
     return found.select("doc_id", *count, F.sha2(written("secret_spans", base=True), 256).alias("base_sha256"), written("secret_spans").alias("spans"))
 
 
