@@ -42,7 +42,7 @@ def plain(word: str) -> str:
 def unmasked(word: str) -> str:
     """A word as it reads without digits for letters, inner marks and drawn-out letters; '' if it has none of these."""
     w = word.lower()
-    core = "".join(c for c in w.strip(".,;:?\"'()").translate(_LEET) if c.isalpha())
+    core = "".join(c for c in w.strip(".,;:?!\"'()").translate(_LEET) if c.isalpha())
     core = _RUN.sub(r"\1", core)
     return core if len(core) > 2 and core != plain(word) else ""
 
