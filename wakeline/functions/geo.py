@@ -145,3 +145,9 @@ def yolo_box(x, y, w, h, width, height) -> Column:
 def hamming(a, b) -> Column:
     """Differing bits of two 64-bit hashes."""
     return F.bit_count(col(a).bitwiseXOR(col(b)))
+
+
+def overlay_bands(height, top: float = 0.06, bottom: float = 0.06) -> Column:
+    """struct(y0, y1): the rows of an image between its caption bands, whose heights are shares of its own."""
+    h = col(height)
+    return F.struct(F.bround(h * top, 0).cast("int").alias("y0"), (h - F.bround(h * bottom, 0)).cast("int").alias("y1"))

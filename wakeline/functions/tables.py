@@ -64,4 +64,25 @@ def quantiles(column: str, shares: Sequence[float], names: Sequence[str]) -> lis
 
 
 def percent_text(rate: str) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", F.col(rate) * 100), F.lit("-"))
+    return F.when(F.col(rate).isNull(), "-").otherwise(F.format_string("%.1f%%", F.col(rate) * 100))
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join that fails while it runs if a key occurs twice on either side, or only on one."""
+    a = left.groupBy(*on).agg(F.count("*").alias("_l"), F.first(F.struct(*[c for c in left.columns if c not in on])).alias("_a"))
+    b = right.groupBy(*on).agg(F.count("*").alias("_r"), F.first(F.struct(*[c for c in right.columns if c not in on])).alias("_b"))
+    ok = (F.coalesce(F.col("_l"), F.lit(0)) == 1) & (F.coalesce(F.col("_r"), F.lit(0)) == 1)
+    both = a.join(b, list(on), "full_outer").where(F.when(ok, True).otherwise(F.raise_error(F.lit("join is not one to one")).cast("boolean")))
+    return both.select(*on, "_a.*", "_b.*")
+
+
+def attach(rows: DataFrame, other: DataFrame, on: Sequence[str], fill: Sequence[str] = ()) -> DataFrame:
+    """Left join; the columns in fill, which both sides have, take the left value and else the right."""
+    right = other.select(*on, *[F.col(c).alias(f"_r_{c}") for c in fill], *[c for c in other.columns if c not in on and c not in rows.columns])
+    out = rows.join(right, list(on), "left")
+    return out.withColumns({c: F.coalesce(c, f"_r_{c}") for c in fill}).drop(*[f"_r_{c}" for c in fill]) if fill else out
+
+
+def smoke(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """At most n rows for a trial run: those with the smallest hash of the key, the same ones each time."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

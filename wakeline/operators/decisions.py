@@ -103,3 +103,17 @@ def swap_pairs(classes: DataFrame, column: str = "class") -> DataFrame:
 def fast_and_straight(min_sog: float = 30.0, min_straightness: float = 0.95) -> Column:
     band = (F.col("sog_p95") >= min_sog) & (F.col("straightness") >= min_straightness) & F.col("window_complete") & (F.col("role") == "benign")
     return F.coalesce(band, F.lit(False))
+
+
+def resolve_window(requested: str, available: str, primary: Column | int) -> Column:
+    """The longest requested window that has a model, else the primary one. Both columns are arrays of seconds."""
+    both = F.array_intersect(F.coalesce(F.col(requested), F.array().cast("array<int>")), F.col(available))
+    return F.coalesce(F.array_max(both), primary if isinstance(primary, Column) else F.lit(primary))
+
+
+def first_flag(checks: DataFrame, by: Sequence[str], t: str = "t_check", range_col: str = "range_nm") -> DataFrame:
+    """From scored checkpoints (growing prefixes of a track): the first flag's time and range, NULL if there is none."""
+    flag = F.col("action") == "flag"
+    return checks.groupBy(*by).agg(
+        F.count_if(flag).cast("boolean").alias("flagged"), F.min(F.when(flag, F.col(t))).alias("t_flag"), F.min_by(range_col, F.when(flag, F.col(t))).alias("range_flag_nm"), F.count("*").alias("n_checkpoints")
+    )
