@@ -168,5 +168,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(written("secret_spans", base=True), 256).alias("base_sha256"), written("secret_spans").alias("spans"))
 
 
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The result of op9 in DuckDB: every text scanned with every rule."""
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS k, '{r.kind}' AS kind, unnest(list_transform(range(1, len(f) + 1), lambda i: {{'a': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0), 'n': length(f[i]), 'c': length(v[i])}})) AS m
+ FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS f, regexp_extract_all(t, '{p}', {r.group}) AS v FROM texts) WHERE len(f) > 0"""
+        for k, r in enumerate(rules)
+        for p in [r.pattern.replace("'", "''")]
+    )
+    base = [(k, r.kind) for k, r in enumerate(rules) if r.base]
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(rules))
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+spans AS (SELECT doc_id, k, kind, m.a AS a, m.a + m.n AS b FROM found WHERE m.c >= CASE k {least} END),
+agg AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{n}" for k, n in base)}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k <= {base[-1][0]}) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for _, n in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN agg USING (doc_id)"""
+
+
 QUERIES = {"op9_secret_scan": op9_secret_scan}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op9_secret_scan": _sql()}
