@@ -1,7 +1,8 @@
 """Point streams: cleaning, de-duplication, teleport removal, thinning, segmentation into trips, features, windows.
 
-All window steps partition by vessel, so that one shuffle by vessel serves the whole chain; keys with a large share of
-the rows (unknown vessels) can be salted away with ``split_unknown`` before.
+All window steps partition by vessel, so that one shuffle by vessel serves the whole chain. The order of a vessel's points
+is what the steps are about, so a vessel stays in one task, which spills; vessels without an identity (mmsi 0) are dealt
+out by ``apart`` before, where their points are not one track.
 """
 
 from __future__ import annotations
@@ -49,6 +50,13 @@ def sentinels_to_null(df: DataFrame, sog: str | None = "sog", angles: Sequence[s
     return df.withColumns(new) if new else df
 
 
+def apart(points: DataFrame, parts: int, key: str = "mmsi", unknown: Sequence[int] = (0,), cell: str | None = None) -> DataFrame:
+    """Negative stand-in keys for points without an identity, by a hash of a cell (or of the fix itself): points of many
+    vessels under one number are no track, and would be one task."""
+    spread = F.pmod(F.xxhash64(*([cell] if cell else [c for c in ("lat", "lon") if c in points.columns])), F.lit(parts))
+    return points.withColumn(key, F.when(F.col(key).isin(list(unknown)), -1 - spread).otherwise(F.col(key)))
+
+
 def first_of_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by an explicit order (the order of ingest), so that the choice can be repeated."""
     w = Window.partitionBy(*keys).orderBy(*order)
