@@ -7,23 +7,21 @@ the same as ``[^\\x20\\x09-\\x0D]+`` over code points.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
+
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 _made: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,35 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Give the Python workers this package, and bound the Arrow batches they get."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def _ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application: they may not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        at = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(at))
-        _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="wakeline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and lost executors lose nothing.
 
@@ -77,12 +51,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialize() made and nothing will read again."""
+    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for spark, path in [m for m in _made if any(n.endswith(m[1].split("://")[-1].rstrip("/")) for n in names)]:
+        _remove(spark, path)
+        _made.remove((spark, path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clear() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone by now, and its folders with it
             return
 

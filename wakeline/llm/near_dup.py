@@ -11,7 +11,7 @@ No pair inside a group is emitted without need:
 2. each class is tried against the smallest id of each of its buckets (a star, linear in the bucket);
 3. confirmed links give components; only buckets that still hold several components go on, and there only pairs from
    different components whose sizes and signatures allow the similarity (estimate at least ``threshold - SLACK``,
-   five standard deviations below it);
+   five standard deviations below it) are confirmed inside the join, so that links alone leave it;
 4. every link is confirmed on the full shingle sets, and components are taken again.
 
 Links, components and sets stay in tables in the shared folder; nothing but counts reaches the driver.
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import splits
 from . import common
 
 BANDS = 24
 PERMUTATIONS = 2 * BANDS
+SKETCH_LONGS = -(-2 * PERMUTATIONS // 7)
 SLACK = 0.2
 #: A list of ids is broadcast up to this many rows (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -52,6 +54,13 @@ def minmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return common.mix(lo), common.mix(hi)
 
 
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Bytes as longs of seven bytes each; the eighth stays zero, so that sums cannot overflow."""
+    rows = np.zeros((-(-len(values) // 7), 8), np.uint8)
+    rows[:, :7] = np.pad(values, (0, -len(values) % 7)).reshape(-1, 7)
+    return rows.reshape(-1).view(np.int64)
+
+
 def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
     hashes, at = common.batch_words([t.lower() for t in texts])
     return [common.shingles(hashes[at[i] : at[i + 1]], k) for i in range(len(texts))]
@@ -78,7 +87,7 @@ def signatures(texts: list[bytes], k: int) -> list[pa.Array]:
         for x in (hi[0::2], lo[1::2], hi[1::2]):
             h = common.mix(h * np.uint64(0x100000001B3) ^ x)
         bands.append(h.view(np.int64))
-        sketch.append(np.concatenate((lo, hi)).astype(np.uint8).view(np.int64))
+        sketch.append(_packed(np.concatenate((lo, hi)).astype(np.uint8)))
     return [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _long_lists(bands), _long_lists(sketch)]
 
 
@@ -89,34 +98,39 @@ def only_ids(docs: DataFrame, ids: DataFrame, n: int, id_col: str, how: str = "l
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id of the component of each id that has an edge (a, b), by alternating stars.
-
-    Large star: neighbours above u go to the smallest neighbour of u. Small star: the same for those below. Each round
-    is written to the shared folder; it ends when a round changes nothing.
-    """
-    at = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    at, last = common.materialize(at, "edges"), None
-    while True:
-        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        at = common.materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    pairs = at.groupBy("u").agg(F.min("v").alias("v"))
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
+    """(id, comp): the smallest id of each component of the edges (a, b); the rounds stay in the shared folder."""
+    made: list[DataFrame] = []
+
+    def save(df: DataFrame) -> DataFrame:
+        made.append(common.materialize(df, "star"))
+        return made[-1]
+
+    out = common.materialize(splits.components(edges, save=save).withColumnRenamed("group_id", "comp"), "components")
+    for df in made:
+        common.discard(df)
+    return out
+
+
+def _similar(a: str, b: str, percent: int):
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_similar("sa", "sb", percent)).select("a", "b")
+
+
+def _first_common(a: str, b: str):
+    """Whether a row's bucket is the first that the two documents share."""
+    first = None
+    for i in reversed(range(BANDS)):
+        one = F.col(f"{a}.b{i}")
+        same = one == F.col(f"{b}.b{i}")
+        first = F.when(same, one) if first is None else F.when(same, one).otherwise(first)
+    return F.col(f"{a}.bucket") == first
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -143,18 +157,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"), "n").distinct()
     star = star.join(sizes, star["b"] == sizes["centre"]).where(able("n", "nc")).select("a", "b")
     links = common.materialize(_confirm(star, sets, percent), "links")
-    first = common.materialize(components(links), "components")
+    first = components(links)
 
     placed = members.select("bucket", "rep", "n").join(first, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-    placed = common.materialize(placed.join(open_, "bucket").join(reps.select("rep", "sketch"), "rep"), "open")
+    wide = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(BANDS)] + [F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(SKETCH_LONGS)]
+    held = reps.select("rep", *wide).join(sets.select(F.col("id").alias("rep"), "s"), "rep")
+    placed = common.materialize(placed.join(open_, "bucket").join(held, "rep"), "open")
     x, y = placed.alias("x"), placed.alias("y")
-    least_equal = int(2 * PERMUTATIONS * (percent / 100 - SLACK))
-    alike = _equal_bytes("x.sketch", "y.sketch") >= least_equal
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & able("x.n", "y.n") & alike)
-    cross = cross.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    more = common.materialize(_confirm(cross, sets, percent), "links2")
-    final = common.materialize(components(links.unionByName(more)), "components2")
+    most_unequal = 2 * PERMUTATIONS - int(2 * PERMUTATIONS * (percent / 100 - SLACK))
+    # each pair is tried in the first bucket that it shares, cheapest tests first, so only links leave the join
+    fits = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & able("x.n", "y.n")
+    fits = fits & (_unequal("x", "y") <= most_unequal) & _first_common("x", "y") & _similar("x.s", "y.s", percent)
+    more = x.join(y, fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    more = common.materialize(more, "links2")
+    final = components(links.unionByName(more))
 
     classes = reps.join(final, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.col("n").alias("n_"), F.coalesce("comp", "rep").alias("comp"))
     out = sig.join(classes, (sig["k1"] == classes["k1"]) & (sig["k2"] == classes["k2"]) & (sig["n"] == classes["n_"]), "left")
@@ -162,14 +179,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def _equal_bytes(a: str, b: str):
-    """How many bytes of two sketches (arrays of 12 longs) are equal, as long arithmetic inside generated code."""
-    total = F.lit(0)
-    for i in range(2 * PERMUTATIONS // 8):
-        v = F.col(a).getItem(i).bitwiseXOR(F.col(b).getItem(i))
-        for shift in (4, 2, 1):  # the lowest bit of each byte gets the OR of its bits
-            v = v.bitwiseOR(F.shiftrightunsigned(v, shift))
-        total = total + 8 - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+def _unequal(a: str, b: str):
+    """How many of the sketches' bytes differ. Each long holds seven; adding 0x7F to the low bits of a byte that is not
+    zero sets its high bit. Plain columns keep the join's generated code small enough to be compiled."""
+    low, high, total = 0x007F7F7F7F7F7F7F, 0x0080808080808080, F.lit(0)
+    for i in range(SKETCH_LONGS):
+        v = F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))
+        total = total + F.bit_count((v.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(v).bitwiseAND(F.lit(high)))
     return total
 
 
@@ -194,4 +210,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_minhash": op5_minhash}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_minhash": """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * m >= 80 * (p.n + q.n - m)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+low AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(c, doc_id)) AS kept FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN low ON low.a = doc_id"""
+}
