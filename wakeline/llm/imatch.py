@@ -58,27 +58,29 @@ def _slots(words: list[int]) -> Column:
 def banded(found: Column, words: list[int]) -> Column:
     """The sorted terms that are in the lexicon."""
     slots = _slots(words)
-    return F.array_sort(F.filter(found, lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
+    return F.sort_array(F.filter(found, lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
 
 
-def _subsets(inside: Column, rate: int) -> Column:
-    """Hashes of the sorted terms in each of PER_RATE subsets, each of which holds one in ``rate`` of the lexicon."""
+def _cells(inside: str, rate: int) -> Column:
+    """(subset, term) of the sorted lexicon terms that fall in one of PER_RATE subsets, each with one term in ``rate``."""
     cells = F.transform(inside, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(rate), t), F.lit(rate)).cast("int").alias("c"), t.alias("t")))
-    cells = F.filter(cells, lambda x: x["c"] < PER_RATE)
+    return F.filter(cells, lambda x: x["c"] < PER_RATE)
 
-    def subset(j: Column) -> Column:
-        held = F.transform(F.filter(cells, lambda x: x["c"] == j), lambda x: x["t"])
-        return F.when(F.size(held) > 0, F.substring(F.lpad(F.hex(F.xxhash64(held)), 16, "0"), 9, 8))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(PER_RATE - 1)), subset)
+def _subset(cells: str, j: int) -> Column:
+    held = F.transform(F.filter(cells, lambda x: x["c"] == j), lambda x: x["t"])
+    return F.when(F.size(held) > 0, F.substring(F.lpad(F.hex(F.xxhash64(held)), 16, "0"), 9, 8))
 
 
-def codes(inside: Column, found: Column) -> Column:
-    """array<string>: the hash of all terms inside the lexicon, then one per subset; null where a subset holds none."""
-    whole = F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside))).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64(F.array_sort(found)))))
-    parts = [F.array(F.lpad(whole, 17, "0"))]
-    parts += [_subsets(inside, rate) for rate in RATES]
-    return F.concat(*parts)
+def with_codes(rows: DataFrame, inside: str, found: str, out: str) -> DataFrame:
+    """rows with array<string>: the hash of all terms inside the lexicon, then one per subset; null where a subset holds
+    none. Subsets are unrolled over a column of cells: inside a lambda the cells would be made again for each."""
+    whole = F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside))).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64(F.sort_array(found)))))
+    rest = [c for c in rows.columns if c not in (inside, found)]
+    made = {f"{out}_{r}": _cells(inside, r) for r in RATES}
+    rows = rows.select(*rest, F.lpad(whole, 17, "0").alias(f"{out}_all"), *[c.alias(k) for k, c in made.items()])
+    parts = [_subset(k, j) for k in made for j in range(PER_RATE)]
+    return rows.select(*rest, F.array(F.col(f"{out}_all"), *parts).alias(out))
 
 
 def fingerprint(c: str) -> Column:
@@ -141,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select(*keys, F.char_length("text").cast("long").alias("n_chars"), "text", edited().alias("edited"))
     rows = rows.select(*keys, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("t"), terms(F.col("edited")).alias("e"))
     rows = rows.select("*", banded(F.col("t"), words).alias("ti"), banded(F.col("e"), words).alias("ei"))
-    rows = rows.select(*keys, "n_chars", "edited_sha256", codes(F.col("ti"), F.col("t")).alias("c"), codes(F.col("ei"), F.col("e")).alias("d"))
+    rows = with_codes(with_codes(rows, "ti", "t", "c"), "ei", "e", "d")
     rows = rows.withColumn("nc", F.lead("c").over(order)).where("not ghost")
     return rows.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint("c").alias("fingerprint"), fingerprint("d").alias("edited_fingerprint"),
