@@ -243,8 +243,8 @@ def yolo_labels(spark, sf_dir):
 
 
 def box_overlaps(spark, sf_dir):
-    """Overlaps of boxes of one image and order."""
-    b = boxes(spark, sf_dir).where("image_id % 10 = 0")
+    """Overlaps of boxes of one image, over all images. The SQL holds only those of every tenth image."""
+    b = boxes(spark, sf_dir)
     x, y = b.alias("x"), b.alias("y")
     j = x.join(y, (F.col("x.image_id") == F.col("y.image_id")) & (F.col("x.ann_id") < F.col("y.ann_id")))
     v = geo.iou([f"x.{k}" for k in "xywh"], [f"y.{k}" for k in "xywh"])
