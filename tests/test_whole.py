@@ -21,3 +21,35 @@ def test_overlaps_of_all_images(spark):
                 want.append((a[0], b[0], v))
     got = sorted((r.a, r.b, r.iou) for r in model_queries.box_overlaps(spark, DIR).collect())
     assert len(got) == len(want) and np.allclose(np.array(got), np.array(sorted(want)), rtol=0, atol=1e-6)
+
+
+def embeddings(spark):
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").collect()
+    return [r.vec_id for r in rows], np.array([r.label for r in rows]), np.array([r.embedding for r in rows], float)
+
+
+def test_all_components_are_features(spark):
+    ids, labels, x = embeddings(spark)
+    assert x.shape[1] == 64
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = {r.row_id: r.score for r in model_queries.diagonal_score(spark, DIR).collect()}
+    assert all(abs(got[i] - v) < 1e-4 for i, v in zip(ids, (z**2).sum(axis=1), strict=True))
+    got = {r.row_id: r for r in model_queries.standardize(spark, DIR).collect()}
+    for k in set(labels):
+        part = x[labels == k]
+        std = part.std(axis=0)
+        z = (part - part.mean(axis=0)) / np.where(std > 0, std, 1.0)
+        for i, v in zip(np.array(ids)[labels == k], z, strict=True):
+            assert np.allclose([got[i][f"f{j}"] for j in range(64)], v, atol=2e-5)
+
+
+def test_an_abnormal_late_component_raises_the_scores(spark, tmp_path):
+    x = np.random.default_rng(0).normal(0, 1, (600, 64))
+    odd = np.arange(9, 600, 100)  # test rows
+    x[odd, 63] = 40.0
+    data = [(i, i % 4, v) for i, v in enumerate(x.tolist())]
+    spark.createDataFrame(data, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for f in (model_queries.mahalanobis_score, model_queries.gmm_score):
+        got = {r.row_id: r.score for r in f(spark, str(tmp_path)).collect()}
+        usual = max(v for i, v in got.items() if i not in odd)
+        assert len(got) == 600 and all(got[i] > usual for i in odd)

@@ -188,17 +188,18 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
 
     At most max_rows rows per group and split (those with the smallest hash of ``order``) reach the fitting task.
     """
-    rows = rows.na.drop(subset=list(features)).where(F.col(split).isin("train", "val"))
+    # one array: a filter over many columns makes the optimizer infer constraints for minutes
+    rows = rows.where(F.col(split).isin("train", "val")).select(*by, split, order, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    rows = rows.where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
     counts = rows.groupBy(*by, split).count()
     unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
     rows = rows.join(F.broadcast(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
-    rows = rows.select(*by, split, order, *[F.col(f).cast("double") for f in features])
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    names, chosen, keys = list(features), list(families), list(by)
+    d, chosen, keys = len(features), list(families), list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        train, val = (pdf.loc[pdf[split] == s, names].to_numpy(float) for s in ("train", "val"))
+        train, val = (np.array(pdf.loc[pdf[split] == s, "_x"].tolist(), float).reshape(-1, d) for s in ("train", "val"))
         out = []
         if len(train) >= min_rows:
             for f in chosen:

@@ -14,6 +14,7 @@ from ..session import ship
 from ..sources import writers
 from .track_queries import PTS, points, rounded
 
+#: Components in the SQL of diagonal_score; the queries use all of a vector.
 DIMENSIONS = 8
 
 
@@ -26,19 +27,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vectors(spark, sf_dir):
-    """Embeddings as rows of features f0..f7 with a group (label) and a split by id."""
+    """Embeddings as rows of features f0, f1, ..., one per component, with a group (label) and a split by id; and the features."""
     e = read(spark, sf_dir, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    features = [f"f{i}" for i in range(size)]
     split = F.when(F.col("vec_id") % 10 < 7, "train").when(F.col("vec_id") % 10 < 9, "val").otherwise("test")
-    return e.select(F.col("vec_id").alias("row_id"), "label", split.alias("split"), *[F.col("embedding").getItem(i).cast("double").alias(f"f{i}") for i in range(DIMENSIONS)])
-
-
-FEATURES = [f"f{i}" for i in range(DIMENSIONS)]
+    return e.select(F.col("vec_id").alias("row_id"), "label", split.alias("split"), *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(features)]), features
 
 
 def _fit_score(spark, sf_dir, family):
-    v = vectors(spark, sf_dir).withColumn("envelope", F.concat(F.lit("e"), (F.col("label") % 2).cast("string")))
-    registry = models.fit_models(v, ["envelope"], FEATURES, [family], min_rows=20)
-    return rounded(models.score_rows(v, registry, ["envelope"], FEATURES, family).select("row_id", "envelope", "split", "score"))
+    v, features = vectors(spark, sf_dir)
+    v = v.withColumn("envelope", F.concat(F.lit("e"), (F.col("label") % 2).cast("string")))
+    registry = models.fit_models(v, ["envelope"], features, [family], min_rows=20)
+    return rounded(models.score_rows(v, registry, ["envelope"], features, family).select("row_id", "envelope", "split", "score"))
 
 
 def mahalanobis_score(spark, sf_dir):
@@ -56,13 +57,15 @@ def isolation_forest(spark, sf_dir):
 
 def diagonal_score(spark, sf_dir):
     """Sum of squared standardised features: the diagonal variant, within the plan alone."""
-    v = models.standardized(vectors(spark, sf_dir), FEATURES)
-    return rounded(v.select("row_id", sum((F.col(f) * F.col(f) for f in FEATURES), F.lit(0.0)).alias("score")), 5)
+    v, features = vectors(spark, sf_dir)
+    v = models.standardized(v, features)
+    return rounded(v.select("row_id", sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)).alias("score")), 5)
 
 
 def standardize(spark, sf_dir):
-    v = models.standardized(vectors(spark, sf_dir), FEATURES[:3], ["label"])
-    return rounded(v.select("row_id", "label", *FEATURES[:3]), 5)
+    v, features = vectors(spark, sf_dir)
+    v = models.standardized(v, features, ["label"])
+    return rounded(v.select("row_id", "label", *features), 5)
 
 
 def scored(spark, sf_dir):
