@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 
+from wakeline.llm import toxicity
 from wakeline.plans import model_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -53,3 +54,13 @@ def test_an_abnormal_late_component_raises_the_scores(spark, tmp_path):
         got = {r.row_id: r.score for r in f(spark, str(tmp_path)).collect()}
         usual = max(v for i, v in got.items() if i not in odd)
         assert len(got) == 600 and all(got[i] > usual for i in odd)
+
+
+def test_nearness_to_second_person_words_in_long_texts():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        hits, you = (sorted(rng.choice(80, rng.integers(0, 12), replace=False).tolist()) for _ in range(2))
+        assert toxicity.nearby(hits, you) == sum(any(abs(i - j) <= 4 for j in you) for i in hits)
+    words = toxicity.Words({"idiot": 3.0})
+    short, long_ = toxicity.features(["you idiot " * 10, "you idiot " * 2000], words)
+    assert short[11] == long_[11] == 0.5

@@ -92,6 +92,11 @@ class Words(dict):
         return got
 
 
+def nearby(hits: list[int], you: list[int], reach: int = 4) -> int:
+    """How many hits have a second-person word at most ``reach`` words away; both in ascending order."""
+    return int((np.searchsorted(you, np.array(hits) + reach, "right") > np.searchsorted(you, np.array(hits) - reach, "left")).sum()) if hits and you else 0
+
+
 def features(texts: list[str], words: Words) -> np.ndarray:
     rows = []
     for text in texts:
@@ -100,7 +105,7 @@ def features(texts: list[str], words: Words) -> np.ndarray:
         n = max(len(parts), 1)
         hits = [(i, max(c[0], c[1], c[2])) for i, c in found if c[0] or c[1] or c[2]]
         you = [i for i, c in found if c[3]]
-        near = sum(any(abs(i - j) <= 4 for j in you) for i, _ in hits) if you and len(you) * len(hits) <= 1_000_000 else 0.0
+        near = nearby([i for i, _ in hits], you)
         raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=128)
         chars = max(int(raw.sum()), 1)
         marks = raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()
