@@ -1,10 +1,13 @@
 """Queries and operators over all their rows, groups and features, by brute force."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wakeline.llm import toxicity
+from wakeline.operators import splits
 from wakeline.plans import model_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -64,3 +67,27 @@ def test_nearness_to_second_person_words_in_long_texts():
     words = toxicity.Words({"idiot": 3.0})
     short, long_ = toxicity.features(["you idiot " * 10, "you idiot " * 2000], words)
     assert short[11] == long_[11] == 0.5
+
+
+def test_splits_follow_one_rule_at_every_number_of_groups(spark):
+    rng = np.random.default_rng(0)
+    for hot, classes in ((1500, None), (0, "c"), (40, "c")):
+        n = [hot] * (hot > 0) + rng.integers(1, 6, 300).tolist()
+        data = [(g, "rare" if g in (7, 50, 90, 200) else f"c{g % 3}", g == 5) for g, k in enumerate(n) for _ in range(k)]
+        items = spark.createDataFrame(data, "g long, c string, fixed boolean")
+        near, far = ({r.g: r.split for r in splits.assign_splits(items, "g", max_groups=m, train_only=F.col("fixed"), classes=classes).distinct().collect()} for m in (1000, 0))
+        assert near == far and len(far) == len(n)
+        if classes:
+            assert {far[g] for g in (7, 50, 90, 200)} == {"train", "val", "test"}
+
+
+def test_runs_equal_the_greedy_pass():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = dict(enumerate(np.minimum(rng.zipf(1.6, rng.integers(1, 300)), 500).tolist()))
+        order = sorted(sizes, key=lambda g: (-sizes[g], str(g)))
+        counts = Counter(sizes[g] for g in order)
+        runs = splits._runs(list(counts.items()), {n: sum(sizes.values()) * r for n, r in zip(splits.NAMES, splits.RATIOS)})
+        dealt = [names[i % len(names)] for _, a, b, names in runs for i in range(b - a)]
+        want = splits.greedy_split(sizes)
+        assert dealt == [want[g] for g in order]

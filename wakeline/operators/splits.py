@@ -80,30 +80,95 @@ def greedy_split(sizes: dict, ratios: Sequence[float] = RATIOS, classes: dict |
     return out
 
 
-def hashed_split(key: Column, ratios: Sequence[float] = RATIOS, names: Sequence[str] = NAMES, seed: int = 1337) -> Column:
-    """Split of a key by its hash: what takes the place of the greedy pass where groups are too many for the driver."""
-    unit = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    out, top = None, 0.0
-    for n, r in list(zip(names, ratios, strict=True))[:-1]:
-        top += r
-        out = F.when(unit < top, n) if out is None else out.when(unit < top, n)
-    return out.otherwise(names[-1])
-
-
-def assign_splits(items: DataFrame, group: str, ratios: Sequence[float] = RATIOS, max_groups: int = 200_000, train_only: Column | None = None) -> DataFrame:
-    """items with split: whole groups; groups with a train_only row go to train. Greedy up to max_groups groups (their
-    sizes are small integers on the driver), by hash beyond."""
+def _runs(counts: Sequence, missing: dict) -> list[tuple]:
+    """The greedy pass over (size, number of groups), largest first, as runs (size, first rank, end, names): within a run
+    the groups of a size take the names in turn. A size has a few runs, however many groups it has."""
+    names, out = list(missing), []
+    for size, m in counts:
+        at = 0
+        while at < m:
+            ahead = [max(names, key=lambda n: missing[n])]
+            if m - at >= 2 * len(names):
+                # what is within one size of the top takes turns; the rest waits until the top comes down to it
+                top = missing[ahead[0]]
+                ahead = sorted((n for n in names if missing[n] > top - size), key=lambda n: (-missing[n], names.index(n)))
+                waits = [missing[n] for n in names if n not in ahead]
+                low = missing[ahead[-1]]
+                rounds = (m - at) // len(ahead) if not waits else min((m - at) // len(ahead), max(int((low - max(waits)) // size) - 1, 0))
+                if rounds < 1:
+                    ahead, rounds = ahead[:1], 1
+            else:
+                rounds = 1
+            out.append((size, at, at + rounds * len(ahead), ahead))
+            for n in ahead:
+                missing[n] -= rounds * size
+            at += rounds * len(ahead)
+    return out
+
+
+def _covering(held: DataFrame, group: str) -> dict:
+    """Groups that the coverage pass places, from (group, n, classes). A class needs at most as many candidates as all
+    classes together can place, and three: its smallest ones."""
+    one = held.select(group, "n", F.explode("classes").alias("c"))
+    spans = {r.c: r["count"] for r in one.groupBy("c").count().collect()}
+    most = len(NAMES) * (len(spans) + 1)
+    order = Window.partitionBy("c").orderBy("n", F.col(group).cast("string"))
+    near = one.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(group).distinct()
+    found = held.join(near, group, "left_semi").collect()
+    sizes, by_class, out = {r[group]: r["n"] for r in found}, {}, {}
+    for r in found:
+        for c in r["classes"]:
+            by_class.setdefault(c, []).append(r[group])
+    for c in sorted(spans, key=lambda c: (spans[c], str(c))):
+        if spans[c] >= len(NAMES):
+            free = sorted((g for g in by_class[c] if g not in out), key=lambda g: (sizes[g], str(g)))
+            for n in NAMES:
+                if free and not any(out.get(g) == n for g in by_class[c]):
+                    out[free.pop(0)] = n
+    return {g: (n, sizes[g]) for g, n in out.items()}
+
+
+def assign_splits(items: DataFrame, group: str, ratios: Sequence[float] = RATIOS, max_groups: int = 200_000, train_only: Column | None = None, classes: str | None = None, save=None) -> DataFrame:
+    """items with split: whole groups; groups with a train_only row go to train, others by ``greedy_split``, with its
+    coverage of the values of the column ``classes``.
+
+    Up to max_groups groups are placed on the driver. Beyond, the same rule runs over the sizes and how many groups have
+    each (at most the root of twice the rows), and groups find their place by their rank within their size.
+    """
     flag = F.max(train_only).alias("_t") if train_only is not None else F.max(F.lit(False)).alias("_t")
-    sizes = items.groupBy(group).agg(F.count("*").alias("n"), flag)
-    n = sizes.count()
-    if n > max_groups:
-        return items.join(sizes.select(group, "_t"), group).withColumn("split", F.when(F.col("_t"), "train").otherwise(hashed_split(F.col(group), ratios))).drop("_t")
-    rows = sizes.collect()
-    held = {r[group]: "train" for r in rows if r["_t"]}
-    free = greedy_split({r[group]: r["n"] for r in rows if not r["_t"]}, ratios)
-    kind = items.schema[group].dataType.simpleString()
-    table = items.sparkSession.createDataFrame(list({**held, **free}.items()) or [], f"`{group}` {kind}, split string")
-    return items.join(F.broadcast(table), group)
+    seen = F.collect_set(classes).alias("classes") if classes else F.max(F.lit(None).cast("array<string>")).alias("classes")
+    sizes = items.groupBy(group).agg(F.count("*").alias("n"), flag, seen)
+    kind, spark = items.schema[group].dataType.simpleString(), items.sparkSession
+    if sizes.count() <= max_groups:
+        rows = sizes.collect()
+        held = {r[group]: "train" for r in rows if r["_t"]}
+        free = greedy_split({r[group]: r["n"] for r in rows if not r["_t"]}, ratios, {r[group]: sorted(r["classes"], key=str) for r in rows if not r["_t"]} if classes else None)
+        table = spark.createDataFrame(list({**held, **free}.items()) or [], f"`{group}` {kind}, split string")
+        return items.join(F.broadcast(table), group)
+    save = save or session.checkpoint
+    # neighbours in (size, group) lie in one partition or in the next, so ranks within a size need only counts by partition
+    sizes = sizes.where(F.col(group).isNotNull()).withColumn("_g", F.col(group).cast("string"))
+    sizes = save(sizes.repartitionByRange(F.desc("n"), "_g").withColumn("_p", F.spark_partition_id()))
+    rest = sizes.where("_t is null or not _t")
+    total = rest.agg(F.sum("n")).first()[0] or 0
+    missing = {n: total * r for n, r in zip(NAMES, ratios, strict=True)}
+    placed = _covering(rest, group) if classes else {}
+    for n, size in placed.values():
+        missing[n] -= size
+    done = spark.createDataFrame([(g, n) for g, (n, _) in placed.items()], f"`{group}` {kind}, split string")
+    rest = rest.join(F.broadcast(done), group, "left_anti").select(group, "n", "_g", "_p")
+    parts = sorted(((-r.n, r._p, r["count"]) for r in rest.groupBy("n", "_p").count().collect()))
+    first, counts = [], {}
+    for n, p, k in parts:
+        first.append((-n, p, counts.get(-n, 0)))
+        counts[-n] = counts.get(-n, 0) + k
+    first = spark.createDataFrame(first, "n long, _p int, _first long")
+    runs = spark.createDataFrame(_runs(list(counts.items()), missing), "n long, _from long, _to long, _names array<string>")
+    rank = F.row_number().over(Window.partitionBy("n", "_p").orderBy("_g")) - 1 + F.col("_first")
+    rest = rest.join(F.broadcast(first), ["n", "_p"]).withColumn("_r", rank)
+    rest = rest.join(F.broadcast(runs), "n").where("_r >= _from AND _r < _to").select(group, F.get("_names", ((F.col("_r") - F.col("_from")) % F.size("_names")).cast("int")).alias("split"))
+    table = rest.unionByName(done).unionByName(sizes.where("_t").select(group, F.lit("train").alias("split")))
+    return items.join(table, group)
 
 
 def leaks(items: DataFrame, group: str, split: str = "split") -> DataFrame:
