@@ -1,5 +1,6 @@
 """Queries and operators over all their rows, groups and features, by brute force."""
 
+import json
 from collections import Counter
 from itertools import combinations
 
@@ -7,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wakeline.llm import toxicity
-from wakeline.operators import splits
+from wakeline.operators import models, splits
 from wakeline.plans import model_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -91,3 +92,12 @@ def test_runs_equal_the_greedy_pass():
         dealt = [names[i % len(names)] for _, a, b, names in runs for i in range(b - a)]
         want = splits.greedy_split(sizes)
         assert dealt == [want[g] for g in order]
+
+
+def test_mahalanobis_is_fitted_on_all_rows(spark):
+    x = np.random.default_rng(0).normal(size=(3000, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 3.0]])
+    df = spark.createDataFrame([(i, "e" if i % 3 else None, "train", *v) for i, v in enumerate(x.tolist())], "row_id long, env string, split string, a double, b double, c double")
+    got = {r.env: r for r in models.fit_models(df, ["env"], ["a", "b", "c"], ["mahalanobis"], max_rows=100).collect()}
+    for key, part in (("e", x[np.arange(3000) % 3 > 0]), (None, x[::3])):
+        want, m = models.fit_family("mahalanobis", part, part[:0]), json.loads(got[key].model)
+        assert got[key].n_train == len(part) and all(np.allclose(m[k], want[k]) for k in ("mean", "std", "centre", "precision", "shrinkage"))

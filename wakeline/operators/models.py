@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -36,12 +38,17 @@ def scaler(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Covariance shrunk toward a multiple of the identity, and the shrinkage (Ledoit and Wolf, 2004)."""
-    n, d = x.shape
+    n = len(x)
     x = x - x.mean(axis=0)
-    s = x.T @ x / n
+    return shrunk(x.T @ x / n, ((x**2).sum(axis=1) ** 2).sum(), n)
+
+
+def shrunk(s: np.ndarray, fourth: float, n: int) -> tuple[np.ndarray, float]:
+    """The same from the covariance s of n rows and the sum of the fourth powers of their lengths."""
+    d = len(s)
     mu = np.trace(s) / d
     delta = ((s - mu * np.eye(d)) ** 2).sum() / d
-    beta = min(max(((x**2).T @ (x**2) / n - s**2).sum() / n / d, 0.0), delta)
+    beta = min(max((fourth / n - (s**2).sum()) / n / d, 0.0), delta)
     a = beta / delta if delta > 0 else 0.0
     return (1 - a) * s + a * mu * np.eye(d), float(a)
 
@@ -186,11 +193,16 @@ def score_family(x: np.ndarray, m: dict) -> np.ndarray:
 def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], families: Sequence[str], split: str = "split", order: str = "row_id", min_rows: int = MIN_ROWS, max_rows: int = 20_000) -> DataFrame:
     """Registry: one row per group and family with at least min_rows training rows without missing features.
 
-    At most max_rows rows per group and split (those with the smallest hash of ``order``) reach the fitting task.
+    Mahalanobis models come from sums over all rows. For the other families at most max_rows rows per group and split,
+    about (those with the smallest hash of ``order``), reach the fitting task.
     """
     # one array: a filter over many columns makes the optimizer infer constraints for minutes
     rows = rows.where(F.col(split).isin("train", "val")).select(*by, split, order, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     rows = rows.where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    exact = gaussians(rows.where(F.col(split) == "train"), by, len(features), min_rows) if "mahalanobis" in families else None
+    families = [f for f in families if f != "mahalanobis"]
+    if not families and exact is not None:
+        return exact
     counts = rows.groupBy(*by, split).count()
     unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
     rows = rows.join(F.broadcast(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
@@ -206,7 +218,43 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
                 out.append([*pdf.iloc[0][keys], f, len(train), json.dumps(fit_family(f, train, val))])
         return pd.DataFrame(out, columns=[*keys, "family", "n_train", "model"])
 
-    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}")
+    fitted = rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}")
+    return fitted if exact is None else fitted.unionByName(exact)
+
+
+def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> DataFrame:
+    """Registry of Mahalanobis models from (by, _x), what ``fit_family`` gives on all rows: means and deviations in one
+    pass, products and fourth powers of the standardised features, summed by partition and then by group, in a second."""
+    stats = [f(F.get("_x", F.lit(i))).alias(f"_{p}{i}") for i in range(d) for p, f in (("m", F.avg), ("s", F.stddev_pop))]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n_train"), *stats).where(F.col("n_train") >= min_rows)
+    found = groups.collect()
+    mean = np.array([[r[f"_m{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
+    std = np.array([[r[f"_s{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
+    std = np.where(std > 0, std, 1.0)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    number = rows.sparkSession.createDataFrame([(*[r[c] for c in by], k, r.n_train) for k, r in enumerate(found)], f"{kinds}, _k int, n_train long")
+    same = [rows[c].eqNullSafe(number[c]) for c in by]
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in batches:
+            for k, part in pdf.groupby("_k"):
+                z = (np.array(part["_x"].tolist(), float) - mean[k]) / std[k]
+                g, q = held.get(k, (0.0, 0.0))
+                held[k] = g + z.T @ z, q + ((z**2).sum(axis=1) ** 2).sum()
+        yield pd.DataFrame([(k, g.ravel(), q) for k, (g, q) in held.items()], columns=["_k", "g", "q"])
+
+    counts = [r.n_train for r in found]
+
+    def model(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["_k"].iloc[0])
+        cov, shrinkage = shrunk(np.sum(np.stack(pdf["g"].to_list()), axis=0).reshape(d, d) / counts[k], pdf["q"].sum(), counts[k])
+        m = {"centre": [0.0] * d, "precision": np.linalg.pinv(cov).tolist(), "shrinkage": shrinkage, "family": "mahalanobis", "mean": mean[k].tolist(), "std": std[k].tolist()}
+        return pd.DataFrame([(k, json.dumps(m))], columns=["_k", "model"])
+
+    parts = rows.join(F.broadcast(number), reduce(and_, same)).select("_k", "_x").mapInPandas(sums, "_k int, g array<double>, q double")
+    made = parts.groupBy("_k").applyInPandas(model, "_k int, model string")
+    return number.join(made, "_k").select(*by, F.lit("mahalanobis").alias("family"), "n_train", "model")
 
 
 def score_rows(rows: DataFrame, registry: DataFrame, by: Sequence[str], features: Sequence[str], family: str) -> DataFrame:
