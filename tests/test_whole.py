@@ -101,3 +101,9 @@ def test_mahalanobis_is_fitted_on_all_rows(spark):
     for key, part in (("e", x[np.arange(3000) % 3 > 0]), (None, x[::3])):
         want, m = models.fit_family("mahalanobis", part, part[:0]), json.loads(got[key].model)
         assert got[key].n_train == len(part) and all(np.allclose(m[k], want[k]) for k in ("mean", "std", "centre", "precision", "shrinkage"))
+
+
+def test_components_link_long_documents(spark, tmp_path):
+    data = [(1, "a" * 500, "s", 500), (2, "b" * 500, "s", 500), (3, "c" * 500, "t", 500), (4, "d", "s", None), (5, "e", "s", None)]
+    spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.group_id for r in model_queries.components(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}

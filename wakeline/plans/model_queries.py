@@ -287,7 +287,7 @@ def near_dup_lsh(spark, sf_dir):
 
 def components(spark, sf_dir):
     """Leakage groups of documents by digest and by length and source, and the sizes of the groups."""
-    d = read(spark, sf_dir, "documents").withColumn("digest", F.md5("text")).withColumn("length_key", F.when(F.col("n_chars") < 400, F.concat_ws(":", "source", "n_chars")))
+    d = read(spark, sf_dir, "documents").withColumn("digest", F.md5("text")).withColumn("length_key", F.when(F.col("n_chars").isNotNull(), F.concat_ws(":", "source", "n_chars")))
     g = splits.leakage_groups(d, ["digest", "length_key"], "doc_id")
     return g.select("doc_id", "group_id")
 
