@@ -2,7 +2,7 @@
 
 The lexicon is the terms whose inverse document frequency lies in a band, given by shares of the documents (document
 frequency between LOW and HIGH of all). A share as lower border bounds the lexicon by the average number of terms
-over that share, whatever the corpus; LEXICON is its greatest size (the most frequent terms of the band are kept).
+over that share, whatever the corpus; it is not cut further.
 A text's distinct terms inside the lexicon are sorted and hashed as a whole, and again for each of 64 random subsets
 of the lexicon: 16 disjoint subsets at each of four sampling rates, so that short and long texts alike have subsets in
 which an edit changes nothing. The likeness of two fingerprints is the share of subsets on which they agree among those
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LOW, HIGH = 0.001, 0.15
-LEXICON = 65_536
+#: Slots of the lexicon, at least; more where it has over 8 terms a slot.
 SLOTS = 8_192
 RATES = (16, 64, 256, 1024)
 PER_RATE = 16
@@ -40,25 +40,26 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, size: int = LEXICON) -> list[int]:
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
     """Term hashes of the band, by descending document frequency; counted over all documents."""
     n = docs.count()
     seen = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
     band = seen.where((F.col("count") >= max(1, math.ceil(low * n))) & (F.col("count") <= max(1, math.floor(high * n))))
-    return [r.term for r in band.orderBy(F.desc("count"), "term").limit(size).collect()]
+    return [r.term for r in band.orderBy(F.desc("count"), "term").collect()]
 
 
-def _slots(words: list[int]) -> Column:
-    slots: list[list[int]] = [[] for _ in range(SLOTS)]
+def _slots(words: list[int], n: int) -> Column:
+    slots: list[list[int]] = [[] for _ in range(n)]
     for w in words:
-        slots[w % SLOTS].append(w)
+        slots[w % n].append(w)
     return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def banded(found: Column, words: list[int]) -> Column:
     """The sorted terms that are in the lexicon."""
-    slots = _slots(words)
-    return F.sort_array(F.filter(found, lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
+    n = max(SLOTS, -(-len(words) // 8))
+    slots = _slots(words, n)
+    return F.sort_array(F.filter(found, lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(n)).cast("int")), t)))
 
 
 def _cells(inside: str, rate: int) -> Column:
