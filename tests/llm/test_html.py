@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -29,6 +30,54 @@ def test_paths_without_semantic_names():
     assert len(lines) == 12 and all("paragraph number" in x for x in lines)
 
 
+TELLTALE = re.compile(r"</?(article|nav|footer)>")
+
+
+def nameless(page):
+    """The page without the names that speak: plain divs, no classes."""
+    return TELLTALE.sub(lambda m: m[0].replace(m[1], "div"), page).replace(' class="ad"', "")
+
+
+PARTS = ["It rained all night, and by the morning, as the river rose, the old bridge was closed; nobody, not even the mayor, could cross.", "Short.", "The repairs, we hear, will take until May: the stones, cut by hand, have to come from the same quarry, which closed in 1931.", "Those who work on the other bank, some forty people, now take the ferry; it runs twice a day, if the wind allows it."]
+LINKS = "".join(f"<div><a href=/{i}>Topic {i}</a></div>" for i in range(9))
+SHAPES = {
+    "divs": ("<div><div><a href=/>Daily</a></div>" + LINKS + "</div><div><h2>Bridge closed</h2>%s</div><div>Imprint</div>", "<div>%s</div>"),
+    "spans in cells": ("<table><tr><td>" + LINKS + "</td><td><div><h2>Bridge closed</h2>%s</div></td></tr></table><div><a>Imprint</a></div>", "<p>%s</p>"),
+    "headline outside": ("<div>" + LINKS + "</div><h1>Bridge closed</h1><div>%s</div><ul><li><a>Imprint</a><li><a>Jobs</a></ul>", "<p>%s"),
+    "links after": ("<div><h2>Bridge closed</h2>%s<div>" + LINKS + "</div></div>", "<p>%s</p>"),
+    "a form around all": ("<form><div>" + LINKS + "</div><div><h2>Bridge closed</h2>%s</div><input></form>", "<p>%s</p>"),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_known_text_without_telling_names(shape):
+    frame, part = SHAPES[shape]
+    page = "<html><head><title>Bridge closed</title></head><body>" + frame % "".join(part % x for x in PARTS)
+    assert h.main_text(page) == "\n".join(["Bridge closed", *PARTS])
+
+
+def test_names_alone_decide_nothing():
+    page = "<body><article>" + LINKS + "</article><div class=sidebar>" + "".join(f"<p>{x}</p>" for x in PARTS * 4) + "</div>"
+    assert PARTS[0] in h.main_text(page)
+
+
+def test_the_result_comes_through_the_content_paths(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    mine = [h.main_text(p) for p in pages]
+    same = sum(h.main_text(nameless(p)) == t for p, t in zip(pages, mine, strict=True))
+    assert same > 0.6 * len(pages)  # most texts do not even need the names
+    for stand_in in (lambda page: set(range(len(page.priors))), lambda page: set()):
+        monkeypatch.setattr(h, "content_paths", stand_in)
+        assert sum(h.main_text(p) != t for p, t in zip(pages, mine, strict=True)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 10_000, "<div>x" * 10_000 + "</section></b>" * 10_000, "<b>x" * 5_000 + "</i>" * 5_000 + "<li>" * 5_000 + "<td>" * 5_000, "<p><a '" * 5_000 + "\"" * 5_000, "<ul><li>" * 10_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    h.main_text(page)
+    assert time.perf_counter() - began < 2
+
+
 def plain(page):
     inner = page[page.index("<article>") + 9 : page.index("</article>")]
     parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", inner))

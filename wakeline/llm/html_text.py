@@ -1,11 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks, each with its root-to-leaf path of element names and classes. Text length and punctuation
-are aggregated per path and divided by the leaves of the path; both ratios are smoothed over neighbouring blocks,
-fused, and paths above the threshold are content paths. The content region is the element that gathers most content
-text against other text; where it stands in an article (or main) element, that element. All blocks of the region are
-returned in page order, so short paragraphs and headings are kept, except what the markup itself names as menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.
+A page is read into blocks, each with its root-to-leaf path of element names and classes. Per path, text length and
+punctuation are divided by the leaves of the path; both ratios are smoothed over neighbouring blocks in page order,
+fused, lessened by the share of link text and weighted by what names say (weak evidence: a path through ``nav`` or a
+class ``advert`` counts for less, one through ``article`` for more, and none decides alone). Paths whose score
+reaches a share of the page's largest are content paths; no content path, no text. The content region is the deepest
+container that holds most content text against other text. Inside it the other blocks (headings, short items, captions)
+stay unless their own score or their names, against those of the region, speak for boilerplate; a headline or
+the page's title right before the region belongs to it.
+
+Only what a browser never shows as text (scripts, styles, templates, hidden parts, controls) is left out beforehand.
+Paths are numbered by (number of the parent's path, label), sums run bottom-up once over the elements: the time is linear
+in the page, however deep it nests.
 
 Defined results: null and empty html give the empty text; text outside any element counts as a block of the body;
 unclosed and stray tags are tolerated; equal rows get equal results; further columns are not read. Character
@@ -16,6 +22,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,178 +31,261 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that are never article text.
-SKIPPED = frozenset("script style head title noscript template nav footer aside form button select option textarea input iframe object svg canvas audio video dialog menu".split())
+#: Elements whose text a browser does not show as part of the page.
+UNSHOWN = frozenset("script style head title noscript template button select option textarea input iframe object svg canvas audio video".split())
+#: A block of these holds text, not other blocks of an article: a region is never one of them.
+LEAVES = frozenset("p blockquote pre li ul ol menu dl dt dd td th tr tbody thead tfoot table caption figure figcaption h1 h2 h3 h4 h5 h6 address summary legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-#: Words of class and id values that name boilerplate.
-NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay footer menu menus nav navbar navigation sidebar sidebars aside widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager toolbar masthead skip".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+#: Names that speak against content, in tags (or roles) and in words of class and id values; and those that speak for it.
+AGAINST_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
+AGAINST_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay footer header menu menus nav navbar navigation sidebar sidebars aside widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager toolbar masthead skip".split())
+FOR_TAGS = frozenset("article main".split())
+AGAINST, FOR = 0.08, 1.6
+#: Inside a region, a path that names make this much less likely than the region is boilerplate.
+OUT_OF_PLACE = 0.5
+CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
+SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 PUNCTUATION = frozenset(".,;:!?…。，；：！？、¿¡\"'()«»„“”")
 SMOOTHING = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 THRESHOLD = 0.35
+#: A path inside the region is out when its score is below this share of the largest and it holds mostly links.
+REGION_THRESHOLD, LINKS = 0.12, 0.6
 
 
-class _Element:
-    __slots__ = ("article", "main", "name", "parent", "path", "skip")
+class Block(NamedTuple):
+    element: int
+    path: int
+    text: str
+    links: int  # characters inside links
 
-    def __init__(self, name: str, classes: str, parent: _Element | None, skip: bool):
-        self.name, self.parent = name, parent
-        label = f"{name}.{classes}" if classes else name
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.skip = skip or bool(parent and parent.skip)
-        self.article = self if name == "article" else parent.article if parent else None
-        self.main = self if name == "main" else parent.main if parent else None
+
+class Page(NamedTuple):
+    """Elements in opening order (name, parent, path), the prior of each path, blocks in page order, the title."""
+
+    names: list[str]
+    parents: list[int]
+    paths: list[int]
+    priors: list[float]
+    blocks: list[Block]
+    title: str
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def _skips(name: str, a: dict[str, str], parent: _Element) -> bool:
-    if name in SKIPPED or name == "header" and parent.article is None:
-        return True
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(words & NAMES) or "header" in words and parent.article is None
+def _hidden(name: str, a: dict[str, str]) -> bool:
+    return name in UNSHOWN or bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower())
+
+
+def _speaks_against(a: dict[str, str]) -> bool:
+    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower())
+    return a.get("role", "").lower() in ROLES or not AGAINST_WORDS.isdisjoint(words)
+
 
+def _evidence(name: str, a: dict[str, str], in_article: bool) -> float:
+    """How much a name changes the odds of an element's text: a factor."""
+    if name in FOR_TAGS:
+        return FOR
+    if name in ("html", "body"):
+        return 1.0
+    against = name in AGAINST_TAGS and not (name == "header" and in_article)
+    return AGAINST if against or a and _speaks_against(a) else 1.0
 
-def blocks_of(page: str) -> list[tuple[_Element, str]]:
-    """(element, text) of each block with text, in page order."""
-    root = _Element("html", "", None, False)
-    stack, out, held = [root], [], []
+
+def read(source: str) -> Page:
+    names, parents, paths, priors = ["html"], [-1], [0], [1.0]
+    hidden, in_article = [False], [False]
+    number: dict[tuple[int, str], int] = {}
+    stack, places = [0], {"html": [0]}  # open elements, and per name where they stand in the stack
+    blocks: list[Block] = []
+    held: list[str] = []
+    titles: list[str] = []
+    inline: list[tuple[str, bool]] = []  # open elements that make no block; true: its text is not shown
+    inline_open: Counter = Counter()
+    blocked = links = 0
+
+    def path_number(parent: int, label: str, factor: float) -> int:
+        if (parent, label) not in number:
+            number[parent, label] = len(priors)
+            priors.append(max(priors[parent] * factor, 1e-6))
+        return number[parent, label]
 
     def end_block():
+        nonlocal links
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((stack[-1], text))
-
-    def text(piece: str):
-        if not stack[-1].skip and not blocked:
+                path = paths[stack[-1]]
+                if 2 * links > len(text):  # the leaf is a link
+                    path = path_number(path, "a", 1.0)
+                blocks.append(Block(stack[-1], path, text, min(links, len(text))))
+        links = 0
+
+    def shown(piece: str):
+        nonlocal links
+        if not blocked and not hidden[stack[-1]]:
             held.append(html.unescape(piece) if "&" in piece else piece)
+            if inline_open["a"]:
+                links += len(held[-1])
+
+    def cut(depth: int):
+        nonlocal blocked
+        for e in stack[depth:]:
+            places[names[e]].pop()
+        del stack[depth:]
+        inline.clear(), inline_open.clear()
+        blocked = 0
 
-    at, n, blocked = 0, len(page), 0
-    inline: list[tuple[str, bool]] = []  # open elements that make no block; true: its text is skipped
+    def last(of) -> int:
+        return max((places[x][-1] for x in of if places.get(x)), default=-1)
+
+    at, n = 0, len(source)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(source, at)
         if m is None:
-            text(page[at:])
+            shown(source[at:])
             break
         if m.start() > at:
-            text(page[at : m.start()])
+            shown(source[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        name = m[2].lower()
+        name, raw = m[2].lower(), m[3] or m[4] or ""
         if m[1]:
             if name in BLOCK:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-                if depth:
+                depth = last((name,))
+                if depth > 0:
                     end_block()
-                    del stack[depth:]
-                    inline, blocked = [], 0
-            else:
-                depth = next((i for i in range(len(inline) - 1, -1, -1) if inline[i][0] == name), -1)
-                if depth >= 0:
-                    blocked -= sum(s for _, s in inline[depth:])
-                    del inline[depth:]
+                    cut(depth)
+            elif inline_open[name]:
+                while True:
+                    x, s = inline.pop()
+                    inline_open[x] -= 1
+                    blocked -= s
+                    if x == name:
+                        break
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if name == "title":
+                titles.append(" ".join(html.unescape(source[at : close.start() if close else n]).split()))
             at = close.end() if close else n
             continue
         if name in VOID and name != "hr":
             if name == "br":
-                text(" ")
+                shown(" ")
             continue
-        a = _attributes(m[3])
+        a = _attributes(raw)
         if name in BLOCK:
             end_block()
-            if stack[-1].name == "p" or name in CLOSES:
-                shut, stop = CLOSES.get(name, set()) | {"p"}, SCOPE.get(name, set())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in stop:
-                        break
-                    if stack[i].name in shut:
-                        del stack[i:]
-                        if name not in CLOSES:
-                            break
-            if name == "hr" or name in ("html", "body") and any(e.name == name for e in stack[1:]):
-                continue
-            inline, blocked = [], 0
-            if name == "html":
+            if name in CLOSES:
+                stop = last(SCOPE[name])
+                while (depth := last(CLOSES[name])) > max(stop, 0):
+                    cut(depth)
+            elif names[stack[-1]] == "p":
+                cut(len(stack) - 1)
+            inline.clear(), inline_open.clear()
+            blocked = 0
+            if name in ("hr", "html") or name == "body" and places.get("body"):
                 continue
-            stack.append(_Element(name, ".".join(sorted(a.get("class", "").split())), stack[-1], _skips(name, a, stack[-1])))
-        elif not m[3].endswith("/"):
-            s = _skips(name, a, stack[-1])
+            up = stack[-1]
+            factor = _evidence(name, a, in_article[up])
+            label = f"{name}.{'.'.join(sorted(a.get('class', '').split()))}.{factor}"
+            places.setdefault(name, []).append(len(stack))
+            stack.append(len(names))
+            names.append(name), parents.append(up), paths.append(path_number(paths[up], label, factor))
+            hidden.append(hidden[up] or _hidden(name, a)), in_article.append(in_article[up] or name == "article")
+        elif not raw.endswith("/"):
+            s = _hidden(name, a) or bool(a) and _speaks_against(a)
             inline.append((name, s))
+            inline_open[name] += 1
             blocked += s
     end_block()
-    return out
+    return Page(names, parents, paths, priors, blocks, next((t for t in titles if t), ""))
 
 
-def content_paths(blocks: list[tuple[_Element, str]], threshold: float = THRESHOLD) -> set[str]:
-    """The paths whose smoothed and fused ratios reach the threshold, a share of the page's largest."""
-    length = np.array([len(t) for _, t in blocks], float)
-    marks = np.array([sum(c in PUNCTUATION for c in t) for _, t in blocks], float)
-    number: dict[str, int] = {}
-    path = np.array([number.setdefault(e.path, len(number)) for e, _ in blocks])
-    leaves = np.bincount(path)
-    length_ratio, mark_ratio = np.bincount(path, length) / leaves, np.bincount(path, marks) / leaves
+def path_scores(page: Page) -> np.ndarray:
+    """Per path number the fused score of its ratios; 0 for paths without text."""
+    path = np.array([b.path for b in page.blocks])
+    size = len(page.priors)
+    length = np.array([len(b.text) for b in page.blocks], float)
+    marks = np.array([sum(map(b.text.count, PUNCTUATION)) for b in page.blocks], float)
+    leaves = np.maximum(np.bincount(path, minlength=size), 1)
+    total = np.bincount(path, length, size)
+    plain = 1 - np.bincount(path, [b.links for b in page.blocks], size) / np.maximum(total, 1)
+    length_ratio, mark_ratio = total / leaves, np.bincount(path, marks, size) / leaves
 
     def smooth(x):
-        return np.convolve(np.pad(x, 2, mode="edge"), SMOOTHING, "valid")
+        return np.convolve(np.pad(x[path], 2, mode="edge"), SMOOTHING, "valid")
 
-    fused = np.log1p(smooth(length_ratio[path])) * (1 + np.log1p(smooth(mark_ratio[path])))
-    fused = fused * np.log1p(length_ratio[path])
-    score = np.bincount(path, fused) / leaves
-    total = np.bincount(path, length)
-    weight = score * np.sqrt(total / total.max())
-    keep = (score >= threshold * score.max()) & (weight >= 0.25 * weight.max())
-    return {p for p, i in number.items() if keep[i]}
+    fused = np.log1p(smooth(length_ratio)) * (1 + np.log1p(smooth(mark_ratio))) * np.log1p(length_ratio[path])
+    return np.bincount(path, fused, size) / leaves * plain * np.array(page.priors)
 
 
-def main_text(page: str) -> str:
-    blocks = [x for x in blocks_of(page) if not x[0].skip]
-    if not blocks:
+def content_paths(page: Page, threshold: float = THRESHOLD) -> set[int]:
+    """The paths whose score reaches the threshold, a share of the page's largest, and that hold more than a trifle of text."""
+    score = path_scores(page)
+    total = np.bincount([b.path for b in page.blocks], [len(b.text) for b in page.blocks], len(score))
+    weight = score * np.sqrt(total / total.max())
+    return set(np.flatnonzero((score > 0) & (score >= threshold * score.max()) & (weight >= 0.25 * weight.max())).tolist())
+
+
+def region_of(page: Page, chosen: set[int]) -> int:
+    """The deepest container with the largest content text less other text (headings count for neither)."""
+    value, depth = [0.0] * len(page.names), [0] * len(page.names)
+    for b in page.blocks:
+        if b.path in chosen:
+            value[b.element] += len(b.text)
+        elif page.names[b.element] not in HEADINGS:
+            value[b.element] -= len(b.text)
+    for e in range(1, len(page.names)):
+        depth[e] = depth[page.parents[e]] + 1
+    for e in range(len(page.names) - 1, 0, -1):
+        value[page.parents[e]] += value[e]
+    boxes = [e for e, name in enumerate(page.names) if name not in LEAVES]
+    return max(boxes, key=lambda e: (value[e], depth[e]))
+
+
+def main_text(source: str) -> str:
+    page = read(source)
+    if not page.blocks:
+        return ""
+    chosen = content_paths(page)
+    if not chosen:
+        return ""
+    region = region_of(page, chosen)
+    inside = [False] * len(page.names)
+    for e in range(len(page.names)):
+        inside[e] = e == region or e > 0 and inside[page.parents[e]]
+    score, prior = path_scores(page), page.priors[page.paths[region]]
+    low = REGION_THRESHOLD * score.max()
+    links, total = Counter(), Counter()
+    for b in page.blocks:
+        links[b.path] += b.links
+        total[b.path] += len(b.text)
+
+    def stays(b: Block) -> bool:
+        if b.path in chosen:
+            return True
+        return page.priors[b.path] >= OUT_OF_PLACE * prior and not (score[b.path] < low and links[b.path] > LINKS * total[b.path])
+
+    out = [i for i, b in enumerate(page.blocks) if inside[b.element] and stays(b)]
+    if not out:
         return ""
-    chosen = content_paths(blocks)
-    score: dict[int, float] = {}
-    element: dict[int, _Element] = {}
-    depth: dict[int, int] = {}
-    for e, t in blocks:
-        value, up = (len(t) if e.path in chosen else -len(t)), e
-        while up is not None:
-            k = id(up)
-            element[k] = up
-            depth[k] = up.path.count("/")
-            score[k] = score.get(k, 0) + value
-            up = up.parent
-    best = element[max(score, key=lambda k: (score[k], depth[k]))]
-    region = best.article or best.main or best
-    if region is best and best.parent is not None and best.name not in ("body", "html"):  # a single paragraph: with what stands around it
-        while region.parent is not None and region.name in ("p", "blockquote", "li", "td", "pre", "ul", "ol", "tr", "tbody", "table"):
-            region = region.parent
-    out = []
-    for e, t in blocks:
-        up = e
-        while up is not None and up is not region:
-            up = up.parent
-        if up is not None:
-            out.append(t)
-    return "\n".join(out)
+    lead = out[0] - 1  # a headline outside the region's element
+    if lead >= 0 and not inside[page.blocks[lead].element]:
+        b = page.blocks[lead]
+        if page.priors[b.path] >= OUT_OF_PLACE * min(prior, 1.0) and (page.names[b.element] in ("h1", "h2") or b.text == page.title):
+            out.insert(0, lead)
+    return "\n".join(page.blocks[i].text for i in out)
 
 
 def extract(pages: list[bytes]) -> list[pa.Array]:
