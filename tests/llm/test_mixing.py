@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -50,6 +51,65 @@ def test_repeats_with_tasks_lost_are_the_same(spark, corpus):
     assert a == b
 
 
+def test_the_target_binds(spark):
+    """The query's own target is above the sources' entropy at every size, so weights, epochs and cuts all act."""
+    d = "/root/testdata/sf0.01"
+    out = mixing.op4_temperature_mixing(spark, d).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", mixing.word_count("text").alias("n")).collect()}
+    have, got = {}, {}
+    for r in docs.values():
+        have[r.source] = have.get(r.source, 0) + r.n
+    for r in out:
+        got[r.source] = got.get(r.source, 0) + r.n_tokens
+    x, w = mixing.weights(have)
+    share = {k: v / sum(have.values()) for k, v in have.items()}
+    assert 0 < x < 1 and math.isclose(entropy(w) - entropy(share), 0.5 * (math.log(len(share)) - entropy(share)), rel_tol=1e-5)
+    longest = max(r.n for r in docs.values())
+    assert all(-1 <= w[k] * sum(have.values()) - got[k] <= longest for k in have)
+    seen = [r.doc_id for r in out]
+    assert len(set(seen)) < len(docs) and len(seen) > len(set(seen))
+
+
+def brute_mix(rows, block_rows, target):
+    """Rows (ident, source, tokens) as the mix takes them, straight from the definition."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    have, by = {}, {}
+    for ident, src, n in rows:
+        have[src] = have.get(src, 0) + n
+        by.setdefault(src, []).append((ident, n))
+    _, w = mixing.weights(have, **target)
+    out = []
+    for src, held in by.items():
+        quota = round(w[src] * sum(have.values()))
+        epochs, rest = divmod(quota, have[src])
+        blocks = {}
+        for ident, n in held:
+            b = int(digest(f"{mixing.SEED}:block:{ident}")[:8], 16) % -(-len(held) // block_rows)
+            blocks.setdefault(b, []).append((digest(f"{mixing.SEED}:{epochs}:{ident}"), ident, n))
+        part = []
+        for b in sorted(blocks, key=lambda b: digest(f"{mixing.SEED}:{epochs}:b{b}")):
+            size = sum(n for *_, n in blocks[b])
+            if size > rest:
+                for _, ident, n in sorted(blocks[b]):
+                    if n > rest:
+                        break
+                    rest -= n
+                    part.append(ident)
+                break
+            rest -= size
+            part += [ident for _, ident, _ in blocks[b]]
+        out += [(ident, e) for ident, _ in held for e in range(epochs)] + [(ident, epochs) for ident in part]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_rows", [7, 50, 512])
+@pytest.mark.parametrize("target", [{}, {"entropy": 0.97, "max_repeats": None}, {"entropy": 1.0, "max_repeats": 1.5}])
+def test_mix_matches_brute_force(spark, corpus, monkeypatch, block_rows, target):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = [(str(r.doc_id), r.source, len(r.text.split())) for r in corpus.collect()]
+    assert sorted((str(r.doc_id), r.mix_epoch) for r in mixing.mix(corpus, **target).collect()) == brute_mix(rows, block_rows, target)
+
+
 def test_odd_rows(spark, odd):
     out = mixing.mix(odd)
     assert set(odd.columns) < set(out.columns) and out.count() >= 9
@@ -58,3 +118,19 @@ def test_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
     none = spark.createDataFrame([(1, "a b", None), (2, "a b", "s")], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 2
+
+
+def test_clashing_names_and_rows_without_ids(spark):
+    rows = [(None, f"w{i} " * (1 + i % 3), "big" if i % 4 else "small", i, "k", 7, "x", 1.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_epoch long, mix_row_key string, Mix_Block_Key long, src string, c0 double")
+    out = mixing.mix(df, entropy=0.99)
+    assert out.columns == [*df.columns, "mix_epoch_", "mix_block_key_", "mix_row_key_"]
+    assert mixing.mix(df, keys=False).columns == df.columns
+    have, got = {}, {}
+    for r in rows:
+        have[r[2]] = have.get(r[2], 0) + len(r[1].split())
+    for r in out.collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        assert r.mix_epoch is not None and r.src == "x" and r.c0 == 1.5
+    _, w = mixing.weights(have, entropy=0.99)
+    assert all(abs(got[k] - w[k] * sum(have.values())) <= 3 for k in have)
