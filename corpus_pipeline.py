@@ -33,7 +33,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as came in, sources at their target weights: rows repeated or left out accordingly."""
     common.prepare(spark)
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix(docs, keys=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
