@@ -46,10 +46,10 @@ def test_obfuscated_words_are_read():
 
 
 def test_toxicity_odd_rows(spark, odd):
-    rows = toxicity.score(odd, toxicity.fit([])).collect()
+    kind = "id long, text string, g int, total long, place int"
+    rows = toxicity.score(odd, toxicity.fit(spark.createDataFrame([], kind))).collect()
     assert len(rows) == 10 and {r.score for r in rows} == {0.0}
-    data = [(i, "you idiot" if i % 2 else "fine day", i % 2, 1.0) for i in range(400)]
-    model = toxicity.fit(data)
+    model = toxicity.fit(spark.createDataFrame([(i, "you idiot" if i % 2 else "fine day", i % 2, 200, 0) for i in range(400)], kind))
     assert len(toxicity.score(odd, model).collect()) == 10 and toxicity.score(odd.limit(0), model).count() == 0
     assert toxicity.predict(["you idiot"], model)[0] > 0.9 > 0.1 > toxicity.predict(["fine day"], model)[0]
 
@@ -82,6 +82,6 @@ def test_prior_of_a_known_mixture():
 def test_quality_odd_rows(spark, odd):
     assert {r.score for r in pu_quality.score(odd, {}).collect()} == {0.0}
     texts = [f"one two {i} three, four and five more words here".encode() for i in range(50)]
-    model = pu_quality.fit(texts, texts + [b"x " * 50] * 20)
+    model = pu_quality.fit(pu_quality.features(texts), pu_quality.features(texts + [b"x " * 50] * 20))
     out = {r.doc_id: r.score for r in pu_quality.score(odd, model).collect()}
     assert out[1] == out[2] == out[3] == 0 and pu_quality.score(odd.limit(0), model).count() == 0

@@ -1,16 +1,20 @@
 """Language identification by string kernels.
 
 The blended-spectrum presence kernel counts the character n-grams (1 to 4) that two texts share, normalised per length
-so that every n weighs alike. Nyström landmarks (a bounded sample of training texts, as many per language) turn the
-kernel into features K(x, L) W^-1/2; a kernel ridge regression per language (one against the rest) on them gives its
-score. Predicting a batch is three matrix products: n-gram presence by landmarks, by the whitening, by the weights.
+so that every n weighs alike. A text is cut into windows of a fixed number of characters and is the mean of their
+presence vectors, so that long texts do not fill all slots. Nyström landmarks (a bounded sample of training texts, as
+many per language) turn the kernel into features K(x, L) W^-1/2; a kernel ridge regression per language (one against the
+rest) on them gives its score. Predicting a batch is two matrix products: presence by landmarks, by the weights (the
+whitening is folded into them).
 
 n-grams are hashed to a fixed number of slots; whole texts are used, at fitting and at scoring. Fitting reads at most
-``per_language`` texts of each language, chosen by a hash of the id.
+``per_language`` texts of each language (fewer where ``rows`` texts in all would be exceeded, at least two), chosen by a
+hash of the id. Their texts stay in a table: tasks turn them into landmarks and kernel values, which are what the driver
+gets (LANDMARKS numbers a text).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a table without usable training rows
 predicts ``und`` everywhere; ties between languages go to the first in order of name; lang, source and ids are never
-inputs of a prediction; further columns are not read.
+inputs of a prediction; of training rows that share an id the first by text counts; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,56 +24,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, labelled
 
 ORDERS = (1, 2, 3, 4)
 SLOTS = 4_096  # per order
+WINDOW = 4_096  # characters
 PER_LANGUAGE = 150
-MAX_LANGUAGES = 400
+FIT_ROWS = 12_000
 LANDMARKS = 240
 RIDGE = 1e-2
 SCHEMA = "lang_pred string, score double"
 _MULTIPLY = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+_PART = 128 * WINDOW
 
 
 def presence(texts: list[str]) -> np.ndarray:
-    """Normalised presence vectors: rows of texts, columns of orders times slots. A dot product is the kernel."""
+    """Normalised presence vectors, averaged over windows: rows of texts, columns of orders times slots. A dot product is
+    the kernel. A window's n-grams are those that begin in it."""
     out = np.zeros((len(texts), len(ORDERS) * SLOTS), np.float32)
     for row, text in zip(out, texts, strict=True):
         chars = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "replace"), np.uint32)
-        for part in range(0, len(chars), 1 << 20):
-            c = chars[part : part + (1 << 20) + max(ORDERS) - 1]
+        for part in range(0, len(chars), _PART):
+            c = chars[part : part + _PART + max(ORDERS) - 1]
+            own = min(_PART, len(chars) - part)
             for i, n in enumerate(ORDERS):
-                h = np.zeros(max(len(c) - n + 1, 0), np.uint32)
+                h = np.zeros(max(min(len(c) - n + 1, own), 0), np.uint32)
                 for j in range(n):
                     h = (h ^ c[j : j + len(h)]) * np.uint32(_MULTIPLY[j])
                     h ^= h >> np.uint32(15)
-                row[i * SLOTS + (h % np.uint32(SLOTS))] = 1
-        for i in range(len(ORDERS)):
-            block = row[i * SLOTS : (i + 1) * SLOTS]
-            held = block.sum()
-            if held:
-                block /= np.sqrt(held * len(ORDERS))
+                there = np.zeros((-(-own // WINDOW), SLOTS), bool)
+                there[np.arange(len(h)) // WINDOW, h % np.uint32(SLOTS)] = True
+                held = np.maximum(there.sum(axis=1), 1)
+                row[i * SLOTS : (i + 1) * SLOTS] += (1 / np.sqrt(held * len(ORDERS))).astype(np.float32) @ there
+        row /= -(-len(chars) // WINDOW)
     return out
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
-    """Landmarks, the whitening and the ridge weights folded into one matrix, and the scale of the margins."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    order = np.random.default_rng(7).permutation(len(texts))
-    by: dict[str, list[int]] = {k: [] for k in names}
-    for i in order:
-        by[langs[i]].append(i)
+def landmarks_of(names: list[str], langs: list[str], landmarks: int = LANDMARKS) -> list[int]:
+    """Which training texts become landmarks: as many of each language, in order of names and of the texts."""
     share = max(1, landmarks // len(names))
-    chosen = [i for k in names for i in by[k][:share]]
-    x = presence(texts)
-    marks = x[chosen]
+    at: dict[str, list[int]] = {k: [] for k in names}
+    for i, k in enumerate(langs):
+        at[k].append(i)
+    return [i for k in names for i in at[k][:share]]
+
+
+def solve(marks: np.ndarray, kernel: np.ndarray, langs: list[str], names: list[str], ridge: float = RIDGE) -> dict:
+    """The ridge regressions on the whitened kernel values (rows of texts, columns of landmarks)."""
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     white = vector[:, keep] / np.sqrt(value[keep])
-    z = np.c_[(x @ marks.T).astype(np.float64) @ white, np.ones(len(x))]
+    z = np.c_[kernel.astype(np.float64) @ white, np.ones(len(kernel))]
     y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
     count = np.maximum((y > 0).sum(axis=0), 1)
     weight = 1 / count[[names.index(k) for k in langs]]  # each language counts alike
@@ -92,26 +97,33 @@ def predict(texts: list[str], model: dict | None) -> tuple[list[str], np.ndarray
     return [names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
-def fit_table(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict | None:
-    """Fit on at most per_language texts of each language: those with the smallest hash of the id."""
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def fit_table(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, fit_rows: int = FIT_ROWS) -> dict | None:
+    """Fit on a bounded sample of the rows that have a language and a letter."""
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).alias("text"))
+    found = [r.g for r in rows.select("g").distinct().collect()]
     if not found:
         return None
-    share: Column = F.lit(0.0)
-    for r in found:  # twice as many as wanted, so that chance seldom leaves too few
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, (2 * per_language + 20) / r["count"]))).otherwise(share)
-    unit = (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    key = F.xxhash64(F.lit(11), "id")
-    picked = rows.where(unit < share).select("id", "lang", key.alias("key")).orderBy("key", "id").limit(3 * per_language * len(found) + 100).collect()
-    held: dict[str, list[int]] = {}
-    for r in picked:
-        if len(held.setdefault(r.lang, [])) < per_language and r.id is not None:
-            held[r.lang].append(r.id)
-    ids = [i for v in held.values() for i in v]
-    wanted = rows.where(F.col("id").isin(ids)).orderBy("id").limit(2 * len(ids)).collect() if ids else []
-    wanted = [r for r in wanted if any(map(str.isalpha, r.text))]
-    return fit([r.text for r in wanted], [r.lang for r in wanted]) if wanted else None
+    each = max(2, min(per_language, fit_rows // len(found)))
+    drawn = labelled.draw(rows.select("id", "g"), dict.fromkeys(found, each), 11)
+    # an id that repeats with several languages counts for the first
+    held = labelled.with_texts(rows, drawn.groupBy("id").agg(F.min("g").alias("g"), F.min("place").alias("place"), F.max("total").alias("total")), "id", "text")
+    order = held.select("id", "g").orderBy("g", "place", "id").collect()
+    if not order:
+        return None
+    ids, langs = [r.id for r in order], [r.g for r in order]
+    names = sorted(set(langs))
+    chosen = [ids[i] for i in landmarks_of(names, langs)]
+    marked = held.where(F.col("id").isin(chosen))
+    bits = {r.id: r.x for r in common.per_row(marked, ["id"], "text", lambda t: [pa.array([x.tobytes() for x in presence([s.decode() for s in t])], pa.binary())], "x binary").collect()}
+    marks = np.frombuffer(b"".join(bits[i] for i in chosen), np.float32).reshape(len(chosen), -1)
+    sent = held.sparkSession.sparkContext.broadcast(np.ascontiguousarray(marks.T))
+
+    def against(t: list[bytes]) -> list[pa.Array]:
+        k = [presence([s.decode() for s in t[i : i + 128]]) @ sent.value for i in range(0, len(t), 128)]
+        return [pa.array([x.tobytes() for part in k for x in part], pa.binary())]
+
+    kernel = {r.id: r.k for r in common.per_row(held, ["id"], "text", against, "k binary").collect()}
+    return solve(marks, np.frombuffer(b"".join(kernel[i] for i in ids), np.float32).reshape(len(ids), -1), langs, names)
 
 
 def languages(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,11 +4,12 @@ Trusted positives (labelled 1) and unlabelled web text train a small network und
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), with logistic loss; when the bracket turns
 negative the step goes back along it. The class prior is estimated first, from a discriminator of positives against
 unlabelled text: the least ratio of their shares above any of its thresholds (with a margin for the smaller counts).
-Negative labels are not used at all. Inputs are dense counts of the whole text.
+Negative labels are not used at all. Inputs are dense counts of the whole text, made in tasks: the driver gets 18 numbers for
+each of at most POSITIVES and UNLABELLED sampled texts.
 
 Defined results: null and empty texts are scored on all-zero counts and get score 0 (there is nothing to keep);
 without labelled positives or unlabelled texts the score is 0; equal texts get equal scores; labels, lang, source and
-ids are never inputs of a score; further columns are not read.
+ids are never inputs of a score; of rows that share an id the first by text is learned from; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .quality_rules import LEVEL, base_counts
 
 POSITIVES, UNLABELLED = 4_000, 6_000
 HIDDEN = 16
+FEATURES = 18
 KEEP = 0.7
 SCHEMA = "score double, predicted int"
 
@@ -38,7 +40,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     for i, t in enumerate(texts):
         words = hashes[at[i] : at[i + 1]]
         if not len(words):
-            rows.append((0.0,) * 18)
+            rows.append((0.0,) * FEATURES)
             continue
         n, chars, symbols, dup_lines, repeated = base_counts(t, words)
         raw = np.bincount(np.frombuffer(t, np.uint8), minlength=256)
@@ -53,7 +55,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             repeated / n, dup_lines / lines, math.log1p(n / lines), math.log(len(compress(t)) / size + 0.02), raw[128:].sum() / size,
             (raw[60] + raw[62] + raw[123] + raw[125]) / size,
         ))
-    return np.array(rows, float).reshape(len(texts), 18)
+    return np.array(rows, float).reshape(len(texts), FEATURES)
 
 
 def _forward(x, p):
@@ -71,6 +73,18 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def gradients(q: np.ndarray, u: np.ndarray, p: list[np.ndarray], prior: float | None) -> list[np.ndarray]:
+    """Gradients of the risk of a batch q of positives and u of unlabelled rows; logistic loss: l(z, +1) = log(1 + e^-z),
+    l(z, -1) = log(1 + e^z). prior None: a plain discriminator of q against u."""
+    (hu, gu), (hq, gq) = _forward(u, p), _forward(q, p)
+    if prior is None:
+        return [a + b for a, b in zip(_back(q, hq, -_sigmoid(-gq) / len(q), p), _back(u, hu, _sigmoid(gu) / len(u), p), strict=True)]
+    negative = [a + b for a, b in zip(_back(u, hu, _sigmoid(gu) / len(u), p), _back(q, hq, -prior * _sigmoid(gq) / len(q), p), strict=True)]
+    if np.logaddexp(0, gu).mean() < prior * np.logaddexp(0, gq).mean():  # overfitted: go back along the negative risk
+        return [-a for a in negative]
+    return [a + b for a, b in zip(_back(q, hq, -prior * _sigmoid(-gq) / len(q), p), negative, strict=True)]
+
+
 def _train(xp: np.ndarray, xu: np.ndarray, prior: float | None, epochs: int, seed: int) -> list[np.ndarray]:
     """Adam over batches. prior None: a plain discriminator of xp against xu."""
     rng = np.random.default_rng(seed)
@@ -81,20 +95,7 @@ def _train(xp: np.ndarray, xu: np.ndarray, prior: float | None, epochs: int, see
     for _ in range(epochs):
         order = rng.permutation(len(xu))
         for i in range(0, len(xu), size):
-            u, q = xu[order[i : i + size]], xp[rng.integers(0, len(xp), size)]
-            hu, gu = _forward(u, p)
-            hq, gq = _forward(q, p)
-            # logistic loss: l(z, +1) = log(1 + e^-z), l(z, -1) = log(1 + e^z)
-            if prior is None:
-                grads = [a + b for a, b in zip(_back(q, hq, -_sigmoid(-gq) / len(q), p), _back(u, hu, _sigmoid(gu) / len(u), p), strict=True)]
-            else:
-                below = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gq).mean()
-                neg_u, neg_q = _back(u, hu, _sigmoid(gu) / len(u), p), _back(q, hq, -prior * _sigmoid(gq) / len(q), p)
-                if below < 0:  # overfitted: go back along the negative risk
-                    grads = [-(a + b) for a, b in zip(neg_u, neg_q, strict=True)]
-                else:
-                    pos = _back(q, hq, -prior * _sigmoid(-gq) / len(q), p)
-                    grads = [a + b + c for a, b, c in zip(pos, neg_u, neg_q, strict=True)]
+            grads = gradients(xp[rng.integers(0, len(xp), size)], xu[order[i : i + size]], p, prior)
             step += 1
             for k in range(4):
                 g = grads[k] + 1e-4 * p[k]
@@ -115,18 +116,24 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, seed: int = 3) -> float:
     return float(np.clip(((above_u + error) / np.maximum(above_p - error, 1e-3)).min(), 0.05, 0.99))
 
 
-def fit(positives: list[bytes], unlabelled: list[bytes]) -> dict:
+def fit(positives: np.ndarray, unlabelled: np.ndarray) -> dict:
+    """Both as rows of features()."""
     if len(positives) < 4 or len(unlabelled) < 4:
         return {}
-    xp, xu = features(positives), features(unlabelled)
-    mean, std = xu.mean(axis=0), xu.std(axis=0)
+    mean, std = unlabelled.mean(axis=0), unlabelled.std(axis=0)
     std[std == 0] = 1
-    xp, xu = (np.clip((x - mean) / std, -6, 6) for x in (xp, xu))
+    xp, xu = (np.clip((x - mean) / std, -6, 6) for x in (positives, unlabelled))
     prior = estimate_prior(xp, xu)
     nets = [_train(xp, xu, prior, 40, seed) for seed in (1, 2, 3)]
     return {"mean": mean, "std": std, "prior": prior, "nets": nets}
 
 
+def numbers_of(sample: DataFrame) -> np.ndarray:
+    """The features of a sample's texts, made in tasks, in order of id."""
+    rows = common.per_row(sample, ["id"], "text", lambda t: [pa.array([x.tobytes() for x in features(t)], pa.binary())], "x binary").collect()
+    return np.frombuffer(b"".join(r.x for r in sorted(rows, key=lambda r: r.id))).reshape(len(rows), FEATURES)
+
+
 def predict(texts: list[bytes], model: dict) -> np.ndarray:
     if not model:
         return np.zeros(len(texts))
@@ -148,11 +155,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    trusted = labels.where(~held_out("doc_id", 4, 2) & (F.col("quality") == 1))
-    positive = labelled.texts_of(docs, labelled.draw(trusted, POSITIVES, "doc_id", 5), "doc_id", "text")
+    good = labels.where(~held_out("doc_id", 4, 2) & (F.col("quality") == 1)).select(F.col("doc_id").cast("long").alias("id"), F.lit(1).alias("g"))
     # no label is read here, so held-out documents may be among the unlabelled texts
-    unlabelled = labelled.texts_of(docs, labelled.draw(docs, UNLABELLED, "doc_id", 6), "doc_id", "text")
-    model = fit([positive[i].encode() for i in sorted(positive)], [unlabelled[i].encode() for i in sorted(unlabelled)])
+    any_ = docs.select(F.col("doc_id").cast("long").alias("id"), F.lit(0).alias("g"))
+    positives, unlabelled = (numbers_of(labelled.with_texts(docs, labelled.draw(rows, {g: n}, seed), "doc_id", "text")) for rows, g, n, seed in ((good, 1, POSITIVES, 5), (any_, 0, UNLABELLED, 6)))
+    model = fit(positives, unlabelled)
     return score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
