@@ -104,13 +104,13 @@ def test_features_and_lexicon(spark, texts):
     sample = spark.createDataFrame(rows, "id long, text string, g int")
     n = [sum(g == y for *_, g in rows) for y in (0, 1)]
     lexicon = toxicity.learn_lexicon(sample, n[1], n[0])
-    want = {}
-    for w in set().union(*(toxicity.terms(t) for _, t, g in rows if g)):
-        a, b = (sum(w in toxicity.terms(t) for _, t, g in rows if g == y) for y in (1, 0)) if n[1] < 30 else (0, 0)
+    want, held = {}, [[toxicity.terms(t) for _, t, g in rows if g == y] for y in (0, 1)]
+    for w in set().union(*held[1]):
+        b, a = (sum(w in x for x in held[y]) for y in (0, 1))
         v = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n[1] + 1) - 1 / (n[0] + 1))
         if a >= 4 and v > 0.7:
             want[w] = v
-    assert n[1] < 30 and lexicon.keys() == want.keys() and all(abs(lexicon[w] - want[w]) < 1e-9 for w in want)
+    assert lexicon.keys() == want.keys() and all(abs(lexicon[w] - want[w]) < 1e-9 for w in want)
     lexicon |= {"idiot": 3.0, "stup*": 2.0, "thon*": 1.0, "there": 0.9}
     some = [t for _, t, g in rows if g][:6] + [t for _, t, g in rows if not g][:6] + ["", "YOU 1d10t! you!! idiooot there, stupidly i.d.i.o.t", "you there " * 1_500]
     assert np.allclose(toxicity.features(some, toxicity.Words(lexicon)), [plain_features(t, lexicon) for t in some], atol=1e-9)
@@ -178,7 +178,7 @@ def test_samples_are_bounded_by_rows_not_by_length(spark):
     labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(1200)] + [(5, True), (None, True)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) AS toxic")
     all_ = labelled.balanced(docs, labels, "toxic", {0: 5000, 1: 5000}).collect()
     seen = [r.id for r in all_]
-    assert len(seen) == len(set(seen)) and set(seen) == {r[0] for r in rows if r[0] is not None} and max(len(r.text) for r in all_) > 150_000
+    assert len(seen) == len(set(seen)) and set(seen) == {r[0] for r in rows if r[0] is not None} and max(len(r.text) for r in all_) > 100_000
     assert next(r.g for r in all_ if r.id == 5) == 1 and all(r.text == min(t for i, t, *_ in rows if i == r.id) for r in all_)
     few = labelled.balanced(docs, labels, "toxic", {0: 30, 1: 10}).collect()
     assert 20 <= len(few) <= 40 and {(r.g, r.total) for r in few} == {(0, 799), (1, 401)}
