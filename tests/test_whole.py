@@ -7,7 +7,6 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from wakeline.llm import imatch, toxicity
 from wakeline.operators import models, splits
 from wakeline.plans import model_queries
 
@@ -60,16 +59,6 @@ def test_an_abnormal_late_component_raises_the_scores(spark, tmp_path):
         assert len(got) == 600 and all(got[i] > usual for i in odd)
 
 
-def test_nearness_to_second_person_words_in_long_texts():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        hits, you = (sorted(rng.choice(80, rng.integers(0, 12), replace=False).tolist()) for _ in range(2))
-        assert toxicity.nearby(hits, you) == sum(any(abs(i - j) <= 4 for j in you) for i in hits)
-    words = toxicity.Words({"idiot": 3.0})
-    short, long_ = toxicity.features(["you idiot " * 10, "you idiot " * 2000], words)
-    assert short[11] == long_[11] == 0.5
-
-
 def test_splits_follow_one_rule_at_every_number_of_groups(spark):
     rng = np.random.default_rng(0)
     for hot, classes in ((1500, None), (0, "c"), (40, "c")):
@@ -107,11 +96,3 @@ def test_components_link_long_documents(spark, tmp_path):
     data = [(1, "a" * 500, "s", 500), (2, "b" * 500, "s", 500), (3, "c" * 500, "t", 500), (4, "d", "s", None), (5, "e", "s", None)]
     spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.group_id for r in model_queries.components(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
-
-
-def test_lexicon_holds_the_whole_band(spark):
-    text = " ".join(f"w{i}" for i in range(70_000))
-    df = spark.createDataFrame([(1, text), (2, text), (3, "other")], "doc_id long, text string")
-    words = imatch.lexicon(df, low=0.5, high=0.7)
-    assert len(set(words)) == 70_000
-    assert df.select(F.size(imatch.banded(imatch.terms(F.col("text")), words)).alias("n")).first().n == 70_000
