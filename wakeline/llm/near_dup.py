@@ -9,16 +9,20 @@ No pair inside a group is emitted without need:
 
 1. documents with equal sets are one class, represented by its smallest id;
 2. each class is tried against the smallest id of each of its buckets (a star, linear in the bucket);
-3. confirmed links give components; only buckets that still hold several components go on, and there only pairs from
-   different components whose sizes and signatures allow the similarity (estimate at least ``threshold - SLACK``,
-   five standard deviations below it) are confirmed inside the join, so that links alone leave it;
-4. every link is confirmed on the full shingle sets, and components are taken again.
+3. confirmed links give components; only buckets that still hold several components go on. There each class outside
+   the bucket's largest component is tried against the classes of other components, in slices of a hot bucket;
+   classes of one component are never compared. A pair is tried in the first bucket that it shares;
+4. a pair leaves the bucket only if its parity sketches allow the link: every shingle that one of the two sets lacks flips
+   one of 1,536 bits, so the number of unequal bits never exceeds the true difference and the test loses no link. Sets too
+   large for the sketch are compared inside the join, after an estimate by the signatures (five standard deviations);
+5. every link is confirmed on the full shingle sets, and components are taken again.
 
 Links, components and sets stay in tables in the shared folder; nothing but counts reaches the driver.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; a text of fewer
-than k words is one shingle; rows with a null id get their class but carry no links; repeated rows are one class
-(both rows of a repeated id are returned); further columns are not read.
+than k words is one shingle; rows with a null id get their class but carry no links; repeated rows are one class;
+rows that share an id are one document: a link of any of its texts holds for it, and all its rows are returned with its
+component; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +37,12 @@ from . import common
 
 BANDS = 24
 PERMUTATIONS = 2 * BANDS
-SKETCH_LONGS = -(-2 * PERMUTATIONS // 7)
 SLACK = 0.2
+#: Parity sketches: longs, and the largest set that goes by them.
+PARITY = 24
+SMALL = 2_000
+#: Classes of a bucket that one slice holds.
+SLICE = 512
 #: A list of ids is broadcast up to this many rows (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _rng = np.random.default_rng(74207281)
@@ -54,11 +62,10 @@ def minmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return common.mix(lo), common.mix(hi)
 
 
-def _packed(values: np.ndarray) -> np.ndarray:
-    """Bytes as longs of seven bytes each; the eighth stays zero, so that sums cannot overflow."""
-    rows = np.zeros((-(-len(values) // 7), 8), np.uint8)
-    rows[:, :7] = np.pad(values, (0, -len(values) % 7)).reshape(-1, 7)
-    return rows.reshape(-1).view(np.int64)
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles fell on them, as longs."""
+    size = 64 * PARITY
+    return np.packbits((np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(bool)).view(np.int64)
 
 
 def sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -87,7 +94,7 @@ def signatures(texts: list[bytes], k: int) -> list[pa.Array]:
         for x in (hi[0::2], lo[1::2], hi[1::2]):
             h = common.mix(h * np.uint64(0x100000001B3) ^ x)
         bands.append(h.view(np.int64))
-        sketch.append(_packed(np.concatenate((lo, hi)).astype(np.uint8)))
+        sketch.append(np.concatenate((lo, hi)).view(np.int64) if len(s) > SMALL else np.zeros(0, np.int64))
     return [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _long_lists(bands), _long_lists(sketch)]
 
 
@@ -117,10 +124,10 @@ def _similar(a: str, b: str, percent: int):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(_similar("sa", "sb", percent)).select("a", "b")
+    """The links (a, b) among pairs (a, ka, b, kb) of classes: those whose full sets are similar enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("k1").alias("ka"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("k1").alias("kb"), F.col("s").alias("sb"))
+    return pairs.join(left, ["a", "ka"]).join(right, ["b", "kb"]).where(_similar("sa", "sb", percent)).select("a", "b").where("a <> b")
 
 
 def _first_common(a: str, b: str):
@@ -133,6 +140,46 @@ def _first_common(a: str, b: str):
     return F.col(f"{a}.bucket") == first
 
 
+def _able(a: str, b: str, percent: int):
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _may_link(a: str, b: str, percent: int):
+    """No small set's link fails this. Each shingle in one set alone changes one parity bit, and a link allows
+    (100 - percent) / (100 + percent) of both sizes of them; large sets are compared, after the signatures' estimate."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    bits = F.lit(0)
+    for i in range(PARITY):
+        bits = bits + F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")))
+    equal = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    large = (F.size(f"{a}.s") > 0) & (F.size(f"{b}.s") > 0)
+    close = (equal >= int(2 * PERMUTATIONS * (percent / 100 - SLACK))) & _similar(f"{a}.s", f"{b}.s", percent)
+    return (bits * (100 + percent) <= n * (100 - percent)) & (~large | close)
+
+
+def _between(members: DataFrame, first: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, ka, b, kb) of classes in different components that share a bucket and may be linked."""
+    placed = members.select("bucket", "rep", "k1", "n").join(first, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "k1", "n", F.coalesce("comp", "rep").alias("comp"))
+    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    held = held.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    wide = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(BANDS)] + [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]
+    none = F.lit(None).cast("array<long>")
+    marks = sets.select(F.col("id").alias("rep"), "k1", "parity", F.when(F.size("s") > SMALL, F.col("s")).otherwise(none).alias("s"))
+    marks = reps.join(marks, ["rep", "k1"]).select("rep", "k1", *wide, "s", F.when(F.col("n") > SMALL, F.col("sketch")).otherwise(none).alias("sketch"))
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    open_ = placed.join(held.select("bucket", "major", slices.alias("slices")), "bucket").join(marks, ["rep", "k1"])
+    open_ = common.materialize(open_, "open")
+    x = open_.where("comp <> major").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("x")
+    y = open_.withColumn("slice", F.pmod(F.xxhash64("rep", "k1"), F.col("slices")).cast("int")).alias("y")
+    once = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.comp") < F.col("y.comp")))
+    fits = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.slice") == F.col("y.slice")) & once & _able("x.n", "y.n", percent) & _first_common("x", "y") & _may_link("x", "y", percent)
+    pairs = x.join(y.hint("merge"), fits).select(F.col("x.rep").alias("a"), F.col("x.k1").alias("ka"), F.col("y.rep").alias("b"), F.col("y.k1").alias("kb"))
+    pairs = common.materialize(pairs, "pairs")
+    common.discard(open_)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -140,55 +187,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sig.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = common.materialize(reps, "classes")
 
-    buckets = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("centre")).where("size > 1").drop("size")
+    buckets = reps.select("rep", "k1", "n", F.explode("bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rep", "k1", "n")).alias("centre")).where("size > 1").drop("size")
     members = common.materialize(buckets.join(full, "bucket"), "members")
-    needed = members.select(F.col("rep").alias("id")).distinct()
-    needed = common.materialize(needed, "needed")
-    n_needed = needed.count()
-    sets = common.materialize(common.per_row(only_ids(docs, needed, n_needed, "id"), ["id"], "text", lambda t: [_long_lists(sets_of(t, k))], "s array<long>"), "sets")
-    if sets.count() != n_needed:  # ids that the input repeats
-        sets = common.materialize(sets.dropDuplicates(["id"]), "sets1")
-
-    def able(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    sizes = members.select(F.col("rep").alias("centre"), F.col("n").alias("nc")).where("rep = centre").distinct()
-    star = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"), "n").distinct()
-    star = star.join(sizes, star["b"] == sizes["centre"]).where(able("n", "nc")).select("a", "b")
-    links = common.materialize(_confirm(star, sets, percent), "links")
+    needed = common.materialize(members.select(F.col("rep").alias("id")).distinct(), "needed")
+
+    def sets_and_marks(texts: list[bytes]) -> list[pa.Array]:
+        all_ = sets_of(texts, k)
+        return [pa.array([int(s.sum().view(np.int64)) for s in all_], pa.int64()), _long_lists(all_), _long_lists([parity(s) for s in all_])]
+
+    sets = common.per_row(only_ids(docs, needed, needed.count(), "id"), ["id"], "text", sets_and_marks, "k1 long, s array<long>, parity array<long>")
+    sets = common.materialize(sets.where(F.size("s") > 0), "sets")
+    if sets.count() != members.select("rep", "k1").distinct().count():  # ids that the input repeats: one row of each class
+        sets = common.materialize(sets.groupBy("id", "k1").agg(F.first("s").alias("s"), F.first("parity").alias("parity")), "sets1")
+
+    star = members.where("rep <> centre.rep").select(F.col("rep").alias("a"), F.col("k1").alias("ka"), "n", F.col("centre.rep").alias("b"), F.col("centre.k1").alias("kb"), F.col("centre.n").alias("nb"))
+    star = star.where(_able("n", "nb", percent)).select("a", "ka", "b", "kb").distinct()
+    links = _confirm(star, sets, percent)
+    # an id with several texts joins their classes
+    several = sig.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("k1", "k2", "n")).alias("low"), F.max(F.struct("k1", "k2", "n")).alias("high")).where("low <> high").select("id")
+    both = sig.join(several, "id").where("n > 0").join(reps.select("rep", "k1", "k2", "n"), ["k1", "k2", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = common.materialize(links.unionByName(both), "links")
     first = components(links)
 
-    placed = members.select("bucket", "rep", "n").join(first, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-    wide = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(BANDS)] + [F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(SKETCH_LONGS)]
-    held = reps.select("rep", *wide).join(sets.select(F.col("id").alias("rep"), "s"), "rep")
-    placed = common.materialize(placed.join(open_, "bucket").join(held, "rep"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    most_unequal = 2 * PERMUTATIONS - int(2 * PERMUTATIONS * (percent / 100 - SLACK))
-    # each pair is tried in the first bucket that it shares, cheapest tests first, so only links leave the join
-    fits = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")) & able("x.n", "y.n")
-    fits = fits & (_unequal("x", "y") <= most_unequal) & _first_common("x", "y") & _similar("x.s", "y.s", percent)
-    more = x.join(y, fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = common.materialize(more, "links2")
+    pairs = _between(members, first, sets, reps, percent)
+    more = common.materialize(_confirm(pairs, sets, percent), "links2")
     final = components(links.unionByName(more))
+    for df in (members, needed, sets, links, first, pairs, more):
+        common.discard(df)
 
-    classes = reps.join(final, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.col("n").alias("n_"), F.coalesce("comp", "rep").alias("comp"))
-    out = sig.join(classes, (sig["k1"] == classes["k1"]) & (sig["k2"] == classes["k2"]) & (sig["n"] == classes["n_"]), "left")
+    comps = reps.join(final, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.col("n").alias("n_"), F.coalesce("comp", "rep").alias("comp"))
+    out = sig.join(comps, (sig["k1"] == comps["k1"]) & (sig["k2"] == comps["k2"]) & (sig["n"] == comps["n_"]), "left")
     comp = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def _unequal(a: str, b: str):
-    """How many of the sketches' bytes differ. Each long holds seven; adding 0x7F to the low bits of a byte that is not
-    zero sets its high bit. Plain columns keep the join's generated code small enough to be compiled."""
-    low, high, total = 0x007F7F7F7F7F7F7F, 0x0080808080808080, F.lit(0)
-    for i in range(SKETCH_LONGS):
-        v = F.col(f"{a}.k{i}").bitwiseXOR(F.col(f"{b}.k{i}"))
-        total = total + F.bit_count((v.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(v).bitwiseAND(F.lit(high)))
-    return total
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group, all columns kept; of rows with one id, the first by text stays."""
     found = common.materialize(near_duplicates(docs, id_col, text_col, k, percent), "groups")
