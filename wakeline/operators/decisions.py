@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 # Fixed values.
 FLAG_OUTCOMES = ("missed", "mislabeled")
 PASS_OUTCOMES = ("detected",)
+#: Classes are configuration: more than this are an error.
+MAX_CLASSES = 1_000
 BLOCKED_ROLES = ("hostile", "adversary", "attack", "held_out")
 
 
@@ -18,7 +22,7 @@ def resolve(contacts: DataFrame, policy: DataFrame, override: str | None = None,
 
     An override replaces the envelope of scoreable classes alone.
     """
-    p = F.broadcast(policy.select(F.col("class").alias("_class"), F.coalesce("policy", F.lit("abstain")).alias("_policy"), F.col("envelope").alias("_envelope"), F.col("reason").alias("_reason")))
+    p = tables.small(policy.select(F.col("class").alias("_class"), F.coalesce("policy", F.lit("abstain")).alias("_policy"), F.col("envelope").alias("_envelope"), F.col("reason").alias("_reason")))
     out = contacts.join(p, F.col(asserted) == F.col("_class"), "left")
     score = (F.col("_policy") == "score") & F.col("_envelope").isNotNull() & (F.col("_envelope") != "")
     kind = F.when(F.col("_class").isNull(), "unknown_class").when(score, "score").otherwise("abstain")
@@ -43,7 +47,7 @@ def with_threshold(rows: DataFrame, table: DataFrame, far_target: float, keys: S
     """rows with the threshold of their subspace, that of 'core' where it has none. table: keys, subspace, far_target, threshold."""
     t = table.where(F.abs(F.col("far_target") - far_target) < 1e-12).select(*keys, "subspace", "threshold")
     wide = t.groupBy(*keys).agg(F.max(F.when(F.col("subspace") == "core", F.col("threshold"))).alias("_core"), F.max(F.when(F.col("subspace") == "core_course", F.col("threshold"))).alias("_course"))
-    out = rows.join(F.broadcast(wide), list(keys), "left")
+    out = rows.join(tables.small(wide), list(keys), "left")
     return out.withColumn("threshold", F.when(F.col("subspace") == "core_course", F.coalesce("_course", "_core")).otherwise(F.col("_core"))).drop("_core", "_course")
 
 
@@ -86,7 +90,7 @@ def admissible_splits(pairs: DataFrame, policy: DataFrame, members: DataFrame, p
     what touches the proxy pool and for members of the envelope; none without an envelope; else all."""
     env = policy.where("policy = 'score'").select(F.col("class").alias("asserted_class"), F.col("envelope").alias("_env"))
     known = members.select(F.col("envelope").alias("_env"), F.col("member_class").alias("source_class")).distinct().withColumn("_member", F.lit(True))
-    rows = pairs.join(F.broadcast(env), "asserted_class", "left").join(F.broadcast(known), ["_env", "source_class"], "left")
+    rows = pairs.join(tables.small(env), "asserted_class", "left").join(tables.small(known), ["_env", "source_class"], "left")
     held, all_ = F.array(F.lit("test"), F.lit("val")), F.array(F.lit("test"), F.lit("train"), F.lit("val"))
     proxy = (F.coalesce(F.col("_env") == proxy_envelope, F.lit(False)) | F.col("asserted_class").isin(list(proxy_asserted) or [""])) & F.col("source_class").isin(list(proxy_sources) or [""])
     none = F.array().cast("array<string>")
@@ -96,8 +100,11 @@ def admissible_splits(pairs: DataFrame, policy: DataFrame, members: DataFrame, p
 
 def swap_pairs(classes: DataFrame, column: str = "class") -> DataFrame:
     """All ordered pairs of different classes of a (small) class table."""
-    a, b = classes.select(F.col(column).alias("source_class")).distinct(), classes.select(F.col(column).alias("asserted_class")).distinct()
-    return a.join(F.broadcast(b), F.col("source_class") != F.col("asserted_class"))
+    names = sorted(r[0] for r in classes.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(names) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    kind = classes.schema[column].dataType.simpleString()
+    return classes.sparkSession.createDataFrame([(a, b) for a in names for b in names if a != b], f"source_class {kind}, asserted_class {kind}")
 
 
 def fast_and_straight(min_sog: float = 30.0, min_straightness: float = 0.95) -> Column:

@@ -46,6 +46,13 @@ def radius_join(points: DataFrame, seeds: DataFrame, radius_nm: float, lat: str
     return rows.withColumn("range_nm", geo.range_nm(lat, lon, seed_lat, seed_lon)).where(F.col("range_nm") <= radius_nm)
 
 
+def near_tracks(points: DataFrame, references: DataFrame, track: Sequence[str], reference: Sequence[str], radius_nm: float, ref_lat: str = "seed_lat", ref_lon: str = "seed_lon") -> DataFrame:
+    """All points of every (track, reference) of which any point lies within the radius, with the reference's columns: the
+    pairs by a radius join, then an equi-join by track. Other pairs never meet."""
+    near = radius_join(points.select(*track, "lat", "lon"), references, radius_nm, seed_lat=ref_lat, seed_lon=ref_lon).select(*track, *reference).distinct()
+    return points.join(near.join(_small(references), list(reference)), list(track))
+
+
 def closest_points(points: DataFrame, by: Sequence[str], range_col: str = "range_nm", t: str = "t") -> DataFrame:
     """Per track: the least range, its time (the first on a tie) and how many points come before it."""
     w = Window.partitionBy(*by).orderBy(t)
@@ -94,11 +101,12 @@ def encounter_features(points: DataFrame, by: Sequence[str], lat0: str, lon0: st
 
 
 def encounter_windows(points: DataFrame, trip_regions: DataFrame, placements: DataFrame, lengths: Sequence[float], trip: str = "trip_id", annulus: Annulus = Annulus(), t: str = "t") -> DataFrame:
-    """Features per (trip, placement, window): the placements of the trip's region that any of its points reaches."""
-    p = _small(placements.select("asset_id", "port_region", F.col("lat").alias("asset_lat"), F.col("lon").alias("asset_lon")))
+    """Features per (trip, placement, window): the placements of the trip's region that any of its points reaches. The
+    window is the last W seconds of the trip."""
+    p = placements.select("asset_id", F.col("port_region").alias("_region"), F.col("lat").alias("asset_lat"), F.col("lon").alias("asset_lon"))
     end = F.max(t).over(Window.partitionBy(trip))
-    rows = points.join(trip_regions, trip).withColumn("_end", end).join(p, "port_region")
-    rows = rows.withColumn("_near", F.min(geo.range_nm("lat", "lon", "asset_lat", "asset_lon")).over(Window.partitionBy(trip, "asset_id"))).where(F.col("_near") <= annulus.max_range_nm)
+    rows = points.join(trip_regions, trip).withColumn("_end", end)
+    rows = near_tracks(rows, p, [trip], ["asset_id"], annulus.max_range_nm, "asset_lat", "asset_lon").where(F.col("_region") == F.col("port_region"))
     rows = rows.withColumn("window_s", F.explode(F.array(*[F.lit(float(x)) for x in lengths]))).where(F.col(t) >= F.col("_end") - F.col("window_s"))
     return encounter_features(rows, [trip, "asset_id", "window_s"], "asset_lat", "asset_lon", annulus, t)
 

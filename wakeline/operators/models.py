@@ -14,9 +14,11 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 # Fixed values of the model configuration.
 COMPONENTS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
 REG, ITERATIONS, STARTS, SEED = 1e-6, 200, 3, 1337
@@ -24,6 +26,7 @@ KNEE_NATS = 0.5
 FAR_TARGETS = (0.01, 0.05, 0.1)
 TREES, SUBSAMPLE = 200, 256
 MIN_ROWS = 50
+MAX_MODELS = 50_000
 REGISTRY = "family string, n_train long, model string"
 
 
@@ -205,7 +208,7 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
         return exact
     counts = rows.groupBy(*by, split).count()
     unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    rows = rows.join(F.broadcast(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
+    rows = rows.join(tables.small(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     d, chosen, keys = len(features), list(families), list(by)
 
@@ -227,7 +230,9 @@ def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> Data
     pass, products and fourth powers of the standardised features, summed by partition and then by group, in a second."""
     stats = [f(F.get("_x", F.lit(i))).alias(f"_{p}{i}") for i in range(d) for p, f in (("m", F.avg), ("s", F.stddev_pop))]
     groups = rows.groupBy(*by).agg(F.count("*").alias("n_train"), *stats).where(F.col("n_train") >= min_rows)
-    found = groups.collect()
+    found = groups.limit(MAX_MODELS + 1).collect()
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
     mean = np.array([[r[f"_m{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
     std = np.array([[r[f"_s{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
     std = np.where(std > 0, std, 1.0)
@@ -258,8 +263,12 @@ def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> Data
 
 
 def score_rows(rows: DataFrame, registry: DataFrame, by: Sequence[str], features: Sequence[str], family: str) -> DataFrame:
-    """rows with ``score``; NULL where a feature is missing or the group has no model. No shuffle."""
-    models = {tuple(str(r[c]) for c in by): json.loads(r.model) for r in registry.where(F.col("family") == family).collect()}
+    """rows with ``score``; NULL where a feature is missing or the group has no model. No shuffle. Models are
+    configuration and are sent to all tasks: more than MAX_MODELS of them are an error."""
+    found = registry.where(F.col("family") == family).limit(MAX_MODELS + 1).collect()
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    models = {tuple(str(r[c]) for c in by): json.loads(r.model) for r in found}
     sent = rows.sparkSession.sparkContext.broadcast(models)
     n = len(by)
 
@@ -284,7 +293,7 @@ def standardized(rows: DataFrame, features: Sequence[str], by: Sequence[str] = (
     """Features minus mean over population deviation (1 if constant), one aggregate and one join with a row per group."""
     aggs = [f(c).alias(f"_{p}_{c}") for c in features for p, f in (("m", F.avg), ("s", F.stddev_pop))]
     stats = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs).withColumn("_one", F.lit(1))
-    rows = rows.join(F.broadcast(stats), list(by)) if by else rows.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").drop("_one")
+    rows = rows.join(tables.small(stats), list(by)) if by else rows.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").drop("_one")
     z = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in features}
     return rows.withColumns(z).drop(*[f"_{p}_{c}" for c in features for p in "ms"])
 
@@ -292,14 +301,12 @@ def standardized(rows: DataFrame, features: Sequence[str], by: Sequence[str] = (
 def thresholds(rows: DataFrame, by: Sequence[str], targets: Sequence[float] = FAR_TARGETS, split: str = "split") -> DataFrame:
     """Per group and false-alarm target: the percentile 100 (1 - target) of validation scores, of training scores where
     the group has no validation score. Exact, linearly interpolated."""
-    ok = F.col("score").isNotNull() & ~F.isnan("score")
-    wanted = [1 - t for t in targets]
-    val = F.percentile(F.when(ok & (F.col(split) == "val"), F.col("score")), wanted)
-    train = F.percentile(F.when(ok & (F.col(split) == "train"), F.col("score")), wanted)
-    both = rows.groupBy(*by).agg(val.alias("_v"), train.alias("_t"))
-    cuts = F.coalesce(F.when(F.size("_v") > 0, F.col("_v")), F.col("_t"))
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(t)) for t in targets]).alias("far_target"), cuts.alias("threshold")))
-    return both.select(*by, pairs.alias("_p")).select(*by, "_p.far_target", "_p.threshold")
+    kind = F.when(F.col(split) == "val", 0).when(F.col(split) == "train", 1)
+    rows = rows.withColumn("_s", kind).where("_s is not null")
+    cuts = tables.exact_quantiles(rows, [*by, "_s"], "score", [1 - t for t in targets])
+    best = cuts.groupBy(*by).agg(F.min_by("cuts", "_s").alias("cuts"))
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(t)) for t in targets]).alias("far_target"), F.col("cuts").alias("threshold")))
+    return best.select(*by, pairs.alias("_p")).select(*by, "_p.far_target", "_p.threshold")
 
 
 def subspace(course: Sequence[str], available: Column | None = None) -> Column:
@@ -310,7 +317,3 @@ def subspace(course: Sequence[str], available: Column | None = None) -> Column:
     if available is not None:
         known = known & available
     return F.when(known, "core_course").otherwise("core")
-
-
-def window_rank(by: Sequence[str], order: str):
-    return F.row_number().over(Window.partitionBy(*by).orderBy(order))

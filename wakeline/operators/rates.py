@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 THIN = 20
 
 
@@ -43,11 +45,11 @@ def overall(rates: DataFrame, excluded: Column | None = None) -> DataFrame:
 def far_curve(rows: DataFrame, by: Sequence[str], targets: Sequence[float], score: str = "score") -> DataFrame:
     """Per group and target: its own percentile as threshold, and the share of scores strictly above.
 
-    One pass for the thresholds, one for the counts; the thresholds (a row per group) are broadcast.
+    One pass for the thresholds, one for the counts.
     """
     rows = rows.where(F.col(score).isNotNull())
-    cuts = rows.groupBy(*by).agg(F.percentile(score, [1 - t for t in targets]).alias("_c"))
-    joined = rows.join(F.broadcast(cuts), list(by))
+    cuts = tables.exact_quantiles(rows, by, score, [1 - t for t in targets]).withColumnRenamed("cuts", "_c")
+    joined = rows.join(tables.small(cuts), list(by))
     counts = joined.groupBy(*by).agg(F.count("*").alias("n"), F.first("_c").alias("_c"), F.array(*[F.count_if(F.col(score) > F.col("_c").getItem(i)) for i in range(len(targets))]).alias("_n"))
     p = F.explode(F.arrays_zip(F.array(*[F.lit(float(t)) for t in targets]).alias("far_target"), F.col("_c").alias("threshold"), F.col("_n").alias("n_above")))
     return counts.select(*by, "n", p.alias("_p")).select(*by, "n", "_p.far_target", "_p.threshold", (F.col("_p.n_above") / F.col("n")).alias("realized"))

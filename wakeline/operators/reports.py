@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import in_all
@@ -18,9 +18,13 @@ def envelope_coverage(tracks: DataFrame, envelopes: dict[str, dict[str, Sequence
     return tracks.withColumn("envelope", F.explode(tags)).groupBy(*keys).agg(F.count("*").alias("n_tracks"), F.countDistinct(vessel).alias("n_vessels"))
 
 
-def window_coverage(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group and window: contacts, complete ones and their share; and how often each is the longest complete one."""
-    return rows.groupBy(*by, "window_s").agg(F.count("*").alias("n"), F.count_if("window_complete").alias("n_complete")).withColumn("share", F.col("n_complete") / F.col("n"))
+def window_coverage(rows: DataFrame, by: Sequence[str], track: Sequence[str]) -> DataFrame:
+    """Per group and window: contacts, complete ones and their share; and of how many contacts it is the longest complete
+    one. track: the columns that name a contact."""
+    longest = F.max(F.when(F.col("window_complete"), F.col("window_s"))).over(Window.partitionBy(*track))
+    rows = rows.withColumn("_longest", F.coalesce(F.col("window_complete") & (F.col("window_s") == longest), F.lit(False)))
+    out = rows.groupBy(*by, "window_s").agg(F.count("*").alias("n"), F.count_if("window_complete").alias("n_complete"), F.count_if("_longest").alias("n_longest"))
+    return out.withColumn("share", F.col("n_complete") / F.col("n"))
 
 
 def eligibility(boxes: DataFrame, by: Sequence[str], least: float = 8.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,27 +188,58 @@ def exact_duplicates(items: DataFrame, digest: str, id_col: str) -> DataFrame:
     return items.join(groups, digest)
 
 
-def hash_bands(hash_col: str, bands: int = 4, width: int = 16) -> Column:
-    """array<struct<band, value>> of a 64-bit hash."""
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(hash_col), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for i in range(bands)])
+def hash_keys(hash_col: str, radius: int, blocks: int = 8) -> Column:
+    """array<struct<combo, value>> of a 64-bit hash: the bits of each choice of blocks - radius blocks. Two hashes within
+    the radius differ in at most radius blocks, so they agree on a whole choice."""
+    width = 64 // blocks
+    part = lambda i: F.shiftrightunsigned(F.col(hash_col), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    keys = []
+    for n, combo in enumerate(combinations(range(blocks), blocks - radius)):
+        value = F.lit(0).cast("long")
+        for i in combo:
+            value = F.shiftleft(value, width).bitwiseOR(part(i))
+        keys.append(F.struct(F.lit(n).alias("combo"), value.alias("value")))
+    return F.array(*keys)
 
 
-def near_duplicate_hashes(items: DataFrame, hash_col: str, id_col: str, radius: int = 5) -> DataFrame:
-    """(a, b, distance) of 64-bit hashes within the radius that share one of four 16-bit bands.
+def near_duplicate_hashes(items: DataFrame, hash_col: str, id_col: str, radius: int = 5, blocks: int = 8) -> DataFrame:
+    """(a, b, distance): every pair of different 64-bit hashes within the radius, and copies linked to their first id.
 
-    Equal hashes are one class and are linked to its first id alone; the classes are compared within bands. A bucket
-    that many classes share is joined by the class and the band value, which AQE splits if it is large.
+    Equal hashes are one class, represented by its least id. Classes meet in the buckets of ``hash_keys`` (for radius 5:
+    56 keys of 24 bits); a pair is told in the first choice on which it agrees, so none comes twice. A bucket that many
+    classes share is joined by choice and value, which AQE splits if it is large.
     """
     items = items.select(F.col(hash_col).alias("h"), F.col(id_col).alias("item")).where("h is not null")
     classes = items.groupBy("h").agg(F.min("item").alias("id"))
     same = items.join(classes, "h").where("item <> id").select(F.col("id").alias("a"), F.col("item").alias("b"), F.lit(0).alias("distance"))
-    banded = classes.select("id", "h", F.explode(hash_bands("h")).alias("k")).select("id", "h", "k.band", "k.value")
-    x, y = banded.alias("x"), banded.alias("y")
+    keyed = classes.select("id", "h", F.explode(hash_keys("h", radius, blocks)).alias("k")).select("id", "h", "k.combo", "k.value")
+    x, y = keyed.alias("x"), keyed.alias("y")
     d = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (d <= radius))
-    return same.unionByName(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), d.alias("distance")).distinct())
-
-
-def numbered(items: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "global_id") -> DataFrame:
-    """Row numbers in an explicit order within groups. Without groups the whole table is one: for small tables."""
-    return items.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    # which blocks agree, as a number; the first choice of agreeing blocks for each such number
+    width = 64 // blocks
+    differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    agree = F.lit(0)
+    for i in range(blocks):
+        agree = agree + F.when(F.shiftrightunsigned(differ, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) == 0, 1 << i).otherwise(0)
+    at = {combo: n for n, combo in enumerate(combinations(range(blocks), blocks - radius))}
+    first = [at.get(tuple(i for i in range(blocks) if m >> i & 1)[: blocks - radius], -1) for m in range(1 << blocks)]
+    once = F.element_at(F.lit(first), agree + 1) == F.col("x.combo")
+    near = x.join(y, (F.col("x.combo") == F.col("y.combo")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (d <= radius) & once)
+    return same.unionByName(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), d.alias("distance")))
+
+
+def numbered(items: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "global_id", rows_per_range: int = 1_000_000, save=None) -> DataFrame:
+    """Row numbers in an explicit order within groups. Without groups the table is sorted into ranges, rows are numbered
+    within each and shifted by the rows of the ranges before; rows that are equal in the order have any of their numbers."""
+    if by:
+        return items.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    save = save or session.checkpoint
+    ranges = max(1, -(-items.count() // rows_per_range))
+    items = save(items.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
+    base, seen = [], 0
+    for r in sorted(items.groupBy("_p").count().collect(), key=lambda r: r["_p"]):
+        base.append((r["_p"], seen))
+        seen += r["count"]
+    base = items.sparkSession.createDataFrame(base, "_p int, _base long")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return items.join(F.broadcast(base), "_p").withColumn(name, rank + F.col("_base")).drop("_p", "_base")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import geo
 
 
@@ -86,26 +87,23 @@ def trip_sequence(df: DataFrame, key: str = "mmsi", t: str = "t", limits: Limits
     return df.withColumn("_new", new).withColumn("trip_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
-def global_trip_id(df: DataFrame, key: str = "mmsi") -> DataFrame:
+def global_trip_id(df: DataFrame, key: str = "mmsi", vessels_per_range: int = 100_000, save=None) -> DataFrame:
     """trip_id: trips numbered over vessels in key order, by a prefix sum over one row per vessel.
 
-    The prefix runs over vessels (not points) in two levels: within ranges of vessels, then over the ranges.
+    The prefix runs over vessels (not points) in two levels: within ranges of vessels, then over the ranges. The trips of
+    each vessel are counted once and kept (``save``), so the segmentation before is not run again.
     """
-    per = df.groupBy(key).agg(F.max("trip_seq").alias("_n"))
-    spark = df.sparkSession
-    step = max(1, per.count() // 64)
-    cuts = per.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.001) if step > 1 else []
-    bucket = F.lit(0)
-    for i, c in enumerate(sorted(set(cuts)), 1):
-        bucket = F.when(F.col(key) >= c, i).otherwise(bucket)
-    per = per.withColumn("_b", bucket)
-    tops = sorted((r["_b"], r["n"]) for r in per.groupBy("_b").agg(F.sum("_n").alias("n")).collect())
+    save = save or session.checkpoint
+    per = save(df.groupBy(key).agg(F.max("trip_seq").alias("_n")))
+    ranges = max(1, -(-per.count() // vessels_per_range))
+    per = save(per.repartitionByRange(ranges, key).withColumn("_b", F.spark_partition_id())) if ranges > 1 else per.withColumn("_b", F.lit(0))
     base, seen = [], 0
-    for b, n in tops:
-        base.append((b, seen))
-        seen += n
+    for r in sorted(per.groupBy("_b").agg(F.sum("_n").alias("n")).collect(), key=lambda r: r["_b"]):
+        base.append((r["_b"], seen))
+        seen += r["n"]
     w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    offset = per.join(F.broadcast(spark.createDataFrame(base or [(0, 0)], "_b int, _base long")), "_b").select(key, (F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_offset"))
+    base = df.sparkSession.createDataFrame(base or [(0, 0)], "_b int, _base long")
+    offset = per.join(F.broadcast(base), "_b").select(key, (F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0))).alias("_offset"))
     return df.join(offset, key).withColumn("trip_id", F.col("_offset") + F.col("trip_seq") - 1).drop("_offset")
 
 
@@ -203,6 +201,18 @@ def stationary_runs(points: DataFrame, trip: Sequence[str] = ("trip_id",), t: st
     return rows.where(F.col("_span") >= dwell_s).drop("_slow", "_span").withColumnRenamed("_island", "run")
 
 
+def at_checkpoints(points: DataFrame, checks: DataFrame, by: Sequence[str], mean: str, last: str, t: str = "t") -> DataFrame:
+    """by, t_check, ``score`` (mean of a column over the track's points up to then, within 1e-9), ``last`` (a column at the
+    last of them): running values in one pass over points and checkpoints in order of time, linear in both. Checkpoints
+    before the first point are absent."""
+    held = points.select(*by, F.col(t).cast("double").alias("_at"), F.lit(None).cast("double").alias("t_check"), F.col(mean).alias("_m"), F.struct(F.col(last).alias("v")).alias("_l"))
+    none = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("_m", "_l")]
+    both = held.unionByName(checks.select(*by, (F.col("t_check") + 1e-9).alias("_at"), F.col("t_check").cast("double").alias("t_check"), *none))
+    run = Window.partitionBy(*by).orderBy("_at", F.col("t_check").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"score": F.avg("_m").over(run), "_l": F.last("_l", True).over(run)})
+    return both.where("t_check is not null and _l is not null").select(*by, "t_check", "score", F.col("_l.v").alias(last))
+
+
 def prefixes(points: DataFrame, trip: Sequence[str], min_history_s: float, stride_s: float, t: str = "t") -> DataFrame:
     """Checkpoints of each track: from the first time with enough history in fixed strides, and its end."""
     ends = points.groupBy(*trip).agg(F.min(t).cast("double").alias("_t0"), F.max(t).cast("double").alias("_t1"))

@@ -30,10 +30,12 @@ class Tracks:
 def ingest(raw: DataFrame, exact: dict[int, str], ranges: Sequence[tuple[int, int, str]], roles: dict[str, str], limits: tracks.Limits = tracks.Limits(), keep=session.checkpoint) -> Tracks:
     """Messages to points with trips, trips with features, and the static class and role of each vessel.
 
-    The class is taken from all valid messages, before segmentation; trips too short are dropped, and their points.
+    The class is taken from all valid messages, before segmentation; trips too short are dropped, and their points. Of
+    messages that repeat a vessel's time the first counts: by their place in the files (``_place``, which the readers of
+    files give), else in the order of raw.
     """
-    fixes = readers.points(raw).withColumn("_order", F.monotonically_increasing_id())
-    fixes = keep(fixes)
+    fixes = readers.points(raw)
+    fixes = keep(fixes if "_order" in fixes.columns else fixes.withColumn("_order", F.monotonically_increasing_id()))
     modal = tracks.modal("vessel_type", ["mmsi"], fixes)
     tx = tracks.modal("transceiver", ["mmsi"], fixes)
     cls = tables.code_class("vessel_type", exact, ranges, "unknown_other")
@@ -82,7 +84,7 @@ def fit(rows: DataFrame, family: str = "mahalanobis", far_targets: Sequence[floa
     for name, features in parts:
         each[name] = models.score_rows(rows, registry.where(F.col("subspace") == name), by, features, family)
     held = registry.where("subspace = 'core_course'").select("cls", "window_s", F.lit(True).alias("has_course"))
-    both = each["core"].withColumnRenamed("score", "core_score").join(each["core_course"].select("row_id", F.col("score").alias("course_score")), "row_id").join(F.broadcast(held), by, "left")
+    both = each["core"].withColumnRenamed("score", "core_score").join(each["core_course"].select("row_id", F.col("score").alias("course_score")), "row_id").join(tables.small(held), by, "left")
     both = both.withColumn("subspace", models.subspace(COURSE, F.coalesce("has_course", F.lit(False))))
     scored = keep(both.withColumn("score", F.when(F.col("subspace") == "core_course", F.col("course_score")).otherwise(F.col("core_score"))).drop("has_course"))
     cal = scored.where("role = 'benign'")
@@ -98,7 +100,7 @@ def decide(fitted: Fitted, policy: DataFrame, far_target: float = 0.05, override
     rows = all_.join(rows, ["mmsi", "trip_seq"], "left").withColumn("has_window", F.col("window_s").isNotNull())
     rows = decisions.resolve(rows, policy, override)
     known = fitted.registry.select(F.col("cls").alias("envelope_used"), F.lit(True).alias("envelope_known")).distinct()
-    rows = rows.join(F.broadcast(known), "envelope_used", "left").withColumn("status", decisions.status())
+    rows = rows.join(tables.small(known), "envelope_used", "left").withColumn("status", decisions.status())
     rows = decisions.with_threshold(rows, fitted.thresholds.withColumnRenamed("cls", "envelope_used"), far_target)
     return rows.withColumn("action", decisions.action())
 

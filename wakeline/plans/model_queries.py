@@ -14,8 +14,8 @@ from ..session import ship
 from ..sources import writers
 from .track_queries import PTS, points, rounded
 
-#: Components in the SQL of diagonal_score; the queries use all of a vector.
-DIMENSIONS = 8
+#: Components of a vector of the driver's table, for the SQL; the queries take as many as there are.
+DIMENSIONS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,7 @@ def far_by_stratum(spark, sf_dir):
     """False alarms of test rows against the validation threshold at 5 %, by class and region, flags strictly above."""
     s = scored(spark, sf_dir)
     t = models.thresholds(s, ["envelope"], (0.05,)).select("envelope", "threshold")
-    rows = s.where("split = 'test'").join(F.broadcast(t), "envelope").withColumn("flag", F.col("score") > F.col("threshold"))
+    rows = s.where("split = 'test'").join(tables.small(t), "envelope").withColumn("flag", F.col("score") > F.col("threshold"))
     return rounded(rates.far_by(rows, ["envelope", "region"]))
 
 
@@ -162,7 +162,7 @@ def label_swap_matrix(spark, sf_dir):
     s = scored(spark, sf_dir)
     t = models.thresholds(s, ["envelope"], (0.05,)).select(F.col("envelope").alias("asserted_class"), "threshold")
     pairs = decisions.swap_pairs(s.select(F.col("envelope").alias("class")).distinct())
-    rows = s.where("split <> 'train'").withColumnRenamed("envelope", "source_class").join(F.broadcast(pairs), "source_class").join(F.broadcast(t), "asserted_class")
+    rows = s.where("split <> 'train'").withColumnRenamed("envelope", "source_class").join(tables.small(pairs), "source_class").join(tables.small(t), "asserted_class")
     r = rows.groupBy("source_class", "asserted_class").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("flag_rate"))
     return rounded(rates.matrix(r, "source_class", "asserted_class", ["A", "N", "R"], "flag_rate"))
 
@@ -246,7 +246,7 @@ def yolo_labels(spark, sf_dir):
 
 
 def box_overlaps(spark, sf_dir):
-    """Overlaps of boxes of one image, over all images. The SQL holds only those of every tenth image."""
+    """Overlaps of boxes of one image, over all images."""
     b = boxes(spark, sf_dir)
     x, y = b.alias("x"), b.alias("y")
     j = x.join(y, (F.col("x.image_id") == F.col("y.image_id")) & (F.col("x.ann_id") < F.col("y.ann_id")))
@@ -282,7 +282,7 @@ def exact_dup(spark, sf_dir):
 
 
 def near_dup_lsh(spark, sf_dir):
-    return splits.near_duplicate_hashes(text_hashes(spark, sf_dir), "h", "doc_id", radius=14)
+    return splits.near_duplicate_hashes(text_hashes(spark, sf_dir), "h", "doc_id")
 
 
 def components(spark, sf_dir):
@@ -336,7 +336,7 @@ DIGEST = "hashed AS (SELECT doc_id, md5(text) AS digest, ('0x' || substr(md5(tex
 
 ORACLE = {
     "diagonal_score": _w(V, "m AS (SELECT " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(DIMENSIONS)) + " FROM v)") + "SELECT row_id, round(" + " + ".join(f"pow((f{i} - m{i}) / d{i}, 2)" for i in range(DIMENSIONS)) + ", 5) AS score FROM v, m",
-    "standardize": _w(V, "m AS (SELECT label, " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(3)) + " FROM v GROUP BY label)") + "SELECT row_id, label, " + ", ".join(f"round((f{i} - m{i}) / CASE WHEN d{i} > 0 THEN d{i} ELSE 1 END, 5) AS f{i}" for i in range(3)) + " FROM v JOIN m USING (label)",
+    "standardize": _w(V, "m AS (SELECT label, " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(DIMENSIONS)) + " FROM v GROUP BY label)") + "SELECT row_id, label, " + ", ".join(f"round((f{i} - m{i}) / CASE WHEN d{i} > 0 THEN d{i} ELSE 1 END, 5) AS f{i}" for i in range(DIMENSIONS)) + " FROM v JOIN m USING (label)",
     "calibrate_thresholds": _w(ENV) + "SELECT envelope, far_target::DOUBLE AS far_target, round(CASE far_target WHEN 0.01 THEN q[1] WHEN 0.05 THEN q[2] ELSE q[3] END, 6) AS threshold FROM (SELECT envelope, quantile_cont(score, [0.99, 0.95, 0.9]) AS q FROM s WHERE split = 'val' GROUP BY envelope), (VALUES (0.01), (0.05), (0.1)) f(far_target)",
     "far_by_stratum": _w(ENV, THR) + "SELECT envelope, region, count(*) AS n, count(*) FILTER (score > threshold) AS n_flag, round(count(*) FILTER (score > threshold)::DOUBLE / count(*), 6) AS far FROM s JOIN thr USING (envelope) WHERE split = 'test' GROUP BY envelope, region",
     "far_overall": _w(ENV) + "SELECT count(*) AS n, round(count(*) FILTER (score > 50000)::DOUBLE / count(*), 6) AS far FROM s",
@@ -360,9 +360,9 @@ ORACLE = {
     "evaluation_slices": _w(BOX) + "SELECT 'overall' AS slice, count(*) AS n FROM boxes UNION ALL SELECT 'shore', count(*) FROM boxes WHERE is_shore UNION ALL SELECT 'source:' || source, count(*) FROM boxes GROUP BY source",
     "letterbox_boxes": _w(BOX) + "SELECT 640 AS new_w, 533 AS new_h, 53 AS pad_y, round(sum(x * (640::DOUBLE / 120)), 3) AS sum_x, round(sum(y * (640::DOUBLE / 120) + 53), 3) AS sum_y, round(sum(w * (640::DOUBLE / 120)), 3) AS sum_w FROM boxes",
     "yolo_labels": _w(BOX) + "SELECT ann_id, printf('%d %.6f %.6f %.6f %.6f', ascii(category), (x + w / 2) / width, (y + h / 2) / height, w / width, h / height) AS line FROM boxes",
-    "box_overlaps": _w(BOX, "p AS (SELECT a.ann_id AS a, b.ann_id AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ann_id < b.ann_id WHERE a.image_id % 10 = 0)") + "SELECT a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.3",
+    "box_overlaps": _w(BOX, "p AS (SELECT a.ann_id AS a, b.ann_id AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ann_id < b.ann_id)") + "SELECT a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.3",
     "exact_dup": _w(DIGEST) + "SELECT doc_id, first_id, n FROM hashed JOIN (SELECT digest, min(doc_id) AS first_id, count(*) AS n FROM hashed GROUP BY digest HAVING count(*) > 1) USING (digest)",
-    "near_dup_lsh": _w(DIGEST, "k AS (SELECT h, min(doc_id) AS id FROM hashed GROUP BY h)") + "SELECT id AS a, doc_id AS b, 0 AS distance FROM hashed JOIN k USING (h) WHERE doc_id <> id UNION ALL SELECT x.id, y.id, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) FROM k x JOIN k y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 14 AND ((x.h & 65535) = (y.h & 65535) OR ((x.h >> 16) & 65535) = ((y.h >> 16) & 65535) OR ((x.h >> 32) & 65535) = ((y.h >> 32) & 65535) OR ((x.h >> 48) & 65535) = ((y.h >> 48) & 65535))",
+    "near_dup_lsh": _w(DIGEST, "k AS (SELECT h, min(doc_id) AS id FROM hashed GROUP BY h)") + "SELECT id AS a, doc_id AS b, 0 AS distance FROM hashed JOIN k USING (h) WHERE doc_id <> id UNION ALL SELECT x.id, y.id, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) FROM k x JOIN k y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 5",
     "grouping_stats": _w(DIGEST) + "SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_items, count(*) FILTER (n = 1) AS n_singletons, max(n) AS largest, sum(n - 1)::BIGINT AS n_collapsed FROM (SELECT count(*) AS n FROM hashed GROUP BY digest)",
     "semi_join_prune": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag",
     "anti_join_integrity": "SELECT 0::BIGINT AS n_repeated, (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)) AS n_orphans",

@@ -19,7 +19,7 @@ def envelope_coverage(spark, sf_dir):
 
 def window_coverage(spark, sf_dir):
     w = tracks.last_windows(tracks.trip_sequence(points(spark, sf_dir), limits=LIMITS), WINDOWS, ("mmsi", "trip_seq"))
-    return rounded(reports.window_coverage(w, []))
+    return rounded(reports.window_coverage(w, [], ["mmsi", "trip_seq"]))
 
 
 def eligibility(spark, sf_dir):
@@ -58,7 +58,7 @@ def first_flags(spark, sf_dir):
     """Causal scan: the first checkpoint of each vessel at which its mean speed so far is above a threshold."""
     p = points(spark, sf_dir)
     c = tracks.prefixes(p, ["mmsi"], 86_400, 604_800)
-    score = p.join(c, "mmsi").where(F.col("t") <= F.col("t_check") + 1e-9).groupBy("mmsi", "t_check").agg(F.avg("sog").alias("score"), F.max_by("lon", "t").alias("range_nm"))
+    score = tracks.at_checkpoints(p, c, ["mmsi"], "sog", "lon").withColumnRenamed("lon", "range_nm")
     score = score.withColumn("action", F.when(F.col("score") > 51, "flag").otherwise("pass"))
     return rounded(decisions.first_flag(score, ["mmsi"]))
 
@@ -92,7 +92,7 @@ def trip_starts_by_day(spark, sf_dir):
 RATES = "count(*) FILTER (action = 'flag')::DOUBLE / nullif(count(*) FILTER (action IN ('flag', 'pass')), 0)"
 ORACLE = {
     "envelope_coverage": _w(PTS, "e AS (SELECT 'shoppers' AS envelope, * FROM points WHERE cls IN ('purchase', 'view') UNION ALL SELECT 'north', * FROM points WHERE lat >= 25.5::DOUBLE AND cls IN ('view', 'click') UNION ALL SELECT 'all_clicks', * FROM points WHERE cls = 'click')") + "SELECT envelope, cls, count(*) AS n_tracks, count(DISTINCT mmsi) AS n_vessels FROM e GROUP BY envelope, cls",
-    "window_coverage": LAST + "SELECT window_s, count(*) AS n, count(*) FILTER (window_complete) AS n_complete, round(count(*) FILTER (window_complete)::DOUBLE / count(*), 6) AS share FROM feats GROUP BY window_s",
+    "window_coverage": LAST + "SELECT window_s, count(*) AS n, count(*) FILTER (window_complete) AS n_complete, count(*) FILTER (window_complete AND window_s = longest) AS n_longest, round(count(*) FILTER (window_complete)::DOUBLE / count(*), 6) AS share FROM (SELECT *, max(CASE WHEN window_complete THEN window_s END) OVER (PARTITION BY mmsi, trip_seq) AS longest FROM feats) GROUP BY window_s",
     "eligibility": _w(BOX) + "SELECT source, category, count(*) AS n_boxes, count(*) FILTER (least(w, h) >= 8) AS n_eligible, count(DISTINCT CASE WHEN least(w, h) >= 8 THEN image_id END) AS n_images, round(avg(CASE WHEN least(w, h) >= 8 THEN 1.0 ELSE 0.0 END), 6) AS share FROM boxes GROUP BY source, category",
     "annotation_filter": _w(BOX) + "SELECT category, count(*) AS n, round(sum(w), 2) AS sum_w FROM boxes WHERE category IN ('A', 'R') AND least(w, h) >= 8 AND least(w, h) < 32 AND w * h >= 100 AND w * h < 1024 AND image_id IN (SELECT image_id FROM boxes WHERE ann_id % 50 = 0) GROUP BY category",
     "sequence_keys": "SELECT p_partkey, CASE WHEN p_size < 15 THEN 'video:f' WHEN p_size < 30 THEN 'set:img/' || lower(p_brand) ELSE 'single:img/' || lower(p_brand) || '/f_' || p_partkey || '.png' END AS sequence FROM part",

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import geo, tables
 from ..operators import encounters, rates, splits, tracks
 
@@ -84,8 +85,11 @@ def class_summary(spark, sf_dir):
     p = trips(spark, sf_dir)
     t = tracks.trip_features(p, ("mmsi", "trip_seq"), limits=LIMITS)
     c = tracks.modal("cls", ["mmsi"], p)
-    m = lambda x: F.percentile(x, 0.5).alias(f"{x}_median")
-    return rounded(t.join(c, "mmsi").groupBy("cls").agg(F.count("*").alias("n_trips"), F.countDistinct("mmsi").alias("n_vessels"), m("sog_med"), m("duration_s"), m("path_km")), 4)
+    t = session.checkpoint(t.join(c, "mmsi").select("cls", "mmsi", "sog_med", "duration_s", "path_km"))
+    out = t.groupBy("cls").agg(F.count("*").alias("n_trips"), F.countDistinct("mmsi").alias("n_vessels"))
+    for x in ("sog_med", "duration_s", "path_km"):
+        out = out.join(tables.exact_quantiles(t, ["cls"], x, [0.5]).select("cls", F.col("cuts").getItem(0).alias(f"{x}_median")), "cls", "left")
+    return rounded(out, 4)
 
 
 def modal_class(spark, sf_dir):
@@ -131,7 +135,9 @@ def last_window_features(spark, sf_dir):
 
 def window_stats(spark, sf_dir):
     w = tracks.last_windows(trips(spark, sf_dir), WINDOWS, ("mmsi", "trip_seq"))
-    return rounded(w.groupBy("window_s").agg(F.count("*").alias("n_rows"), F.count_if("window_complete").alias("n_complete"), F.percentile("sog_med", 0.5).alias("sog_med_median")))
+    w = session.checkpoint(w.select("window_s", "window_complete", "sog_med"))
+    out = w.groupBy("window_s").agg(F.count("*").alias("n_rows"), F.count_if("window_complete").alias("n_complete"))
+    return rounded(out.join(tables.exact_quantiles(w, ["window_s"], "sog_med", [0.5]).select("window_s", F.col("cuts").getItem(0).alias("sog_med_median")), "window_s", "left"))
 
 
 def longest_horizon(spark, sf_dir):
@@ -188,10 +194,13 @@ def approach(spark, sf_dir):
     return p.select("event_id", F.round(d, 5).alias("dcpa_nm"), F.round(t, 3).alias("tcpa_s"))
 
 
+WIDE = encounters.Annulus(0.25, 30.0)
+
+
 def encounter_features(spark, sf_dir):
     """Encounters of vessels with seeds; the annulus is wide because the stand-in tracks are coarse."""
-    p = points(spark, sf_dir).join(F.broadcast(_seeds(spark).withColumnRenamed("port_region", "asset_id")), F.lit(1) == F.lit(1))
-    return rounded(encounters.encounter_features(p, ["mmsi", "asset_id"], "seed_lat", "seed_lon", encounters.Annulus(0.25, 30.0)))
+    p = encounters.near_tracks(points(spark, sf_dir), _seeds(spark).withColumnRenamed("port_region", "asset_id"), ["mmsi"], ["asset_id"], WIDE.max_range_nm)
+    return rounded(encounters.encounter_features(p, ["mmsi", "asset_id"], "seed_lat", "seed_lon", WIDE))
 
 
 def densest_cell(spark, sf_dir):
@@ -231,7 +240,8 @@ def null_profile(spark, sf_dir):
 
 def quantile_profile(spark, sf_dir):
     p = points(spark, sf_dir)
-    return rounded(p.groupBy("cls").agg(*tables.quantiles("sog", (0.05, 0.5, 0.95), ("p05", "p50", "p95"))))
+    cuts = tables.exact_quantiles(p, ["cls"], "sog", (0.05, 0.5, 0.95))
+    return rounded(cuts.select("cls", *[F.col("cuts").getItem(i).alias(n) for i, n in enumerate(("p05", "p50", "p95"))]))
 
 
 def vessel_split_check(spark, sf_dir):

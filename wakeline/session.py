@@ -42,9 +42,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that all machines share, from spark.checkpoint.dir or the context. A temporary one is made only for a
+    local master, where there is one machine; on a cluster a missing folder is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="wakeline-")
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -23,7 +23,9 @@ BOXES = "image string, width int, height int, category string, x double, y doubl
 def positions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Position messages as CSV with a header; columns are taken by name, others are never parsed."""
     wanted = [c.split() for c in POSITIONS.split(", ")]
-    return spark.read.option("header", True).csv(path).select(*[F.expr(f"try_cast(`{name}` AS {kind})").alias(name) for name, kind in wanted])
+    # the place of a row in its input: file, where the read part begins, and the number within it
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.option("header", True).csv(path).select(*[F.expr(f"try_cast(`{name}` AS {kind})").alias(name) for name, kind in wanted], place.alias("_place"))
 
 
 def positions_zip(spark: SparkSession, path: str, chunk: int = 200_000) -> DataFrame:
@@ -50,7 +52,7 @@ def points(raw: DataFrame) -> DataFrame:
     """Messages as a point stream: mmsi, t, lat, lon, sog, cog, heading, vessel_type, transceiver; unusable fixes dropped,
     sentinels NULL, coordinates as doubles."""
     d = lambda c: F.col(c).cast("double")
-    out = raw.select(F.col("MMSI").alias("mmsi"), tracks.parse_time("BaseDateTime").alias("t"), d("LAT").alias("lat"), d("LON").alias("lon"), d("SOG").alias("sog"), d("COG").alias("cog"), d("Heading").alias("heading"), F.col("VesselType").alias("vessel_type"), F.col("TransceiverClass").alias("transceiver"))
+    out = raw.select(F.col("MMSI").alias("mmsi"), tracks.parse_time("BaseDateTime").alias("t"), d("LAT").alias("lat"), d("LON").alias("lon"), d("SOG").alias("sog"), d("COG").alias("cog"), d("Heading").alias("heading"), F.col("VesselType").alias("vessel_type"), F.col("TransceiverClass").alias("transceiver"), *([F.col("_place").alias("_order")] if "_place" in raw.columns else []))
     out = tracks.sentinels_to_null(tracks.valid_fixes(out))
     return out.withColumn("sog", F.when(~F.isnan("sog"), F.col("sog")))
 

@@ -24,8 +24,10 @@ def csv(df: DataFrame, path: str, drop: Sequence[str] = ()) -> None:
 
 
 def json_summary(df: DataFrame, path: str) -> None:
-    """A one-row table as one JSON document."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A one-row table as one JSON document; more rows are an error, not a cut."""
+    if df.limit(2).count() > 1:
+        raise ValueError("more than one row: not a summary")
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def markdown(df: DataFrame, max_rows: int = 200) -> str:
