@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import brute
 from hypothesis import given, settings
@@ -68,6 +69,30 @@ def test_shuffle_join_gives_the_same(spark, texts, monkeypatch):
     assert sorted(tuple(r) for r in s.find_secrets(df).select("doc_id", s.written("secret_spans")).collect()) == a
 
 
+def test_very_many_matches(spark):
+    text = " ".join(f"{i:016x}" for i in range(60_000)) + " token=abcdefghijklmnop"
+    began = time.perf_counter()
+    r = s.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - began < 40
+    assert [(x.start, x.k, x.end) for x in r.secret_spans] == [(a, k, b) for a, k, b in brute.secret_spans(text, s.RULES)] and len(r.secret_spans) == 60_001
+
+
+def test_clashing_names(spark):
+    rows = [(1, "password = abcdefghijklmnop", 7, "x", 5), (2, None, 8, "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans long, id string, mask long").withColumns({"spans": F.lit(1), "clean": F.lit(2), "scanned": F.lit(3), "__spans": F.lit(4)})
+    found = s.find_secrets(df)
+    assert found.columns == [*df.columns, "secret_spans_"] and sorted((r.doc_id, r.secret_spans, r.id, len(r.secret_spans_)) for r in found.collect()) == [(1, 7, "x", 1), (2, 8, "y", 0)]
+    clean = s.redact(df)
+    assert clean.columns == df.columns and sorted((r.doc_id, r.text, r.secret_spans, r.mask, r.clean) for r in clean.collect()) == [(1, "<assign>", 7, 5, 2), (2, None, 8, 6, 2)]
+
+
+def test_a_stored_index_gives_the_same(spark, texts, tmp_path):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = s.store_postings(df, str(tmp_path / "index"))
+    spans = s.written("secret_spans")
+    assert sorted(map(tuple, s.find_secrets(df, index=index).select("doc_id", spans).collect())) == sorted(map(tuple, s.find_secrets(df).select("doc_id", spans).collect()))
+
+
 def test_odd_rows(spark, odd):
     assert s.find_secrets(odd).count() == 10 and s.find_secrets(odd.limit(0)).count() == 0
     assert s.redact(odd).columns == odd.columns

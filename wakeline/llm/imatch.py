@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, with DataFrame functions only.
 
 The lexicon is the terms whose inverse document frequency lies in a band, given by shares of the documents (document
-frequency between LOW and HIGH of all). A share as lower border bounds the lexicon by the average number of terms
-over that share, whatever the corpus; it is not cut further.
+frequency between LOW and HIGH of all, and in FLOOR documents at least). A share as lower border bounds the lexicon by the
+average number of terms over that share, whatever the corpus; it is not cut further.
 A text's distinct terms inside the lexicon are sorted and hashed as a whole, and again for each of 64 random subsets
 of the lexicon: 16 disjoint subsets at each of four sampling rates, so that short and long texts alike have subsets in
 which an edit changes nothing. The likeness of two fingerprints is the share of subsets on which they agree among those
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LOW, HIGH = 0.001, 0.15
+FLOOR = 2
 #: Slots of the lexicon, at least; more where it has over 8 terms a slot.
 SLOTS = 8_192
 RATES = (16, 64, 256, 1024)
@@ -41,10 +42,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Term hashes of the band, by descending document frequency; counted over all documents."""
+    """Term hashes of the band, by descending document frequency; counted over all documents. A term of the band is held
+    by FLOOR documents or more, however few there are: what a single document holds tells nothing about another."""
     n = docs.count()
     seen = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
-    band = seen.where((F.col("count") >= max(1, math.ceil(low * n))) & (F.col("count") <= max(1, math.floor(high * n))))
+    band = seen.where((F.col("count") >= max(FLOOR, math.ceil(low * n))) & (F.col("count") <= max(FLOOR, math.floor(high * n))))
     return [r.term for r in band.orderBy(F.desc("count"), "term").collect()]
 
 

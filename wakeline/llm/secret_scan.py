@@ -9,7 +9,8 @@ The candidate list is broadcast up to a checked number of rows and joined by a s
 shuffled in that second case.
 
 Defined results: null and empty texts have no spans; a null id cannot be a posting, so its row scans with all rules;
-of repeated ids each row is verified on its own text; long texts are scanned whole; further columns pass through.
+of repeated ids each row is verified on its own text; long texts are scanned whole; further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ RULES = (
 )
 BROADCAST_ROWS = 1_000_000
 _BITS = 60
+#: Matches whose places are summed at once.
+_BLOCK = 128
 _NO_SPANS = "array<struct<start:int,k:int,end:int>>"
 
 
@@ -60,6 +63,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     return low.select("id", F.explode(held).alias("trigram"))
 
 
+def store_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The index written by trigram below ``path`` and read again: a scan of few rules reads the postings of their
+    trigrams alone, and the texts are not read twice for another set of rules with the same vocabulary."""
+    postings(docs, id_col, text_col, rules).write.mode("overwrite").partitionBy("trigram").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, mask): the documents in which the intersected postings satisfy a rule; bit k stands for rule k."""
     words = vocabulary(rules)
@@ -95,39 +105,69 @@ def _any(xs: list[Column]) -> Column:
 def _spans(text: str, rule: Rule, k: int) -> Column:
     """array<struct<start, k, end>> of a rule's matches that are long enough, in code points.
 
-    split() gives what lies between the matches and regexp_extract_all() the matches; their lengths add up to places.
+    split() gives what lies between the matches and regexp_extract_all() the matches; their lengths add up to places. The
+    sums run in blocks of matches, first over the blocks and then inside each, so that a text of very many matches does
+    not copy a growing list at each of them.
     """
     t, p = F.col(text), F.lit(rule.pattern)
     none = F.array().cast(_NO_SPANS)
     gaps, found, counted = F.split(t, rule.pattern, -1), F.regexp_extract_all(t, p, F.lit(0)), F.regexp_extract_all(t, p, F.lit(rule.group))
     each = F.arrays_zip(F.transform(gaps, F.char_length).alias("g"), F.transform(found, F.char_length).alias("f"), F.transform(counted, F.char_length).alias("c"))
 
+    def length(x):
+        return x["g"] + F.coalesce(x["f"], F.lit(0))
+
     def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(x["f"], F.lit(0))
+        end = acc["at"] + length(x)
         keep = x["f"].isNotNull() & (x["c"] >= rule.least)
-        one = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"))
+        one = F.struct((acc["at"] + x["g"]).alias("start"), F.lit(k).alias("k"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.regexp_like(t, p), F.aggregate(each, seed, step, lambda a: a["out"])).otherwise(none)
+    def blocks_of(all_):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _BLOCK).cast("int")), lambda b: F.slice(all_, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def placed(blocks):
+        """Blocks with the place where each begins."""
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + length(x)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, at: F.struct(b.alias("b"), at.alias("at")))
+
+    def inside(z):
+        seed = F.struct(z["at"].alias("at"), none.alias("out"))
+        return F.aggregate(z["b"], seed, step, lambda a: a["out"])
+
+    # one-element arrays bind what is used twice
+    bound = F.flatten(F.transform(F.array(each), lambda all_: F.flatten(F.transform(F.flatten(F.transform(F.array(blocks_of(all_)), placed)), inside))))
+    return F.when(F.regexp_like(t, p), bound).otherwise(none)
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secret_spans", index: DataFrame | None = None) -> DataFrame:
+    """docs with one more column: all spans (start, rule number, end), by start and then rule. A name that is taken gets
+    underscores at its end. index: postings of the same documents that were stored before (``store_postings``)."""
+    taken = {c.lower() for c in docs.columns}
+    while out.lower() in taken:
+        out += "_"
+    whole, _ = _with_spans(docs, id_col, text_col, rules, index)
+    return whole.toDF(*docs.columns, out)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
-    """docs with one more column: all spans (start, rule number, end), by start and then rule."""
-    found = common.materialize(candidates(postings(docs, id_col, text_col, rules), rules), "candidates")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...], index: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """docs with columns c0, c1, ... in their order and ``spans``; and the name of the text."""
+    held = [f"c{i}" for i in range(len(docs.columns))]
+    found = common.materialize(candidates(postings(docs, id_col, text_col, rules) if index is None else index, rules), "candidates")
     n = found.count()
-    right = found.select(F.col("id").alias("__secret_id"), F.col("mask").alias("__secret_mask"))
-    right = F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("shuffle_merge")
-    named = docs.join(right, docs[id_col] == F.col("__secret_id"), "left").withColumn("__secret_text", F.coalesce(F.col(text_col), F.lit("")))
+    id_, text = (held[docs.columns.index(c)] for c in (id_col, text_col))
+    docs = docs.toDF(*held)
+    right = F.broadcast(found) if n <= BROADCAST_ROWS else found.hint("shuffle_merge")
+    named = docs.join(right, F.col(id_) == F.col("id"), "left").withColumn("scanned", F.coalesce(F.col(text), F.lit("")))
     spans = []
     for k, r in enumerate(rules):
-        s = _spans("__secret_text", r, k)
+        s = _spans("scanned", r, k)
         if trigrams.query(r.pattern) != trigrams.ALL:
-            hit = F.col(id_col).isNull() | (F.coalesce(F.col("__secret_mask"), F.lit(0)).bitwiseAND(F.lit(1 << k).cast("long")) != 0)
+            hit = F.col(id_).isNull() | (F.coalesce("mask", F.lit(0)).bitwiseAND(F.lit(1 << k).cast("long")) != 0)
             s = F.when(hit, s).otherwise(F.array().cast(_NO_SPANS))
         spans.append(s)
-    return named.withColumn(out, F.array_sort(F.concat(*spans))).drop("__secret_id", "__secret_mask", "__secret_text")
+    return named.select(*held, F.array_sort(F.concat(*spans)).alias("spans")), text
 
 
 def written(spans: str, rules: tuple[Rule, ...] = RULES, base: bool = False) -> Column:
@@ -141,21 +181,22 @@ def written(spans: str, rules: tuple[Rule, ...] = RULES, base: bool = False) ->
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret (overlapping ones as one) replaced by <kind>; n_chars follows, where there is such a column."""
-    t, kinds = F.col(text_col), F.array(*[F.lit(f"<{r.kind}>") for r in rules])
+    all_, text = _with_spans(docs, id_col, text_col, rules)
+    t, kinds = F.col(text), F.array(*[F.lit(f"<{r.kind}>") for r in rules])
 
     def step(acc, x):
         new = x["start"] >= acc["at"]
         piece = F.concat(F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(kinds, x["k"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.concat(acc["s"], piece)).otherwise(acc["s"]).alias("s"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.array_append(acc["s"], piece)).otherwise(acc["s"]).alias("s"))
 
-    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
-    clean = F.aggregate("__spans", seed, step, lambda a: F.concat(a["s"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    out = find_secrets(docs, id_col, text_col, rules, "__spans")
-    hit = F.size("__spans") > 0
-    out = out.withColumn("__clean", F.when(hit, clean).otherwise(t))
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("s"))
+    clean = F.aggregate("spans", seed, step, lambda a: F.concat(F.array_join(a["s"], ""), F.substring(t, a["at"] + 1, F.char_length(t))))
+    hit = F.size("spans") > 0
+    all_ = all_.withColumn("clean", F.when(hit, clean).otherwise(t)).withColumn("hit", hit)
+    now = {text_col: F.col("clean")}
     if n_col in docs.columns:
-        out = out.withColumn(n_col, F.when(hit, F.char_length("__clean").cast(docs.schema[n_col].dataType)).otherwise(F.col(n_col)))
-    return out.withColumn(text_col, F.col("__clean")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        now[n_col] = F.when(F.col("hit"), F.char_length("clean").cast(docs.schema[n_col].dataType)).otherwise(F.col(f"c{docs.columns.index(n_col)}"))
+    return all_.select(*[now.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _count(spans: str, k: int) -> Column:
