@@ -363,6 +363,10 @@ ORACLE = {
     "box_overlaps": _w(BOX, "p AS (SELECT a.ann_id AS a, b.ann_id AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ann_id < b.ann_id)") + "SELECT a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.3",
     "exact_dup": _w(DIGEST) + "SELECT doc_id, first_id, n FROM hashed JOIN (SELECT digest, min(doc_id) AS first_id, count(*) AS n FROM hashed GROUP BY digest HAVING count(*) > 1) USING (digest)",
     "near_dup_lsh": _w(DIGEST, "k AS (SELECT h, min(doc_id) AS id FROM hashed GROUP BY h)") + "SELECT id AS a, doc_id AS b, 0 AS distance FROM hashed JOIN k USING (h) WHERE doc_id <> id UNION ALL SELECT x.id, y.id, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) FROM k x JOIN k y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 5",
+    "components": """WITH RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(text)) AS b FROM documents WHERE text IS NOT NULL UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY concat_ws(':', source, n_chars)) FROM documents WHERE n_chars IS NOT NULL),
+edges AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS group_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
     "grouping_stats": _w(DIGEST) + "SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_items, count(*) FILTER (n = 1) AS n_singletons, max(n) AS largest, sum(n - 1)::BIGINT AS n_collapsed FROM (SELECT count(*) AS n FROM hashed GROUP BY digest)",
     "semi_join_prune": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag",
     "anti_join_integrity": "SELECT 0::BIGINT AS n_repeated, (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)) AS n_orphans",

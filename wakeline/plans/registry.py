@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import model_queries, report_queries, track_queries
+from . import geometry_queries, model_queries, report_queries, track_queries
 
-MODULES = (track_queries, model_queries, report_queries)
+MODULES = (track_queries, geometry_queries, model_queries, report_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

@@ -194,15 +194,6 @@ def approach(spark, sf_dir):
     return p.select("event_id", F.round(d, 5).alias("dcpa_nm"), F.round(t, 3).alias("tcpa_s"))
 
 
-WIDE = encounters.Annulus(0.25, 30.0)
-
-
-def encounter_features(spark, sf_dir):
-    """Encounters of vessels with seeds; the annulus is wide because the stand-in tracks are coarse."""
-    p = encounters.near_tracks(points(spark, sf_dir), _seeds(spark).withColumnRenamed("port_region", "asset_id"), ["mmsi"], ["asset_id"], WIDE.max_range_nm)
-    return rounded(encounters.encounter_features(p, ["mmsi", "asset_id"], "seed_lat", "seed_lon", WIDE))
-
-
 def densest_cell(spark, sf_dir):
     return rounded(encounters.densest_cell(points(spark, sf_dir), 0.1, ["cls"]))
 
@@ -327,6 +318,11 @@ SELECT cls, count(*) AS n_trips, count(DISTINCT mmsi) AS n_vessels, round(quanti
     "contingency": _with(PTS) + "SELECT cls, count(*) FILTER (lon < -79.9::DOUBLE) AS west, count(*) FILTER (lon >= -79.9::DOUBLE AND lon < -79.6::DOUBLE) AS middle, count(*) FILTER (lon >= -79.6::DOUBLE) AS east FROM points GROUP BY cls",
     "null_profile": _with(PTS, *[f"p_{c} AS (SELECT '{c}' AS column_name, count(*) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_frac FROM points)" for c in ("heading", "sog", "cog", "props")]) + "SELECT * FROM p_heading UNION ALL SELECT * FROM p_sog UNION ALL SELECT * FROM p_cog UNION ALL SELECT * FROM p_props",
     "quantile_profile": _with(PTS) + "SELECT cls, round(quantile_cont(sog, 0.05), 6) AS p05, round(quantile_cont(sog, 0.5), 6) AS p50, round(quantile_cont(sog, 0.95), 6) AS p95 FROM points GROUP BY cls",
+    "vessel_split": "WITH RECURSIVE " + PTS + """,
+s AS (SELECT mmsi, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(mmsi AS VARCHAR)) AS r FROM points GROUP BY mmsi),
+go(r, a, b, c, n, split) AS (SELECT 0::BIGINT, sum(n) * 0.70::DOUBLE, sum(n) * 0.15::DOUBLE, sum(n) * 0.15::DOUBLE, 0::BIGINT, '' FROM s UNION ALL SELECT s.r, a - CASE WHEN pick = 'train' THEN s.n ELSE 0 END, b - CASE WHEN pick = 'val' THEN s.n ELSE 0 END, c - CASE WHEN pick = 'test' THEN s.n ELSE 0 END, s.n, pick
+ FROM (SELECT *, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END AS pick FROM go) g JOIN s ON s.r = g.r + 1)
+SELECT split, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_vessels, round(sum(n) / (SELECT sum(n) FROM s), 3) AS share FROM go WHERE r > 0 GROUP BY split""",
     "vessel_split_check": _with(PTS) + "SELECT mmsi, count(DISTINCT CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 < 9 THEN 'val' ELSE 'test' END) AS n_splits, count(*) AS n FROM points GROUP BY mmsi HAVING n_splits > 1",
     "props_json": "SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_keys, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",
     "session_counts": TRIP + "SELECT mmsi, count(DISTINCT trip_seq) AS n_sessions FROM numbered GROUP BY mmsi",
@@ -334,6 +330,6 @@ SELECT cls, count(*) AS n_trips, count(DISTINCT mmsi) AS n_vessels, round(quanti
 }
 QUERIES = {f.__name__: f for f in (
     trip_segmentation, trip_features, kept_trips, class_summary, modal_class, dedup_first, cadence_thin, teleport_filter, coordinate_filter, sentinel_nulls, steps, global_trip_ids,
-    last_window_features, window_stats, longest_horizon, stationary_runs, first_crossing, checkpoint_times, radius_join, closest_point, bearings, approach, encounter_features, densest_cell,
+    last_window_features, window_stats, longest_horizon, stationary_runs, first_crossing, checkpoint_times, radius_join, closest_point, bearings, approach, densest_cell,
     top_cells, placements, placement_validity, region_bands, geo_cell, contingency, null_profile, quantile_profile, vessel_split_check, vessel_split, props_json, session_counts, far_strata,
 )}
