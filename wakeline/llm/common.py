@@ -7,6 +7,7 @@ the same as ``[^\\x20\\x09-\\x0D]+`` over code points.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ from ..session import shared_dir, ship
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -72,6 +73,14 @@ def _clear() -> None:
             return
 
 
+def tidy() -> None:
+    """Give freed memory of this worker back to the machine: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def per_row(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
     """Apply fn(list of bytes) -> list of columns to each Arrow batch of (keep..., text); null text is empty.
 
@@ -89,6 +98,7 @@ def per_row(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str
                 new = fn(b.column(n_keep).to_pylist())
                 cols = [b.column(i) for i in range(n_keep)] + [x if isinstance(x, pa.Array) else pa.array(x) for x in new]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *out_names])
+        tidy()
 
     out_names = [x.strip().split()[0].strip("`") for x in schema.split(",") if x.strip()]
     return small.mapInArrow(run, out_schema)

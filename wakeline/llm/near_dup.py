@@ -55,8 +55,8 @@ def minmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each permutation."""
     lo = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     hi = np.zeros(PERMUTATIONS, np.uint64)
-    for i in range(0, len(s), 1 << 15):
-        v = (s[None, i : i + (1 << 15)] ^ _XOR[:, None]) * _MUL[:, None]
+    for i in range(0, len(s), 1 << 12):
+        v = (s[None, i : i + (1 << 12)] ^ _XOR[:, None]) * _MUL[:, None]
         np.minimum(lo, v.min(axis=1), out=lo)
         np.maximum(hi, v.max(axis=1), out=hi)
     return common.mix(lo), common.mix(hi)

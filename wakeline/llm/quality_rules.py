@@ -121,6 +121,7 @@ def apply(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
             if b.num_rows:
                 texts = [(t or "").encode() for t in b.column(at).to_pylist()]
                 yield b.filter(measure(texts, **limits)[-1])
+        common.tidy()
 
     return whole.mapInArrow(run, whole.schema).toDF(*names)
 

@@ -28,7 +28,7 @@ from . import common
 SPACE = "▁"
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 #: Parts remembered by one Python worker; two such generations are held at most.
-MEMO = 300_000
+MEMO = 150_000
 #: Characters up to which an agenda is searched instead of kept as a heap.
 SHORT = 24
 
