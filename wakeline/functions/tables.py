@@ -35,6 +35,16 @@ def require(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataF
     return df
 
 
+def share(part, whole) -> Column:
+    """part / max(whole, 1)."""
+    return part / F.greatest(whole, F.lit(1))
+
+
+def slug(column: str) -> Column:
+    """Lower case, runs of other characters than letters and digits as one hyphen, none at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, null_frac) in one pass."""
     one = df.agg(F.count("*").alias("n"), *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"f{i}") for i, c in enumerate(columns)])
@@ -126,5 +136,6 @@ def attach(rows: DataFrame, other: DataFrame, on: Sequence[str], fill: Sequence[
 
 
 def smoke(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """At most n rows for a trial run: those with the smallest hash of the key, the same ones each time."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """At most n rows for a trial run: those with the smallest digest of the key, the same ones each time. Each task keeps
+    n rows; no table is sorted as a whole."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -65,6 +65,14 @@ def presence(track_present: str, outcome: str, flags: Sequence[str] = FLAG_OUTCO
     return F.struct(act.alias("action"), F.when(F.col(track_present), "scored").otherwise("abstain_no_track").alias("status"))
 
 
+def observations(truth: DataFrame, detections: DataFrame, target: int, by: Sequence[str] = ("image_id",), conf: float = 0.25) -> DataFrame:
+    """What a camera says of each frame with a vessel: detected (the target class is seen), mislabeled (only others) or
+    missed. track_present is for the caller to join."""
+    seen = detections.where(F.col("score") >= conf).groupBy(*by).agg(F.max(F.col("category_id") == target).alias("_hit"))
+    frames = truth.select(*by).distinct().join(seen, list(by), "left")
+    return frames.withColumn("outcome", F.when(F.col("_hit"), "detected").when(~F.col("_hit"), "mislabeled").otherwise("missed")).drop("_hit")
+
+
 def decide(rows: DataFrame, backend: str, **columns) -> DataFrame:
     """One surface for both backends: rows with action."""
     if backend == "consistency":

@@ -7,14 +7,15 @@ reads all rows, without a shuffle. No pickles: a model is its numbers.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -262,6 +263,50 @@ def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> Data
     return number.join(made, "_k").select(*by, F.lit("mahalanobis").alias("family"), "n_train", "model")
 
 
+def with_pools(rows: DataFrame, column: str, pools: Mapping[str, Sequence[str]]) -> DataFrame:
+    """rows, and each once more for every pool that holds its group, under the pool's name: what is fitted or calibrated on
+    the result has an envelope per group and one per pool. A group is bounded by its rows, a pool by those of its members."""
+    tags = F.array(F.col(column), *[F.when(F.col(column).isin(list(members)), F.lit(name)) for name, members in pools.items()])
+    return rows.withColumn(column, F.explode(F.array_distinct(F.when(F.col(column).isNull(), F.array(F.col(column))).otherwise(F.array_compact(tags)))))
+
+
+def registry_digest(registry: DataFrame) -> str:
+    """A digest over all rows of a registry (at most MAX_MODELS), whatever their order."""
+    one = F.sha2(F.to_json(F.struct(*sorted(registry.columns))), 256)
+    rows = registry.select(one.alias("d")).limit(MAX_MODELS + 1).collect()
+    if len(rows) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    return hashlib.sha256("\n".join(sorted(r.d for r in rows)).encode()).hexdigest()
+
+
+def save_registry(registry: DataFrame, path: str, note: str = "") -> str:
+    """Write a registry (or a threshold table) and a manifest with its digest below path; the digest is returned. Numbers in
+    Parquet and JSON, no pickles."""
+    registry.coalesce(1).write.mode("overwrite").parquet(f"{path}/models")
+    saved = registry.sparkSession.read.parquet(f"{path}/models")
+    digest = registry_digest(saved)
+    manifest = registry.sparkSession.createDataFrame([(digest, saved.count(), note)], "digest string, n_models long, note string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return digest
+
+
+def load_registry(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
+    """A saved registry; an error if it is not what its manifest (and the given digest) say."""
+    saved, found = spark.read.parquet(f"{path}/models"), spark.read.schema("digest string, n_models long, note string").json(f"{path}/manifest").collect()
+    now = registry_digest(saved)
+    if len(found) != 1 or found[0].digest != now or digest not in (None, now):
+        raise ValueError(f"registry at {path} does not have the digest it was frozen with")
+    return saved
+
+
+def attach_registry(registry: DataFrame, extra: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A registry with the envelopes of another one; an envelope that both have is an error."""
+    twice = registry.select(*by, "family").join(extra.select(*by, "family"), [*by, "family"]).limit(1).collect()
+    if twice:
+        raise ValueError(f"both registries hold {tuple(twice[0])}")
+    return registry.unionByName(extra, allowMissingColumns=True)
+
+
 def score_rows(rows: DataFrame, registry: DataFrame, by: Sequence[str], features: Sequence[str], family: str) -> DataFrame:
     """rows with ``score``; NULL where a feature is missing or the group has no model. No shuffle. Models are
     configuration and are sent to all tasks: more than MAX_MODELS of them are an error."""

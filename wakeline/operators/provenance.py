@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +32,26 @@ def file_digests(spark, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-def changed_files(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files whose path, length and time are not in the cache: the only ones to hash again."""
-    return files.join(cache.select("path", "length", "modificationTime"), ["path", "length", "modificationTime"], "left_anti")
+def cached_digests(spark, path: str, cache: DataFrame, pattern: str = "*") -> DataFrame:
+    """As file_digests; files whose path, length and time are in the cache (path, length, modificationTime, sha256) take their
+    digest from it and are not read. The content of the others is read, since the list itself needs none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    key = ["path", "length", "modificationTime"]
+    known = files.select(*key).join(cache.select(*key, "sha256"), key)
+    names = files.select(*key).join(cache.select(*key), key, "left_anti").select("path").collect()
+    if not names:
+        return known
+    new = spark.read.format("binaryFile").load([r.path.replace("{", "\\{").replace("[", "\\[") for r in names])
+    return known.unionByName(new.select(*key, F.sha2("content", 256).alias("sha256")))
+
+
+def reattest(frozen: DataFrame, found: DataFrame, rows: DataFrame, role: str = "role") -> DataFrame:
+    """One row: whether a freeze still holds. frozen and found: path, sha256; rows: what was trained on, all benign."""
+    v = verify(frozen, found).agg(F.count("*").alias("n_files"), F.count_if(F.col("state") != "ok").alias("n_changed"))
+    a = attest(rows, role=role).select("n", "n_blocked")
+    one = F.lit(1).alias("_one")
+    both = v.select("*", one).join(a.select("*", one), "_one").drop("_one")
+    return both.withColumn("holds", (F.col("n_changed") == 0) & (F.col("n_blocked") == 0))
 
 
 def verify(expected: DataFrame, found: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
@@ -113,7 +129,3 @@ def check_policy(policy: Mapping[str, Mapping], envelopes: Iterable[str], classe
         elif kind == "abstain" and not e.get("reason"):
             out.append(f"class {c}: abstains without a reason")
     return out
-
-
-def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")

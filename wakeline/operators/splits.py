@@ -172,6 +172,26 @@ def assign_splits(items: DataFrame, group: str, ratios: Sequence[float] = RATIOS
     return items.join(table, group)
 
 
+def assign_by_source(items: DataFrame, group: str, source: str, classes: str | None = None, ratios: Sequence[float] = RATIOS, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """items with split, each source split by itself (a group belongs to the source of most of its rows, the first by name on
+    a tie), and the report (source, class, n_groups) of classes that span fewer groups of a source than there are splits
+    and so cannot stand in all of them. Sources are configuration: more than ``most`` are an error."""
+    count = items.groupBy(group, source).agg(F.count("*").alias("n"))
+    home = count.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(source).alias("s"))).alias("_s")).select(group, F.col("_s.s").alias("_home"))
+    rows = items.join(home, group)
+    names = [r[0] for r in home.select("_home").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} sources")
+    out = None
+    for name in sorted(names, key=str):
+        part = assign_splits(rows.where(F.col("_home").eqNullSafe(F.lit(name))), group, ratios, classes=classes)
+        out = part if out is None else out.unionByName(part)
+    report = None
+    if classes:
+        report = rows.groupBy(F.col("_home").alias("source"), F.col(classes).alias("class")).agg(F.countDistinct(group).alias("n_groups")).where(F.col("n_groups") < len(NAMES))
+    return (out if out is not None else rows.withColumn("split", F.lit(None).cast("string"))).drop("_home"), report
+
+
 def leaks(items: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that stand in more than one split: empty for a sound split."""
     return items.groupBy(group).agg(F.countDistinct(split).alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")

@@ -65,16 +65,17 @@ class Fitted:
     scored: DataFrame
 
 
-def fit(rows: DataFrame, family: str = "mahalanobis", far_targets: Sequence[float] = models.FAR_TARGETS, min_rows: int = models.MIN_ROWS, keep=session.checkpoint) -> Fitted:
+def fit(rows: DataFrame, family: str = "mahalanobis", far_targets: Sequence[float] = models.FAR_TARGETS, min_rows: int = models.MIN_ROWS, extra: Sequence[str] = (), keep=session.checkpoint) -> Fitted:
     """A model per class, window and subspace on benign training rows, thresholds on validation rows, all rows scored.
 
-    Rows with all course features are scored by the course model where there is one, others by the core model.
+    Rows with all course features are scored by the course model where there is one, others by the core model. extra:
+    further features of both, such as those of an encounter (rows without them have no score).
     """
     session.ship(rows.sparkSession)
     rows = keep(rows.withColumn("row_id", F.xxhash64("mmsi", "trip_seq", "window_s")))
     benign = decisions.benign_only(rows)
     by = ["cls", "window_s"]
-    parts = [("core", list(CORE)), ("core_course", [*CORE, *COURSE])]
+    parts = [("core", [*CORE, *extra]), ("core_course", [*CORE, *COURSE, *extra])]
     registry = None
     for name, features in parts:
         one = models.fit_models(benign, by, features, [family], min_rows=min_rows).withColumn("subspace", F.lit(name))

@@ -73,6 +73,12 @@ def geometry_far(spark, sf_dir):
     return rounded(rates.far_by(rows, ["placement_class"]))
 
 
+def coverage_cells(spark, sf_dir):
+    """Encounters by placement class and window, thin cells marked."""
+    rows = windows(spark, sf_dir).join(tables.small(assets(spark).select("asset_id", "placement_class")), "asset_id")
+    return encounters.coverage(rows, ["placement_class", "window_s"])
+
+
 def geometry_label_swap(spark, sf_dir):
     """Encounters with placements of one class judged by the threshold of another."""
     s, t = _flagged(longest(spark, sf_dir))
@@ -123,6 +129,7 @@ ORACLE = {
 SELECT trip_id, window_s, asset_id, round(range_min_nm, 6) AS range_min_nm, round(closing_frac, 6) AS closing_frac, n_points, round(sog_med, 6) AS sog_med, round(path_km, 6) AS path_km, window_complete FROM enc JOIN kin USING (trip_id, window_s)""",
     "geometry_longest": WINDOWED + f", {LONGEST} SELECT asset_id, trip_id, window_s, round(range_min_nm, 6) AS range_min_nm, round(closing_rate_med_kn, 6) AS closing_rate_med_kn, placement_class, split FROM longest JOIN assets USING (asset_id)",
     "geometry_far": SCORED + "SELECT placement_class, count(*) AS n, count(*) FILTER (score > threshold) AS n_flag, round(count(*) FILTER (score > threshold)::DOUBLE / count(*), 6) AS far FROM s JOIN cut USING (placement_class) WHERE split <> 'train' GROUP BY placement_class",
+    "coverage_cells": WINDOWED + " SELECT placement_class, window_s, count(*) AS n, count(DISTINCT trip_id) AS n_trips, count(*) < 30 AS thin FROM enc JOIN assets USING (asset_id) GROUP BY placement_class, window_s",
     "geometry_label_swap": SCORED + "SELECT s.placement_class AS source_class, cut.placement_class AS asserted_class, count(*) AS n, round(avg(CASE WHEN score > threshold THEN 1.0 ELSE 0.0 END), 6) AS flag_rate FROM s JOIN cut ON s.placement_class <> cut.placement_class WHERE split <> 'train' GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (encounter_features, encounter_windows, geometry_kinematics, geometry_longest, geometry_far, geometry_label_swap)}
+QUERIES = {f.__name__: f for f in (encounter_features, encounter_windows, geometry_kinematics, geometry_longest, geometry_far, geometry_label_swap, coverage_cells)}

@@ -260,7 +260,7 @@ def _detections(spark, sf_dir):
 
 
 def detection_recall(spark, sf_dir):
-    return rounded(images.recall_at(boxes(spark, sf_dir).select("image_id", "x", "y", "w", "h"), _detections(spark, sf_dir), 65))
+    return rounded(images.recall_at(boxes(spark, sf_dir).select("image_id", "ann_id", "x", "y", "w", "h"), _detections(spark, sf_dir), 65))
 
 
 def detection_ap(spark, sf_dir):

@@ -84,6 +84,41 @@ def percent_texts(spark, sf_dir):
     return r.select("asserted_class", tables.percent_text("rate").alias("text"))
 
 
+def class_shares(spark, sf_dir):
+    p = points(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("n"), F.count_if(F.col("sog") > 50).alias("n_fast"))
+    return rounded(p.select("cls", "n", tables.share(F.col("n_fast"), F.col("n")).alias("share")))
+
+
+def slugs(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", tables.slug("p_type").alias("slug"))
+
+
+def fast_straight(spark, sf_dir):
+    """Windows in the fast-and-straight band."""
+    w = tracks.last_windows(tracks.trip_sequence(points(spark, sf_dir), limits=LIMITS), WINDOWS, ("mmsi", "trip_seq"))
+    w = w.withColumn("role", F.when(F.col("mmsi") % 2 == 0, "benign").otherwise("other"))
+    return w.where(decisions.fast_and_straight(60.0, 0.3)).select("mmsi", "trip_seq", "window_s")
+
+
+def window_choice(spark, sf_dir):
+    """The longest requested window that has a model, else the primary one."""
+    p = points(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 == 0, F.array(F.lit(600), F.lit(1200))).when(F.col("event_id") % 3 == 1, F.array(F.lit(300))).alias("asked"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit(600), F.lit(300))).otherwise(F.array(F.lit(900))).alias("there"))
+    return p.select("event_id", decisions.resolve_window("asked", "there", 900).cast("long").alias("window_s"))
+
+
+def backends(spark, sf_dir):
+    """Both decision backends through one surface."""
+    a = decisions.decide(acted(spark, sf_dir).select("event_id").join(_scored_status(spark, sf_dir), "event_id"), "consistency")
+    o = F.when(F.col("cls") == "view", "detected").when(F.col("cls") == "click", "missed").otherwise("mislabeled")
+    b = decisions.decide(points(spark, sf_dir).select("event_id", (F.col("event_id") % 4 != 0).alias("track_present"), o.alias("outcome")), "presence_only", track_present="track_present", outcome="outcome")
+    both = a.select(F.lit("consistency").alias("backend"), "action").unionByName(b.select(F.lit("presence_only").alias("backend"), "action"))
+    return both.groupBy("backend", "action").agg(F.count("*").alias("n"))
+
+
+def _scored_status(spark, sf_dir):
+    return points(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("sog")).alias("score"), F.lit(60.0).alias("threshold"), F.when(F.col("event_id") % 13 != 0, "scored").otherwise("no_window").alias("status"))
+
+
 def trip_starts_by_day(spark, sf_dir):
     p = tracks.trip_sequence(points(spark, sf_dir), limits=LIMITS).groupBy("mmsi", "trip_seq").agg(F.min("t").alias("t0"))
     return p.groupBy(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t0") / 86_400).cast("int")), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
@@ -103,8 +138,15 @@ ORACLE = {
     "pooled_gaps": _w(PTS, STATUS) + f"SELECT arm, round({RATES}, 6) AS rate, round(count(*) FILTER (event_id % 2 = 0)::DOUBLE / count(*), 6) AS pooled_rate, count(*) AS pooled_n, round({RATES} - count(*) FILTER (event_id % 2 = 0)::DOUBLE / count(*), 6) AS pooled_gap FROM a WHERE NOT negative_control GROUP BY arm",
     "overlay_bands": "SELECT p_partkey, CAST(round_even(p_size * 25 * 0.06::DOUBLE, 0) AS INTEGER) AS y0, CAST(p_size * 25 - round_even(p_size * 25 * 0.06::DOUBLE, 0) AS INTEGER) AS y1 FROM part",
     "percent_texts": _w(PTS, STATUS) + f"SELECT cls AS asserted_class, coalesce(printf('%.1f%%', 100 * {RATES}), '-') AS text FROM a WHERE NOT negative_control GROUP BY cls",
+    "class_shares": _w(PTS) + "SELECT cls, count(*) AS n, round(count(*) FILTER (sog > 50)::DOUBLE / greatest(count(*), 1), 6) AS share FROM points GROUP BY cls",
+    "slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
+    "fast_straight": LAST + "SELECT mmsi, trip_seq, window_s FROM feats WHERE sog_p95 >= 60 AND straightness >= 0.3 AND window_complete AND mmsi % 2 = 0",
+    "window_choice": "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 600 WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN 300 ELSE 900 END AS BIGINT) AS window_s FROM events",
+    "backends": _w(PTS) + "SELECT 'consistency' AS backend, CASE WHEN event_id % 13 = 0 OR event_id % 7 = 0 THEN 'abstain' WHEN sog > 60 THEN 'flag' ELSE 'pass' END AS action, count(*) AS n FROM points GROUP BY ALL UNION ALL SELECT 'presence_only', CASE WHEN event_id % 4 = 0 THEN 'abstain' WHEN cls = 'view' THEN 'pass' ELSE 'flag' END AS action, count(*) FROM points GROUP BY ALL",
+    "smoke_sample": "SELECT event_id FROM events ORDER BY md5('0:' || CAST(event_id AS VARCHAR)), event_id LIMIT 50",
     "trip_starts_by_day": _w(PTS, NUM) + "SELECT strftime(DATE '1970-01-01' + CAST(floor(t0 / 86400) AS INTEGER), '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT min(t) AS t0 FROM numbered GROUP BY mmsi, trip_seq) GROUP BY day",
 }
 QUERIES = {f.__name__: f for f in (
     envelope_coverage, window_coverage, eligibility, annotation_filter, sequence_keys, one_to_one_join, static_attributes, smoke_sample, first_flags, cell_kinds, pooled_gaps, overlay_bands, percent_texts, trip_starts_by_day,
+    class_shares, slugs, fast_straight, window_choice, backends,
 )}

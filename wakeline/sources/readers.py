@@ -6,8 +6,7 @@ import io
 import json
 import struct
 import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -119,26 +118,34 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", size("content").alias("s")).select("path", "s.width", "s.height")
 
 
-def dhash(pixels: list[list[int]]) -> int:
-    """64-bit difference hash of an 8 x 9 grey image: a bit per pair of neighbours, signed as a long."""
-    bits = 0
-    for row in pixels:
-        for a, b in zip(row, row[1:], strict=False):
-            bits = bits << 1 | (b > a)
-    return bits - (1 << 64) if bits >> 63 else bits
+def config(spark: SparkSession, path: str) -> dict:
+    """A configuration file from any store that Spark reads: YAML (where the yaml package is installed) or JSON."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError(f"{path}: reading YAML needs the yaml package; JSON does not") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
 
 
-def taxonomy(path: str) -> tuple[dict[int, str], list[tuple[int, int, str]], dict[str, str]]:
-    """Exact codes, ranges and roles of a taxonomy in JSON: {"by_code": {"30": c, "60-69": c}, "roles": {c: role}}."""
-    data = json.loads(Path(path).read_text())
+def taxonomy(data: Mapping) -> tuple[dict[int, str], list[tuple[int, int, str]], dict[str, str]]:
+    """Exact codes, ranges and roles of a taxonomy, as ``config`` reads it: {"by_code": {30: c, "60-69": c}, "roles": {c: role}}."""
     exact, ranges = {}, []
-    for k, v in data.get("by_code", {}).items():
-        if "-" in str(k):
-            low, high = map(int, str(k).split("-"))
-            ranges.append((low, high, v))
+    for k, v in (data.get("by_code") or {}).items():
+        low, _, high = str(k).partition("-")
+        if high:
+            ranges.append((int(low), int(high), v))
         else:
-            exact[int(k)] = v
-    return exact, ranges, data.get("roles", {})
+            exact[int(low)] = v
+    return exact, ranges, dict(data.get("roles") or {})
+
+
+def policy(spark: SparkSession, data: Mapping) -> DataFrame:
+    """The class policy of a configuration as a table: class, policy, envelope, reason."""
+    rows = [(c, e.get("policy"), e.get("envelope"), e.get("reason")) for c, e in sorted((data.get("classes") or {}).items())]
+    return spark.createDataFrame(rows, "class string, policy string, envelope string, reason string")
 
 
 def day_range(spark: SparkSession, first: str, last: str) -> DataFrame:
