@@ -1,6 +1,6 @@
-import hashlib
 import math
 
+import brute
 import pytest
 
 from wakeline.llm import mixing
@@ -70,44 +70,12 @@ def test_the_target_binds(spark):
     assert len(set(seen)) < len(docs) and len(seen) > len(set(seen))
 
 
-def brute_mix(rows, block_rows, target):
-    """Rows (ident, source, tokens) as the mix takes them, straight from the definition."""
-    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
-    have, by = {}, {}
-    for ident, src, n in rows:
-        have[src] = have.get(src, 0) + n
-        by.setdefault(src, []).append((ident, n))
-    _, w = mixing.weights(have, **target)
-    out = []
-    for src, held in by.items():
-        quota = round(w[src] * sum(have.values()))
-        epochs, rest = divmod(quota, have[src])
-        blocks = {}
-        for ident, n in held:
-            b = int(digest(f"{mixing.SEED}:block:{ident}")[:8], 16) % -(-len(held) // block_rows)
-            blocks.setdefault(b, []).append((digest(f"{mixing.SEED}:{epochs}:{ident}"), ident, n))
-        part = []
-        for b in sorted(blocks, key=lambda b: digest(f"{mixing.SEED}:{epochs}:b{b}")):
-            size = sum(n for *_, n in blocks[b])
-            if size > rest:
-                for _, ident, n in sorted(blocks[b]):
-                    if n > rest:
-                        break
-                    rest -= n
-                    part.append(ident)
-                break
-            rest -= size
-            part += [ident for _, ident, _ in blocks[b]]
-        out += [(ident, e) for ident, _ in held for e in range(epochs)] + [(ident, epochs) for ident in part]
-    return sorted(out)
-
-
 @pytest.mark.parametrize("block_rows", [7, 50, 512])
 @pytest.mark.parametrize("target", [{}, {"entropy": 0.97, "max_repeats": None}, {"entropy": 1.0, "max_repeats": 1.5}])
 def test_mix_matches_brute_force(spark, corpus, monkeypatch, block_rows, target):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
     rows = [(str(r.doc_id), r.source, len(r.text.split())) for r in corpus.collect()]
-    assert sorted((str(r.doc_id), r.mix_epoch) for r in mixing.mix(corpus, **target).collect()) == brute_mix(rows, block_rows, target)
+    assert sorted((str(r.doc_id), r.mix_epoch) for r in mixing.mix(corpus, **target).collect()) == brute.mixed(rows, block_rows, target)
 
 
 def test_odd_rows(spark, odd):

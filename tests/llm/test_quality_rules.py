@@ -1,8 +1,6 @@
-import math
 import random
 
 import brute
-import numpy as np
 import zstandard
 
 from wakeline.llm import quality_rules as q
@@ -30,26 +28,11 @@ def test_bands():
     assert q.bands_verdict(b"short", compress)[-1] and not q.bands_verdict(b"", compress)[-1]
 
 
-def plain_verdict(text):
-    """kept by the definition, one text at a time."""
-    raw, n_words, repeated = text.encode(), len(brute.words(text)), brute.base_counts(text)[4]
-    if n_words < 50 or 100 * repeated > 50 * n_words:
-        return False
-    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
-    if len(raw) >= 256:
-        at = [math.log2(b[0]) for b in q.BANDS]
-        low, high = (float(np.interp(math.log2(len(raw)), at, [b[i] for b in q.BANDS])) for i in (1, 2))
-        if not low - 1e-12 <= size(raw) / len(raw) <= high + 1e-12:
-            return False
-    chunks = [size(raw[i * 4096 : (i + 1) * 4096]) / 4096 for i in range(len(raw) // 4096)]
-    return sum(not q.CHUNK_BAND[0] <= r <= q.CHUNK_BAND[1] for r in chunks) <= q.MAX_BAD_CHUNKS * len(chunks)
-
-
 def test_verdict_matches_brute_force(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     rows = q.op1_quality_rules(spark, d).collect()
-    assert {r.doc_id: r.kept for r in rows} == {i: plain_verdict(t) for i, t in texts.items()}
+    assert {r.doc_id: r.kept for r in rows} == {i: brute.quality_verdict(t) for i, t in texts.items()}
     assert sum(not r.kept and not r.base_failed for r in rows) >= 20  # the bands reject what the base rules pass
 
 

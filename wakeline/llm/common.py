@@ -7,6 +7,7 @@ the same as ``[^\\x20\\x09-\\x0D]+`` over code points.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,12 +53,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that are made inside, but for those that are handed to what it gives: ``with temporary() as keep``."""
+    before, kept = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_tables_of(df))
+        return df
+
+    yield keep
+    for made in [m for m in _made if m not in before and m not in kept]:
+        _remove(*made)
+        _made.remove(made)
+
+
+def _tables_of(df: DataFrame) -> list[tuple[SparkSession, str]]:
+    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return [m for m in _made if any(n.endswith(m[1].split("://")[-1].rstrip("/")) for n in names)]
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that materialize() made and nothing will read again."""
-    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for spark, path in [m for m in _made if any(n.endswith(m[1].split("://")[-1].rstrip("/")) for n in names)]:
-        _remove(spark, path)
-        _made.remove((spark, path))
+    for made in _tables_of(df):
+        _remove(*made)
+        _made.remove(made)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

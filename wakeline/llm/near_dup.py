@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group, all columns kept; of rows with one id, the first by text stays."""
-    found = common.materialize(near_duplicates(docs, id_col, text_col, k, percent), "groups")
-    gone = common.materialize(found.where("not kept").select(F.col(id_col).alias("id")).distinct(), "gone")
+    with common.temporary() as keep:
+        found = near_duplicates(docs, id_col, text_col, k, percent)
+        gone = keep(common.materialize(found.where("not kept").select(F.col(id_col).alias("id")).distinct(), "gone"))
     left = only_ids(docs, gone, gone.count(), id_col, "left_anti")
     twice = common.materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id"), "twice")
     n = twice.count()
