@@ -1,7 +1,12 @@
 """From raw documents to token ids: five stages, each over all rows that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as Parquet in the shared folder
-and read again as the next stage's docs.
+and read again as the next stage's docs. What a stage makes on its way is removed when its result is written.
+
+Defined results: null, empty and very short texts fail the quality stage; a null id is kept by the near-dedup (it is
+linked with nothing) and goes by its text in the mix; of rows that share an id one stays after the near-dedup; a null
+source is a source of its own; an empty table gives an empty result; further columns pass through all stages but the last,
+whatever their names; equal rows are one document.
 """
 
 from __future__ import annotations
@@ -51,5 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with common.temporary() as keep:
+            docs = keep(common.materialize(stage(spark, docs, sf_dir), name))
+        common.discard(before)
     return docs

@@ -18,6 +18,16 @@ from .tracks import stationary_runs
 
 MAX_REFERENCE_ROWS = 100_000
 
+# Fixed values of the placements: search radius (nm), speed of a moving point and of a moored one (kn), length of a stay (h),
+# distance of the anchorage from the berth and of the terminal from the fairway (nm), weights of long stays on the wrong
+# side, offsets of the berth toward the fairway and of a fairway's stand-in anchorage (nm).
+SEARCH_NM, MOVING_KN, MOORED_KN, DWELL_H = 40.0, 5.0, 0.5, 6.0
+SEPARATION_NM, SEAWARD_NM = 1.0, 4.0
+SEAWARD_BERTH, LANDWARD_ANCHORAGE = 0.3, 0.4
+BERTH_OFFSET_NM, ANCHORAGE_OFFSET_NM = 0.15, 1.5
+# Fixed values of their validity: inbound legs, least range (nm), range of a fix that shows water (nm).
+MIN_LEGS, MAX_MIN_RANGE_NM, WATER_NM = 50, 3.5, 1.0
+
 
 @dataclass(frozen=True)
 class Annulus:
@@ -134,7 +144,7 @@ def _turned(a: Column, b: Column) -> Column:
     return F.least(d, 360.0 - d)
 
 
-def derive_placements(points: DataFrame, seeds: DataFrame, search_nm: float = 40.0, moving_kn: float = 5.0, moored_kn: float = 0.5, dwell_h: float = 6.0, separation_nm: float = 1.0, seaward_nm: float = 4.0) -> DataFrame:
+def derive_placements(points: DataFrame, seeds: DataFrame, search_nm: float = SEARCH_NM, moving_kn: float = MOVING_KN, moored_kn: float = MOORED_KN, dwell_h: float = DWELL_H, separation_nm: float = SEPARATION_NM, seaward_nm: float = SEAWARD_NM) -> DataFrame:
     """Four reference points per seed: fairway, berth, anchorage and offshore terminal.
 
     seeds: port_region, seed_lat, seed_lon. The fairway is the densest cell of moving points; berth and anchorage come
@@ -148,15 +158,15 @@ def derive_placements(points: DataFrame, seeds: DataFrame, search_nm: float = 40
     base = base.withColumn("out_brg", geo.bearing_deg("seed_lat", "seed_lon", "f_lat", "f_lon"))
     stays = stationary_runs(local, ("port_region", "trip_id"), below_kn=moored_kn, dwell_s=dwell_h * 3600)
     spots = top_cells(stays, by=key).join(base, "port_region").withColumn("brg", geo.bearing_deg("f_lat", "f_lon", "lat", "lon"))
-    landward = F.when(_turned(F.col("brg"), F.col("out_brg") + 180.0) <= 90, 1.0).otherwise(0.3)
+    landward = F.when(_turned(F.col("brg"), F.col("out_brg") + 180.0) <= 90, 1.0).otherwise(SEAWARD_BERTH)
     berth = spots.groupBy(*key).agg(F.max_by(F.struct("lat", "lon"), F.struct((F.col("n") * landward).alias("s"), (-F.col("rank")).alias("r"))).alias("_p")).select("port_region", F.col("_p.lat").alias("b_lat"), F.col("_p.lon").alias("b_lon"))
     base = base.join(berth, "port_region", "left").withColumns({"b_lat": F.coalesce("b_lat", "f_lat"), "b_lon": F.coalesce("b_lon", "f_lon")})
-    lat, lon = geo.offset_point("b_lat", "b_lon", geo.bearing_deg("b_lat", "b_lon", "f_lat", "f_lon"), 0.15)
+    lat, lon = geo.offset_point("b_lat", "b_lon", geo.bearing_deg("b_lat", "b_lon", "f_lat", "f_lon"), BERTH_OFFSET_NM)
     base = base.withColumns({"b_lat": lat, "b_lon": lon})
     far = spots.join(base.select("port_region", "b_lat", "b_lon"), "port_region").where(geo.range_nm("b_lat", "b_lon", "lat", "lon") >= separation_nm)
-    seaward = F.when(_turned(F.col("brg"), F.col("out_brg")) <= 90, 1.0).otherwise(0.4)
+    seaward = F.when(_turned(F.col("brg"), F.col("out_brg")) <= 90, 1.0).otherwise(LANDWARD_ANCHORAGE)
     anchor = far.groupBy(*key).agg(F.max_by(F.struct("lat", "lon"), F.struct((F.col("n") * seaward).alias("s"), (-F.col("rank")).alias("r"))).alias("_p")).select("port_region", F.col("_p.lat").alias("a_lat"), F.col("_p.lon").alias("a_lon"))
-    lat, lon = geo.offset_point("f_lat", "f_lon", F.col("out_brg"), 1.5)
+    lat, lon = geo.offset_point("f_lat", "f_lon", F.col("out_brg"), ANCHORAGE_OFFSET_NM)
     base = base.join(anchor, "port_region", "left").withColumns({"a_lat": F.coalesce(F.col("a_lat"), lat), "a_lon": F.coalesce(F.col("a_lon"), lon)})
     lat, lon = geo.offset_point("f_lat", "f_lon", geo.bearing_deg("b_lat", "b_lon", "f_lat", "f_lon"), seaward_nm)
     base = base.withColumns({"o_lat": lat, "o_lon": lon})
@@ -164,7 +174,7 @@ def derive_placements(points: DataFrame, seeds: DataFrame, search_nm: float = 40
     return base.select("port_region", four.alias("_p")).select(F.concat_ws("__", "port_region", "_p.placement_class").alias("asset_id"), "port_region", "_p.placement_class", "_p.lat", "_p.lon")
 
 
-def placement_validity(points: DataFrame, placements: DataFrame, search_nm: float = 40.0, min_legs: int = 50, max_min_range_nm: float = 3.5, annulus: Annulus = Annulus()) -> DataFrame:
+def placement_validity(points: DataFrame, placements: DataFrame, search_nm: float = SEARCH_NM, min_legs: int = MIN_LEGS, max_min_range_nm: float = MAX_MIN_RANGE_NM, annulus: Annulus = Annulus()) -> DataFrame:
     """placements with inbound legs, least range, occupancy of the water, valid and reject_reason."""
     p = placements.select("asset_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     near = radius_join(points, p, search_nm, seed_lat="p_lat", seed_lon="p_lon")
@@ -172,7 +182,7 @@ def placement_validity(points: DataFrame, placements: DataFrame, search_nm: floa
     cpa = closest_points(near.where(F.col("range_nm") <= annulus.max_range_nm), ["asset_id", "trip_id"])
     legs = cpa.where((F.col("n_points") >= annulus.min_points) & (F.col("points_before_cpa") >= annulus.points_before_cpa)).groupBy("asset_id").agg(F.count("*").alias("n_inbound_legs_in_annulus"))
     out = placements.join(least, "asset_id", "left").join(legs, "asset_id", "left").na.fill(0, ["n_inbound_legs_in_annulus"])
-    wet = F.coalesce(F.col("min_observed_range_nm") <= 1.0, F.lit(False))
+    wet = F.coalesce(F.col("min_observed_range_nm") <= WATER_NM, F.lit(False))
     reason = F.concat_ws(",", F.when(~wet, "not_over_water"), F.when(F.col("n_inbound_legs_in_annulus") < min_legs, f"inbound_legs<{min_legs}"), F.when(F.coalesce(F.col("min_observed_range_nm") > max_min_range_nm, F.lit(True)), f"min_range>{max_min_range_nm}"))
     return out.withColumn("water_occupied", wet).withColumn("reject_reason", reason).withColumn("valid", reason == "")
 
