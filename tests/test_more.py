@@ -352,3 +352,16 @@ def test_slices_h12(spark):
     out = images.evaluate_slices(box, det, im, ious=(0.5,))
     whole = rows(images.average_precision(box, det, ious=(0.5,)), "category_id", "ap")
     assert rows(out.where("slice = 'overall'"), "category_id", "ap") == whole and {r.slice for r in out.collect()} >= {"overall", "shore"}
+
+
+def test_splits_of_a_coco_export_s7(spark, tmp_path):
+    for s, n in (("train", 2), ("valid", 1), ("test", 1)):
+        (tmp_path / s).mkdir()
+        data = {"images": [{"id": i, "file_name": f"{s}{i}.jpg"} for i in range(n)], "annotations": [{"id": i, "image_id": i, "category_id": 1, "bbox": [1, 2, 3, 4]} for i in range(n)], "categories": [{"id": 1, "name": "boat"}]}
+        (tmp_path / s / "_annotations.coco.json").write_text(json.dumps(data))
+    im, ann, cat = readers.coco_splits(spark, str(tmp_path))
+    assert rows(im, "split", "id") == [("test", 0), ("train", 0), ("train", 1), ("valid", 0)] and rows(ann, "split", "w") == [("test", 3.0), ("train", 3.0), ("train", 3.0), ("valid", 3.0)] and rows(cat, "name") == [("boat",)]
+
+
+def test_headlines_h19():
+    assert provenance.headline({"eval": {"ap": 0.5, "n": 3}}, {"ap": "eval.ap", "ar": "eval.ar", "x": "a.b.c"}) == {"ap": 0.5, "ar": None, "x": None}

@@ -45,6 +45,11 @@ def slug(column: str) -> Column:
     return F.btrim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def json_value(column: str, path: str, default: str) -> Column:
+    """What stands at a path of nested JSON, as text; the default where there is nothing."""
+    return F.coalesce(F.get_json_object(column, path), F.lit(default))
+
+
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, null_frac) in one pass."""
     one = df.agg(F.count("*").alias("n"), *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"f{i}") for i, c in enumerate(columns)])

@@ -106,6 +106,12 @@ def admissible_splits(pairs: DataFrame, policy: DataFrame, members: DataFrame, p
     return rows.select("source_class", "asserted_class", out.alias("splits"))
 
 
+def class_lists(policy: DataFrame) -> DataFrame:
+    """(list, classes): scoreable classes (with an envelope) and abstained ones, sorted and comma-joined."""
+    kind = F.when((F.col("policy") == "score") & (F.coalesce("envelope", F.lit("")) != ""), "scoreable").otherwise("abstain")
+    return policy.groupBy(kind.alias("list")).agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"))
+
+
 def swap_pairs(classes: DataFrame, column: str = "class") -> DataFrame:
     """All ordered pairs of different classes of a (small) class table."""
     names = sorted(r[0] for r in classes.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())

@@ -101,6 +101,23 @@ def attest(rows: DataFrame, allowed_role: str = "benign", role: str = "role") ->
     return rows.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(r == allowed_role, F.lit(False))).alias("n_blocked"), F.array_join(F.array_sort(F.collect_set(r)), ",").alias("roles"))
 
 
+def headline(tree: Mapping, places: Mapping[str, str]) -> dict:
+    """Named values at dotted places of a nested summary; None where there is nothing."""
+    out = {}
+    for name, place in places.items():
+        at = tree
+        for part in place.split("."):
+            at = at.get(part) if isinstance(at, Mapping) else None
+        out[name] = at
+    return out
+
+
+def fact_checks(facts: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
+    """(check, holds) over a one-row table of facts: what a caption says against what the tables give. Unknown does not hold."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in checks.items()])
+    return facts.select(F.explode(pairs).alias("p")).select("p.check", "p.holds")
+
+
 def find_keys(tree, names: Iterable[str], at: str = "$") -> list[str]:
     """Places of the named keys anywhere in nested JSON data."""
     names, out = set(names), []

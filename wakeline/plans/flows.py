@@ -27,12 +27,12 @@ class Tracks:
     vessels: DataFrame
 
 
-def ingest(raw: DataFrame, exact: dict[int, str], ranges: Sequence[tuple[int, int, str]], roles: dict[str, str], limits: tracks.Limits = tracks.Limits(), keep=session.checkpoint) -> Tracks:
+def ingest(raw: DataFrame, exact: dict[int, str], ranges: Sequence[tuple[int, int, str]], roles: dict[str, str], limits: tracks.Limits = tracks.Limits(), targets_only: bool = False, keep=session.checkpoint) -> Tracks:
     """Messages to points with trips, trips with features, and the static class and role of each vessel.
 
     The class is taken from all valid messages, before segmentation; trips too short are dropped, and their points. Of
     messages that repeat a vessel's time the first counts: by their place in the files (``_place``, which the readers of
-    files give), else in the order of raw.
+    files give), else in the order of raw. targets_only: without trips of classes that have no role.
     """
     fixes = readers.points(raw)
     fixes = keep(fixes if "_order" in fixes.columns else fixes.withColumn("_order", F.monotonically_increasing_id()))
@@ -44,6 +44,7 @@ def ingest(raw: DataFrame, exact: dict[int, str], ranges: Sequence[tuple[int, in
     pts = keep(tracks.segment(fixes, ["_order"], limits=limits).drop("_order", "vessel_type", "transceiver"))
     trips = tracks.keep_long(tracks.trip_features(pts, ("mmsi", "trip_seq"), limits=limits), limits)
     trips = tables.attach(trips, vessels, ["mmsi"])
+    trips = trips.where("role <> 'non_target'") if targets_only else trips
     return Tracks(pts.join(trips.select("mmsi", "trip_seq"), ["mmsi", "trip_seq"], "left_semi"), trips, vessels)
 
 

@@ -87,8 +87,8 @@ def far_by_stratum(spark, sf_dir):
 
 
 def far_overall(spark, sf_dir):
-    s = scored(spark, sf_dir).withColumn("flag", F.col("score") > 50_000)
-    return rounded(rates.overall(rates.far_by(s, ["envelope"])))
+    s = scored(spark, sf_dir).withColumn("flag", F.when(F.col("l_linenumber") < 6, F.col("score") > 50_000))
+    return rounded(rates.overall(rates.far_by(s, ["envelope", "region"]), excluded=F.col("envelope") == "N"))
 
 
 def far_curve(spark, sf_dir):
@@ -214,8 +214,7 @@ BOX = """boxes AS (SELECT l_orderkey * 7 + l_linenumber AS ann_id, l_partkey AS
 
 
 def box_clamp(spark, sf_dir):
-    c = images.clamp_annotations(boxes(spark, sf_dir)).select("ann_id", "x", "y", "w", "h")
-    return c.groupBy().agg(F.count("*").alias("n"), *[F.round(F.sum(k), 2).alias(f"sum_{k}") for k in "xywh"])
+    return images.clamp_annotations(boxes(spark, sf_dir)).select("ann_id", "x", "y", "w", "h")
 
 
 def annotation_geometry(spark, sf_dir):
@@ -236,9 +235,10 @@ def evaluation_slices(spark, sf_dir):
 
 
 def letterbox_boxes(spark, sf_dir):
-    b = boxes(spark, sf_dir).withColumn("fit", geo.letterbox("width", "height", 640))
-    b = b.withColumn("r", geo.letterbox_box("x", "y", "w", "h", "fit"))
-    return rounded(b.agg(F.max("fit.new_w").alias("new_w"), F.max("fit.new_h").alias("new_h"), F.max("fit.pad_y").alias("pad_y"), F.sum("r.x").alias("sum_x"), F.sum("r.y").alias("sum_y"), F.sum("r.w").alias("sum_w")), 3)
+    """Images of many sizes, among them such whose scaled side ends in a half; boxes under 40 pixels there are dropped."""
+    b = boxes(spark, sf_dir).withColumns({"width": (100 + F.col("ann_id") % 57 * 4).cast("double"), "height": (90 + F.col("ann_id") % 43 * 5).cast("double")})
+    out = images.letterboxed(b, 256, 40.0)
+    return rounded(out.select("ann_id", *[F.col(f"fit.{c}").alias(c) for c in ("new_w", "new_h", "pad_x", "pad_y")], "x", "y", "w", "h"), 4)
 
 
 def yolo_labels(spark, sf_dir):
@@ -339,7 +339,7 @@ ORACLE = {
     "standardize": _w(V, "m AS (SELECT label, " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(DIMENSIONS)) + " FROM v GROUP BY label)") + "SELECT row_id, label, " + ", ".join(f"round((f{i} - m{i}) / CASE WHEN d{i} > 0 THEN d{i} ELSE 1 END, 5) AS f{i}" for i in range(DIMENSIONS)) + " FROM v JOIN m USING (label)",
     "calibrate_thresholds": _w(ENV) + "SELECT envelope, far_target::DOUBLE AS far_target, round(CASE far_target WHEN 0.01 THEN q[1] WHEN 0.05 THEN q[2] ELSE q[3] END, 6) AS threshold FROM (SELECT envelope, quantile_cont(score, [0.99, 0.95, 0.9]) AS q FROM s WHERE split = 'val' GROUP BY envelope), (VALUES (0.01), (0.05), (0.1)) f(far_target)",
     "far_by_stratum": _w(ENV, THR) + "SELECT envelope, region, count(*) AS n, count(*) FILTER (score > threshold) AS n_flag, round(count(*) FILTER (score > threshold)::DOUBLE / count(*), 6) AS far FROM s JOIN thr USING (envelope) WHERE split = 'test' GROUP BY envelope, region",
-    "far_overall": _w(ENV) + "SELECT count(*) AS n, round(count(*) FILTER (score > 50000)::DOUBLE / count(*), 6) AS far FROM s",
+    "far_overall": _w(ENV) + "SELECT count(*) AS n, round(count(*) FILTER (score > 50000)::DOUBLE / count(*), 6) AS far FROM s WHERE l_linenumber < 6 AND envelope <> 'N'",
     "far_curve": _w(ENV, "q AS (SELECT envelope, f AS far_target, quantile_cont(score, [0.99, 0.98, 0.95, 0.9, 0.85, 0.8])[i] AS threshold FROM s, (VALUES (1, 0.01::DOUBLE), (2, 0.02::DOUBLE), (3, 0.05::DOUBLE), (4, 0.1::DOUBLE), (5, 0.15::DOUBLE), (6, 0.2::DOUBLE)) t(i, f) GROUP BY envelope, i, f)") + "SELECT envelope, count(*) AS n, far_target, round(threshold, 6) AS threshold, round(count(*) FILTER (score > threshold)::DOUBLE / count(*), 6) AS realized FROM s JOIN q USING (envelope) GROUP BY envelope, far_target, q.threshold",
     "far_gate": _w(ENV, "r AS (SELECT envelope, region, count(*) FILTER (l_linenumber < 7) AS n, count(*) FILTER (l_linenumber < 7 AND score > 60000)::DOUBLE / count(*) FILTER (l_linenumber < 7) AS far FROM s GROUP BY envelope, region)") + "SELECT envelope, region, CASE WHEN n < 500 OR far IS NULL THEN 'INCOMPLETE' WHEN far <= 0.16 THEN 'PASS' ELSE 'FAIL' END AS gate FROM r",
     "decision_status": _w(PTS, STATUS) + "SELECT event_id, policy, envelope_used, status, action FROM a",
@@ -353,12 +353,12 @@ ORACLE = {
     "subspace_routing": _w(PTS) + "SELECT CASE WHEN heading IS NOT NULL AND cog IS NOT NULL THEN 'core_course' ELSE 'core' END AS subspace, count(*) AS n FROM points GROUP BY subspace",
     "code_range_map": "SELECT CASE WHEN p_size = 7 THEN 'seven' WHEN p_size = 30 THEN 'thirty' WHEN p_size BETWEEN 1 AND 9 THEN 'low' WHEN p_size BETWEEN 25 AND 39 THEN 'middle' ELSE 'other' END AS class, count(*) AS n FROM part GROUP BY class",
     "success_rates": _w(PTS, "e AS (SELECT cls, event_id % 3 <> 0 AS eligible, sog > 50 AS success, coalesce(heading > 180, false) AS attributable FROM points)") + "SELECT cls, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (eligible AND success) AS n_success, count(*) FILTER (eligible AND attributable) AS n_attributable, count(*) FILTER (eligible AND attributable AND success) AS n_attributable_success, round(count(*) FILTER (eligible AND success)::DOUBLE / count(*) FILTER (eligible), 6) AS rate, round(count(*) FILTER (eligible AND attributable AND success)::DOUBLE / count(*) FILTER (eligible AND attributable), 6) AS attributable_rate FROM e GROUP BY cls",
-    "box_clamp": _w(BOX, "k AS (SELECT x, y, least(x + w, width) - x AS w, least(y + h, height) - y AS h FROM boxes)") + "SELECT count(*) AS n, round(sum(x), 2) AS sum_x, round(sum(y), 2) AS sum_y, round(sum(w), 2) AS sum_w, round(sum(h), 2) AS sum_h FROM k WHERE w >= 1 AND h >= 1",
+    "box_clamp": _w(BOX, "k AS (SELECT ann_id, x, y, least(x + w, width) - x AS w, least(y + h, height) - y AS h FROM boxes)") + "SELECT ann_id, round(x, 2) AS x, round(y, 2) AS y, round(w, 2) AS w, round(h, 2) AS h FROM k WHERE w >= 1 AND h >= 1",
     "annotation_geometry": _w(BOX) + "SELECT CASE WHEN least(w, h) < 8 THEN 'tiny' WHEN least(w, h) < 32 THEN 'small' WHEN least(w, h) < 96 THEN 'medium' ELSE 'large' END AS size_bin, count(*) AS n, round(avg(w * h / (width * height)), 6) AS area_frac, round(avg(w / h), 6) AS aspect, round(avg(sqrt(pow((x + w / 2) / width - 0.5, 2) + pow((y + h / 2) / height - 0.5, 2))), 6) AS centre_offset, round(avg(least(w, h) * 640 / 120), 6) AS letterboxed_side FROM boxes GROUP BY size_bin",
     "image_rollup": _w(BOX) + "SELECT image_id, count(*) AS n_boxes, count(*) FILTER (least(w, h) >= 8) AS n_eligible, max(w * h) AS largest_area, arg_max(category, (w * h, category)) AS largest_class, string_agg(DISTINCT category, ',' ORDER BY category) AS classes FROM boxes GROUP BY image_id",
     "side_sweep": _w(BOX) + "SELECT category, s AS min_side, count(*) FILTER (least(w, h) >= s) AS n FROM boxes, (VALUES (4::DOUBLE), (8::DOUBLE), (16::DOUBLE), (32::DOUBLE)) t(s) GROUP BY category, s",
     "evaluation_slices": _w(BOX) + "SELECT 'overall' AS slice, count(*) AS n FROM boxes UNION ALL SELECT 'shore', count(*) FROM boxes WHERE is_shore UNION ALL SELECT 'source:' || source, count(*) FROM boxes GROUP BY source",
-    "letterbox_boxes": _w(BOX) + "SELECT 640 AS new_w, 533 AS new_h, 53 AS pad_y, round(sum(x * (640::DOUBLE / 120)), 3) AS sum_x, round(sum(y * (640::DOUBLE / 120) + 53), 3) AS sum_y, round(sum(w * (640::DOUBLE / 120)), 3) AS sum_w FROM boxes",
+    "letterbox_boxes": _w(BOX, "z AS (SELECT *, 100 + ann_id % 57 * 4 AS iw, 90 + ann_id % 43 * 5 AS ih FROM boxes)", "f AS (SELECT *, least(256::DOUBLE / iw, 256::DOUBLE / ih) AS s FROM z)", "g AS (SELECT *, CAST(round_even(iw * s, 0) AS INTEGER) AS new_w, CAST(round_even(ih * s, 0) AS INTEGER) AS new_h FROM f)") + "SELECT ann_id, new_w, new_h, CAST(floor((256 - new_w) / 2) AS INTEGER) AS pad_x, CAST(floor((256 - new_h) / 2) AS INTEGER) AS pad_y, round(x * s + floor((256 - new_w) / 2), 4) AS x, round(y * s + floor((256 - new_h) / 2), 4) AS y, round(w * s, 4) AS w, round(h * s, 4) AS h FROM g WHERE least(w * s, h * s) >= 40",
     "yolo_labels": _w(BOX) + "SELECT ann_id, printf('%d %.6f %.6f %.6f %.6f', ascii(category), (x + w / 2) / width, (y + h / 2) / height, w / width, h / height) AS line FROM boxes",
     "box_overlaps": _w(BOX, "p AS (SELECT a.ann_id AS a, b.ann_id AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.ann_id < b.ann_id)") + "SELECT a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.3",
     "exact_dup": _w(DIGEST) + "SELECT doc_id, first_id, n FROM hashed JOIN (SELECT digest, min(doc_id) AS first_id, count(*) AS n FROM hashed GROUP BY digest HAVING count(*) > 1) USING (digest)",
@@ -369,10 +369,10 @@ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN e
 SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS group_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
     "grouping_stats": _w(DIGEST) + "SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_items, count(*) FILTER (n = 1) AS n_singletons, max(n) AS largest, sum(n - 1)::BIGINT AS n_collapsed FROM (SELECT count(*) AS n FROM hashed GROUP BY digest)",
     "semi_join_prune": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_returnflag",
-    "anti_join_integrity": "SELECT 0::BIGINT AS n_repeated, (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)) AS n_orphans",
+    "anti_join_integrity": "SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0 GROUP BY c_custkey HAVING count(*) > 1)) AS n_repeated, (SELECT count(*) FROM orders) AS n_child, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)) AS n_orphans",
     "row_digests": "SELECT n_nationkey, sha256(n_name) AS sha256, md5(n_name) AS md5 FROM nation",
     "redaction_gate": "SELECT * FROM (SELECT s_suppkey, 'release/' || lower(replace(s_name, '#', '/')) AS path FROM supplier) WHERE regexp_matches(path, '0000000[1-3]|\\.pt$')",
-    "attestation": "SELECT count(*) AS n, count(*) FILTER (event_id % 50 = 0) AS n_blocked, 'benign,hostile' AS roles FROM events",
+    "attestation": "SELECT count(*) AS n, count(*) FILTER (role <> 'benign') AS n_blocked, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'hostile' ELSE 'benign' END AS role FROM events)",
     "numbered_ids": "SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS INTEGER) AS global_id FROM supplier",
 }
 QUERIES = {f.__name__: f for f in (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, tables
-from ..operators import decisions, rates, reports, tracks
-from .model_queries import BOX, STATUS, _w, acted, boxes, read
+from ..operators import decisions, images, provenance, rates, reports, tracks
+from .model_queries import BOX, STATUS, _policy, _w, acted, boxes, read
 from .track_queries import LAST, LIMITS, NUM, PTS, WINDOWS, points, rounded
 
 ENVELOPES = {"shoppers": {"cls": ("purchase", "view")}, "north": {"band": ("north",), "cls": ("view", "click")}, "all_clicks": {"cls": ("click",)}}
@@ -115,6 +115,42 @@ def backends(spark, sf_dir):
     return both.groupBy("backend", "action").agg(F.count("*").alias("n"))
 
 
+def class_lists(spark, sf_dir):
+    return decisions.class_lists(_policy(spark))
+
+
+def props_values(spark, sf_dir):
+    """Nested lookup with a default."""
+    p = read(spark, sf_dir, "events").withColumn("j", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a":{"b":'), F.col("event_id").cast("string"), F.lit("}}"))).otherwise(F.col("props")))
+    return p.select("event_id", tables.json_value("j", "$.a.b", "none").alias("b"), tables.json_value("j", "$.k", "-").alias("k"))
+
+
+def image_annotations(spark, sf_dir):
+    """All images, those without annotations too."""
+    im = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"))
+    return images.with_annotations(im, boxes(spark, sf_dir).where("image_id % 7 <> 0")).select("image_id", "n_boxes", "n_eligible", "largest_class")
+
+
+def slice_context(spark, sf_dir):
+    """Boxes by the context of the image: shore and source come from the image table."""
+    im = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("source"), (F.col("p_size") > 25).alias("is_shore"))
+    return images.in_context(boxes(spark, sf_dir), im, ["image_id"]).groupBy("slice").agg(F.count("*").alias("n"))
+
+
+def target_trips(spark, sf_dir):
+    """Trips of classes with a role; the others are no targets."""
+    t = tracks.trip_sequence(points(spark, sf_dir), limits=LIMITS)
+    c = tracks.modal("cls", ["mmsi"], t).withColumn("role", F.when(F.col("cls") == "view", "benign").when(F.col("cls") == "click", "held_out").otherwise("non_target"))
+    t = tables.attach(t.groupBy("mmsi", "trip_seq").agg(F.count("*").alias("n")), c, ["mmsi"])
+    return t.where("role <> 'non_target'").groupBy("role").agg(F.count("*").alias("n_trips"), F.sum("n").alias("n_points"))
+
+
+def fact_checks(spark, sf_dir):
+    """What a caption says against the tables."""
+    facts = read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("classes"), F.max("l_discount").alias("top"))
+    return provenance.fact_checks(facts, {"three classes": F.col("classes") == 3, "more than a million": F.col("n") > 1_000_000, "no discount above 0.5": F.col("top") <= 0.5})
+
+
 def _scored_status(spark, sf_dir):
     return points(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("sog")).alias("score"), F.lit(60.0).alias("threshold"), F.when(F.col("event_id") % 13 != 0, "scored").otherwise("no_window").alias("status"))
 
@@ -143,10 +179,16 @@ ORACLE = {
     "fast_straight": LAST + "SELECT mmsi, trip_seq, window_s FROM feats WHERE sog_p95 >= 60 AND straightness >= 0.3 AND window_complete AND mmsi % 2 = 0",
     "window_choice": "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 600 WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN 300 ELSE 900 END AS BIGINT) AS window_s FROM events",
     "backends": _w(PTS) + "SELECT 'consistency' AS backend, CASE WHEN event_id % 13 = 0 OR event_id % 7 = 0 THEN 'abstain' WHEN sog > 60 THEN 'flag' ELSE 'pass' END AS action, count(*) AS n FROM points GROUP BY ALL UNION ALL SELECT 'presence_only', CASE WHEN event_id % 4 = 0 THEN 'abstain' WHEN cls = 'view' THEN 'pass' ELSE 'flag' END AS action, count(*) FROM points GROUP BY ALL",
+    "class_lists": "SELECT CASE WHEN policy = 'score' AND envelope IS NOT NULL THEN 'scoreable' ELSE 'abstain' END AS list, string_agg(class, ',' ORDER BY class) AS classes FROM (VALUES ('view', 'score', 'e_view'), ('click', 'score', 'e_click'), ('purchase', 'abstain', NULL), ('signup', 'score', NULL)) p(class, policy, envelope) GROUP BY list",
+    "props_values": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'none' END AS b, CASE WHEN event_id % 2 = 0 THEN '-' ELSE coalesce(json_extract_string(props, '$.k'), '-') END AS k FROM events",
+    "image_annotations": _w(BOX, "kept AS (SELECT * FROM boxes WHERE image_id % 7 <> 0)") + "SELECT p_partkey AS image_id, count(ann_id) AS n_boxes, count(*) FILTER (least(w, h) >= 8) AS n_eligible, arg_max(category, (w * h, category)) AS largest_class FROM part LEFT JOIN kept ON image_id = p_partkey GROUP BY p_partkey",
+    "slice_context": _w(BOX, "c AS (SELECT p_brand, p_size > 25 AS shore FROM boxes JOIN part ON p_partkey = image_id)") + "SELECT 'overall' AS slice, count(*) AS n FROM c UNION ALL SELECT 'shore', count(*) FROM c WHERE shore UNION ALL SELECT 'source:' || p_brand, count(*) FROM c GROUP BY p_brand",
+    "target_trips": _w(PTS, NUM, "modal AS (SELECT mmsi, cls FROM (SELECT mmsi, cls, count(*) AS n FROM points GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY n DESC, cls) = 1)") + "SELECT CASE cls WHEN 'view' THEN 'benign' ELSE 'held_out' END AS role, count(DISTINCT (mmsi, trip_seq)) AS n_trips, count(*) AS n_points FROM (SELECT n.mmsi, n.trip_seq, m.cls FROM numbered n JOIN modal m USING (mmsi)) WHERE cls IN ('view', 'click') GROUP BY role",
+    "fact_checks": "SELECT unnest(['three classes', 'more than a million', 'no discount above 0.5']) AS \"check\", unnest([count(DISTINCT l_returnflag) = 3, count(*) > 1000000, max(l_discount) <= 0.5]) AS holds FROM lineitem",
     "smoke_sample": "SELECT event_id FROM events ORDER BY md5('0:' || CAST(event_id AS VARCHAR)), event_id LIMIT 50",
     "trip_starts_by_day": _w(PTS, NUM) + "SELECT strftime(DATE '1970-01-01' + CAST(floor(t0 / 86400) AS INTEGER), '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT min(t) AS t0 FROM numbered GROUP BY mmsi, trip_seq) GROUP BY day",
 }
 QUERIES = {f.__name__: f for f in (
     envelope_coverage, window_coverage, eligibility, annotation_filter, sequence_keys, one_to_one_join, static_attributes, smoke_sample, first_flags, cell_kinds, pooled_gaps, overlay_bands, percent_texts, trip_starts_by_day,
-    class_shares, slugs, fast_straight, window_choice, backends,
+    class_shares, slugs, fast_straight, window_choice, backends, class_lists, props_values, image_annotations, slice_context, target_trips, fact_checks,
 )}

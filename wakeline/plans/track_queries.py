@@ -97,8 +97,10 @@ def modal_class(spark, sf_dir):
 
 
 def dedup_first(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("bin", F.floor(F.col("t") / 86_400).cast("long"))
-    return tracks.first_of_duplicates(p, ["mmsi", "bin"], ["event_id"]).select("mmsi", "bin", "event_id")
+    """Messages of which every third comes again later, and of some an earlier copy under another number."""
+    p = points(spark, sf_dir).select("mmsi", "t", "event_id")
+    p = p.unionByName(p.where("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 10_000_000)).unionByName(p.where("event_id % 5 = 0").withColumn("event_id", -F.col("event_id")))
+    return rounded(tracks.first_of_duplicates(p, ["mmsi", "t"], ["event_id"]))
 
 
 def cadence_thin(spark, sf_dir):
@@ -110,7 +112,12 @@ def teleport_filter(spark, sf_dir):
 
 
 def coordinate_filter(spark, sf_dir):
-    return tracks.valid_fixes(points(spark, sf_dir), box=(25.2, 25.8, -79.9, -79.5)).select("event_id")
+    """Some fixes are made unusable: (0, 0), out of range, no time."""
+    p = points(spark, sf_dir)
+    bad = F.col("event_id") % 40
+    p = p.withColumns({"lat": F.when(bad == 0, 0.0).when(bad == 1, 95.0).otherwise(F.col("lat")), "lon": F.when(bad == 0, 0.0).when(bad == 2, -190.0).otherwise(F.col("lon")), "t": F.when(bad == 3, 0.0).otherwise(F.col("t"))})
+    inside = tracks.valid_fixes(p, box=(25.2, 25.8, -79.9, -79.5)).select("event_id", F.lit(True).alias("in_box"))
+    return tracks.valid_fixes(p).select("event_id").join(inside, "event_id", "left").na.fill(False, ["in_box"])
 
 
 def sentinel_nulls(spark, sf_dir):
@@ -294,10 +301,10 @@ ORACLE = {
  modal AS (SELECT mmsi, cls FROM counts QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY n DESC, cls) = 1)
 SELECT cls, count(*) AS n_trips, count(DISTINCT mmsi) AS n_vessels, round(quantile_cont(sog_med, 0.5), 4) AS sog_med_median, round(quantile_cont(duration_s, 0.5), 4) AS duration_s_median, round(quantile_cont(path_km, 0.5), 4) AS path_km_median FROM feats JOIN modal USING (mmsi) GROUP BY cls""",
     "modal_class": _with(PTS) + "SELECT mmsi, cls FROM (SELECT mmsi, cls, count(*) AS n FROM points GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY n DESC, cls) = 1",
-    "dedup_first": _with(PTS) + "SELECT mmsi, floor(t / 86400)::BIGINT AS bin, min(event_id) AS event_id FROM points GROUP BY ALL",
+    "dedup_first": _with(PTS) + "SELECT mmsi, round(t, 6) AS t, min(event_id) AS event_id FROM (SELECT mmsi, t, event_id FROM points UNION ALL SELECT mmsi, t, event_id + 10000000 FROM points WHERE event_id % 3 = 0 UNION ALL SELECT mmsi, t, -event_id FROM points WHERE event_id % 5 = 0) GROUP BY mmsi, t",
     "cadence_thin": _with(PTS) + "SELECT mmsi, arg_min(event_id, t) AS event_id FROM points GROUP BY mmsi, floor(t / 43200)",
     "teleport_filter": _with(PTS) + f"SELECT event_id, mmsi FROM (SELECT *, t - lag(t) OVER w AS dt, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} / 1.852 AS nm FROM points WINDOW w AS (PARTITION BY mmsi ORDER BY t)) WHERE NOT coalesce(dt > 0 AND nm / (dt / 3600.0) > 2, false)",
-    "coordinate_filter": _with(PTS) + "SELECT event_id FROM points WHERE lat BETWEEN 25.2::DOUBLE AND 25.8::DOUBLE AND lon BETWEEN -79.9::DOUBLE AND -79.5::DOUBLE AND t > 0",
+    "coordinate_filter": _with(PTS) + "SELECT event_id, lat BETWEEN 25.2::DOUBLE AND 25.8::DOUBLE AND lon BETWEEN -79.9::DOUBLE AND -79.5::DOUBLE AS in_box FROM points WHERE event_id % 40 > 3",
     "sentinel_nulls": _with(PTS) + "SELECT cls, count(*) AS n, count(CASE WHEN sog BETWEEN 0 AND 50 THEN 1 END) AS n_sog, count(CASE WHEN heading >= 0 AND heading < 360 THEN 1 END) AS n_heading FROM points GROUP BY cls",
     "steps": STEPS + "SELECT event_id, round(dt, 6) AS dt, round(seg_km, 6) AS seg_km, round(turn_dps, 6) AS turn_dps, round(accel, 6) AS accel_kn_min FROM steps",
     "global_trip_ids": TRIP + "SELECT event_id, sum(new) OVER (ORDER BY mmsi, t ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS trip_id FROM numbered",

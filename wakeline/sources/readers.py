@@ -7,6 +7,7 @@ import json
 import struct
 import zipfile
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,14 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return images, boxes, whole.select(F.explode("categories").alias("r")).select("r.*")
 
 
+def coco_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test"), name: str = "_annotations.coco.json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of an export with a folder and file per split; images and annotations carry their split. Ids are those of each
+    split's file, so (split, id) is the key."""
+    parts = [(s, coco(spark, f"{root}/{s}/{name}")) for s in splits]
+    tag = lambda i: reduce(DataFrame.unionByName, [p[i].withColumn("split", F.lit(s)) for s, p in parts])
+    return tag(0), tag(1), reduce(DataFrame.unionByName, [p[2] for _, p in parts]).distinct()
+
+
 def voc(spark: SparkSession, path: str) -> DataFrame:
     """One row per object of Pascal-VOC XML files."""
     rows = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(path)
