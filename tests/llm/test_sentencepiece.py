@@ -55,3 +55,15 @@ def test_odd_rows_and_round_trip(spark, odd):
     src = {r.doc_id: (r.text or "").replace("▁", " ") for r in odd.collect()}
     assert back == src
     assert s.token_digests(odd.limit(0)).count() == 0
+
+
+def test_whole_texts_are_checked_where_pieces_span_words(monkeypatch):
+    e = s.encoder(MODEL)
+    texts = ["the cat", "", "internationalisation of it", "odd  blanks "]
+    want = [[*e.lib.encode(t), e.end] for t in texts]
+    monkeypatch.setattr(e, "inner_space", True)
+    assert s.encode_batch(texts, MODEL) == (want, [True] * 4)
+    merge = e.merge
+    monkeypatch.setattr(e, "merge", lambda t: merge(t)[::-1])
+    ids, agrees = s.encode_batch(texts, MODEL)
+    assert ids == want and agrees == [False, True, False, False]
