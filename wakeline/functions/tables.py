@@ -81,12 +81,6 @@ def in_all(values: dict[str, Sequence]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def quantiles(column: str, shares: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Exact linearly interpolated quantiles as columns, from one aggregate."""
-    q = F.percentile(F.col(column), [float(s) for s in shares])
-    return [q.getItem(i).alias(n) for i, n in enumerate(names)]
-
-
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], group_rows: int = GROUP_ROWS, save=None) -> DataFrame:
     """by and ``cuts``: the exact linearly interpolated quantiles of the known values of each group, an array in order of
     shares. Groups without a value are absent.
