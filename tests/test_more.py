@@ -167,6 +167,22 @@ def test_numbers_and_trips_in_ranges(spark):
     assert got == [(i,) for i in range(len(got))]
 
 
+def test_blocks_of_a_hot_track_change_nothing(spark):
+    rng, data = random.Random(8), []
+    for m in range(4):
+        t, lat = 0.0, 25.0
+        for i in range(900 if m == 0 else 60):
+            t += rng.choice([20, 61, 300, 1801, 7000])
+            lat += rng.uniform(-0.02, 0.02) + (2.0 if i % 29 == 0 else 0.0)
+            data.append((m, t, lat, -80.0, rng.uniform(0, 20), rng.uniform(0, 360), i))
+    df = spark.createDataFrame(data, "mmsi long, t double, lat double, lon double, sog double, cog double, n long")
+    one, cut = (tracks.segment(df, ["n"], block_s=b) for b in (None, 3_600.0))
+    assert rows(cut, "mmsi", "t", "trip_seq") == rows(one, "mmsi", "t", "trip_seq") and one.agg(F.max("trip_seq")).first()[0] > 50
+    a, b = (tracks.trip_features(one, ("mmsi", "trip_seq"), block_s=x).orderBy("mmsi", "trip_seq").toPandas() for x in (None, 700.0))
+    assert list(a.columns) == list(b.columns) and np.allclose(a.to_numpy(float), b.to_numpy(float), equal_nan=True)
+    assert tracks.hot_blocks(df) is None and tracks.hot_blocks(df, most=100) == 86_400.0
+
+
 def test_near_hashes_are_whole_p2(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(60)]

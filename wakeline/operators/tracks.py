@@ -1,8 +1,10 @@
 """Point streams: cleaning, de-duplication, teleport removal, thinning, segmentation into trips, features, windows.
 
 All window steps partition by vessel, so that one shuffle by vessel serves the whole chain. The order of a vessel's points
-is what the steps are about, so a vessel stays in one task, which spills; vessels without an identity (mmsi 0) are dealt
-out by ``apart`` before, where their points are not one track.
+is what the steps are about, so a vessel stays in one task, which spills. Where one key holds far more points than any vessel
+sends (mmsi 0 stands for all without an identity), ``block_s`` cuts its track into blocks of time: each block gets the
+end of the one before, counts run over the blocks, and the results are the same. ``apart`` deals such points out by place
+instead, for those who do not want them as one track.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from .. import session
 from ..functions import geo
 
 
+#: Points of one key beyond which its track is cut into blocks: a vessel sends some 10 million a year at a cadence of 3 s.
+HOT_POINTS = 20_000_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Fixed values of the cleaning rules."""
@@ -64,13 +70,27 @@ def first_of_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def drop_teleports(df: DataFrame, key: str = "mmsi", t: str = "t", lat: str = "lat", lon: str = "lon", limits: Limits = Limits()) -> DataFrame:
+def with_previous(df: DataFrame, by: Sequence[str], columns: Sequence[str], t: str = "t", block_s: float | None = None) -> DataFrame:
+    """df with _p_<column>: the value at the point before in the same track; NULL at the first. block_s: in blocks of so many
+    seconds, so that no task orders a whole track (times of a track are then to be distinct)."""
+    if block_s is None:
+        w = Window.partitionBy(*by).orderBy(t)
+        return df.withColumns({f"_p_{c}": F.lag(c).over(w) for c in columns})
+    df = df.withColumn("_block", F.floor(F.col(t) / block_s))
+    ends = df.groupBy(*by, "_block").agg(F.max_by(F.struct(*columns), t).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_block")))
+    w = Window.partitionBy(*by, "_block").orderBy(t)
+    df = df.join(ends, [*by, "_block"]).withColumn("_first", F.row_number().over(w) == 1)
+    return df.withColumns({f"_p_{c}": F.when(F.col("_first"), F.col(f"_end.{c}")).otherwise(F.lag(c).over(w)) for c in columns}).drop("_block", "_end", "_first")
+
+
+def drop_teleports(df: DataFrame, key: str = "mmsi", t: str = "t", lat: str = "lat", lon: str = "lon", limits: Limits = Limits(), block_s: float | None = None) -> DataFrame:
     """Without points whose implied speed from the raw predecessor is above the limit; one pass, never repeated."""
-    w = Window.partitionBy(key).orderBy(t)
-    back = {c: F.lag(c).over(w) for c in (t, lat, lon)}
-    hours = (F.col(t) - back[t]) / 3600.0
-    speed = geo.range_nm(back[lat], back[lon], F.col(lat), F.col(lon)) / hours
-    return df.withColumn("_kn", F.when(hours > 0, speed)).where(F.coalesce(F.col("_kn") <= limits.teleport_kn, F.lit(True))).drop("_kn")
+    rows = with_previous(df, [key], [t, lat, lon], t, block_s)
+    hours = (F.col(t) - F.col(f"_p_{t}")) / 3600.0
+    speed = geo.range_nm(f"_p_{lat}", f"_p_{lon}", F.col(lat), F.col(lon)) / hours
+    rows = rows.withColumn("_kn", F.when(hours > 0, speed)).where(F.coalesce(F.col("_kn") <= limits.teleport_kn, F.lit(True)))
+    return rows.drop("_kn", *[f"_p_{c}" for c in (t, lat, lon)])
 
 
 def thin(df: DataFrame, key: str = "mmsi", t: str = "t", limits: Limits = Limits()) -> DataFrame:
@@ -79,12 +99,20 @@ def thin(df: DataFrame, key: str = "mmsi", t: str = "t", limits: Limits = Limits
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def trip_sequence(df: DataFrame, key: str = "mmsi", t: str = "t", limits: Limits = Limits()) -> DataFrame:
+def trip_sequence(df: DataFrame, key: str = "mmsi", t: str = "t", limits: Limits = Limits(), block_s: float | None = None) -> DataFrame:
     """trip_seq: number of a vessel's trip, from 1; a new one after a gap longer than the limit or no progress in time."""
-    w = Window.partitionBy(key).orderBy(t)
-    gap = F.col(t) - F.lag(t).over(w)
-    new = F.when(gap.isNull() | (gap > limits.gap_s) | (gap <= 0), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("trip_seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    rows = with_previous(df, [key], [t], t, block_s)
+    gap = F.col(t) - F.col(f"_p_{t}")
+    rows = rows.withColumn("_new", F.when(gap.isNull() | (gap > limits.gap_s) | (gap <= 0), 1).otherwise(0)).drop(f"_p_{t}")
+    if block_s is None:
+        w = Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("trip_seq", F.sum("_new").over(w).cast("long")).drop("_new")
+    rows = rows.withColumn("_block", F.floor(F.col(t) / block_s))
+    sums = rows.groupBy(key, "_block").agg(F.sum("_new").alias("_n"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    w = Window.partitionBy(key, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, [key, "_block"])
+    return rows.withColumn("trip_seq", (F.sum("_new").over(w) + F.col("_base")).cast("long")).drop("_new", "_block", "_base")
 
 
 def global_trip_id(df: DataFrame, key: str = "mmsi", vessels_per_range: int = 100_000, save=None) -> DataFrame:
@@ -107,22 +135,28 @@ def global_trip_id(df: DataFrame, key: str = "mmsi", vessels_per_range: int = 10
     return df.join(offset, key).withColumn("trip_id", F.col("_offset") + F.col("trip_seq") - 1).drop("_offset")
 
 
-def segment(points: DataFrame, order: Sequence[str], key: str = "mmsi", t: str = "t", limits: Limits = Limits()) -> DataFrame:
+def segment(points: DataFrame, order: Sequence[str], key: str = "mmsi", t: str = "t", limits: Limits = Limits(), block_s: float | None = None) -> DataFrame:
     """De-duplicate, drop teleports, thin and number trips, in this order."""
     points = first_of_duplicates(points, [key, t], order)
-    return trip_sequence(thin(drop_teleports(points, key, t, limits=limits), key, t, limits), key, t, limits)
+    return trip_sequence(thin(drop_teleports(points, key, t, limits=limits, block_s=block_s), key, t, limits), key, t, limits, block_s)
 
 
-def steps(points: DataFrame, trip: Sequence[str] = ("trip_id",), t: str = "t") -> DataFrame:
+def hot_blocks(points: DataFrame, key: str = "mmsi", most: int = HOT_POINTS) -> float | None:
+    """A day, where any key holds more than ``most`` points, as block_s of the steps above; else None: the same results."""
+    top = points.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return 86_400.0 if top > most else None
+
+
+def steps(points: DataFrame, trip: Sequence[str] = ("trip_id",), t: str = "t", block_s: float | None = None) -> DataFrame:
     """dt, seg_km, turn_dps and accel_kn_min against the point before in the same trip; NULL for the first."""
-    w = Window.partitionBy(*trip).orderBy(t)
-    dt = F.col(t) - F.lag(t).over(w)
-    return points.withColumns({
+    rows = with_previous(points, list(trip), [t, "lat", "lon", "cog", "sog"], t, block_s)
+    dt = F.col(t) - F.col(f"_p_{t}")
+    return rows.withColumns({
         "dt": dt,
-        "seg_km": geo.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")),
-        "turn_dps": F.when(dt > 0, F.abs(geo.angle_difference(F.col("cog"), F.lag("cog").over(w))) / dt),
-        "accel_kn_min": F.when(dt > 0, (F.col("sog") - F.lag("sog").over(w)) / (dt / 60.0)),
-    })
+        "seg_km": geo.haversine_km("_p_lat", "_p_lon", F.col("lat"), F.col("lon")),
+        "turn_dps": F.when(dt > 0, F.abs(geo.angle_difference(F.col("cog"), F.col("_p_cog"))) / dt),
+        "accel_kn_min": F.when(dt > 0, (F.col("sog") - F.col("_p_sog")) / (dt / 60.0)),
+    }).drop(*[f"_p_{c}" for c in (t, "lat", "lon", "cog", "sog")])
 
 
 def circular_std(column: str) -> Column:
@@ -148,10 +182,10 @@ def trip_aggregates(limits: Limits = Limits(), t: str = "t") -> list[Column]:
     ]
 
 
-def trip_features(points: DataFrame, trip: Sequence[str] = ("trip_id",), extra: Sequence[Column] = (), limits: Limits = Limits()) -> DataFrame:
+def trip_features(points: DataFrame, trip: Sequence[str] = ("trip_id",), extra: Sequence[Column] = (), limits: Limits = Limits(), block_s: float | None = None) -> DataFrame:
     """One row per trip. Windows and aggregate share the partitioning by trip."""
     more = [F.avg(F.col("heading").isNotNull().cast("double")).alias("heading_avail_frac")] if "heading" in points.columns else []
-    return steps(points, trip).groupBy(*trip).agg(*trip_aggregates(limits), *more, *extra)
+    return steps(points, trip, block_s=block_s).groupBy(*trip).agg(*trip_aggregates(limits), *more, *extra)
 
 
 def keep_long(trips: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -41,8 +41,9 @@ def ingest(raw: DataFrame, exact: dict[int, str], ranges: Sequence[tuple[int, in
     cls = tables.code_class("vessel_type", exact, ranges, "unknown_other")
     role = F.coalesce(*[F.when(F.col("cls") == c, r) for c, r in roles.items()], F.lit("non_target")) if roles else F.lit("non_target")
     vessels = modal.join(tx, "mmsi").withColumn("cls", cls).withColumn("role", role)
-    pts = keep(tracks.segment(fixes, ["_order"], limits=limits).drop("_order", "vessel_type", "transceiver"))
-    trips = tracks.keep_long(tracks.trip_features(pts, ("mmsi", "trip_seq"), limits=limits), limits)
+    block = tracks.hot_blocks(fixes)
+    pts = keep(tracks.segment(fixes, ["_order"], limits=limits, block_s=block).drop("_order", "vessel_type", "transceiver"))
+    trips = tracks.keep_long(tracks.trip_features(pts, ("mmsi", "trip_seq"), limits=limits, block_s=block), limits)
     trips = tables.attach(trips, vessels, ["mmsi"])
     trips = trips.where("role <> 'non_target'") if targets_only else trips
     return Tracks(pts.join(trips.select("mmsi", "trip_seq"), ["mmsi", "trip_seq"], "left_semi"), trips, vessels)

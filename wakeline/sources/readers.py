@@ -17,6 +17,7 @@ from ..operators import tracks
 
 POSITIONS = "MMSI long, BaseDateTime string, LAT float, LON float, SOG float, COG float, Heading float, VesselType float, TransceiverClass string"
 VOC = "filename string, size struct<width:int,height:int>, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
+COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:long,name:string,supercategory:string>>"
 BOXES = "image string, width int, height int, category string, x double, y double, w double, h double"
 
 
@@ -57,19 +58,35 @@ def points(raw: DataFrame) -> DataFrame:
     return out.withColumn("sog", F.when(~F.isnan("sog"), F.col("sog")))
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations (with x, y, w, h) and categories of a COCO file."""
-    whole = spark.read.option("multiLine", True).json(path)
+def _coco_tables(whole: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     images = whole.select(F.explode("images").alias("r")).select("r.*")
     boxes = whole.select(F.explode("annotations").alias("r")).select("r.*")
     boxes = boxes.withColumns({c: F.col("bbox").getItem(i).cast("double") for i, c in enumerate("xywh")})
     return images, boxes, whole.select(F.explode("categories").alias("r")).select("r.*")
 
 
+def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations (with x, y, w, h) and categories of a COCO file."""
+    return _coco_tables(spark.read.option("multiLine", True).json(path))
+
+
 def coco_splits(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test"), name: str = "_annotations.coco.json") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same of an export with a folder and file per split; images and annotations carry their split. Ids are those of each
-    split's file, so (split, id) is the key."""
-    parts = [(s, coco(spark, f"{root}/{s}/{name}")) for s in splits]
+    """The same of an export with a folder and a file per split; images and annotations carry their split. Ids are those of
+    each split's file, so (split, id) is the key. Spark's readers pass over names with a leading underscore, so the driver
+    reads these files, one JSON document each."""
+
+    def text(path: str) -> str:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    rows = spark.createDataFrame([(s, text(f"{root}/{s}/{name}")) for s in splits], "split string, text string")
+    whole = rows.select("split", F.from_json("text", COCO).alias("c")).select("split", "c.*")
+    parts = [(s, _coco_tables(whole.where(F.col("split") == s))) for s in splits]
     tag = lambda i: reduce(DataFrame.unionByName, [p[i].withColumn("split", F.lit(s)) for s, p in parts])
     return tag(0), tag(1), reduce(DataFrame.unionByName, [p[2] for _, p in parts]).distinct()
 
