@@ -23,13 +23,14 @@ def holds(query, text):
 def test_queries_hold_for_every_match(text):
     for r in s.RULES:
         if re.search(r.pattern, text):
-            assert holds(trigrams.query(r.pattern), text)
+            assert holds(trigrams.query(r.pattern), text) and holds(trigrams.asked(r.pattern), text)
 
 
 def test_queries():
     assert trigrams.query("abcd|xyz") == frozenset([frozenset(["abc", "bcd"]), frozenset(["xyz"])])
     assert trigrams.query("a.*b") == trigrams.ALL and trigrams.query("[0-9a-f]{16,}") == trigrams.ALL
     assert trigrams.query("foo[xy]z") == frozenset([frozenset(["foo", "oox", "oxz"]), frozenset(["foo", "ooy", "oyz"])])
+    assert trigrams.asked("passwords?x|foo") == frozenset([frozenset(["pas", "rdx"]), frozenset(["pas", "dsx"]), frozenset(["foo"])]) and trigrams.asked("a.*b") == trigrams.ALL
     assert trigrams.query("(?i:ABC)?def") == frozenset([frozenset(["def"])])
 
 

@@ -52,8 +52,8 @@ _NO_SPANS = "array<struct<start:int,k:int,end:int>>"
 
 
 def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
-    """The trigrams that the rules' queries name."""
-    return sorted({t for r in rules for clause in trigrams.query(r.pattern) for t in clause})
+    """The trigrams that the rules' queries ask for."""
+    return sorted({t for r in rules for clause in trigrams.asked(r.pattern) for t in clause})
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -80,7 +80,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     bits = index.groupBy("id").agg(*[F.bit_or(F.when(part == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{j}") for j in range(n)])
     mask = F.lit(0).cast("long")
     for k, r in enumerate(rules):
-        q = trigrams.query(r.pattern)
+        q = trigrams.asked(r.pattern)
         if q != trigrams.ALL:
             mask = mask + F.when(_any([_all(clause, at, n) for clause in q]), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
     return bits.select("id", mask.alias("mask")).where("mask <> 0")

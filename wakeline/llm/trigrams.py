@@ -108,3 +108,14 @@ def _walk(tree) -> tuple[set[str] | None, frozenset]:
 def query(pattern: str) -> frozenset:
     exact, q = _walk(_parser.parse(pattern))
     return both(q, of_strings(exact)) if exact is not None else q
+
+
+#: Letters from frequent to rare in running text (fixed values); whatever else stands in a trigram counts as rarer.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def asked(pattern: str, per_clause: int = 2) -> frozenset:
+    """The query with at most so many trigrams in a clause, those of the rarest characters: still satisfied by every match,
+    with a short vocabulary to look for and to index."""
+    rarity = lambda t: sum(LETTERS.index(c) if c in LETTERS else len(LETTERS) for c in t)
+    return _least({frozenset(sorted(clause, key=lambda t: (-rarity(t), t))[:per_clause]) for clause in query(pattern)})
