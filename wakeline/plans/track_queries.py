@@ -293,7 +293,47 @@ PAIRS = "pairs AS (SELECT *, lag(e) OVER w AS e0, lag(n) OVER w AS n0, t - lag(t
 VEL = "vel AS (SELECT *, (e - e0) / dt AS ve, (n - n0) / dt AS vn FROM pairs)"
 TCPA = "tc AS (SELECT *, ve * ve + vn * vn AS s2, -(e0 * ve + n0 * vn) / nullif(ve * ve + vn * vn, 0) AS tc FROM vel)"
 
+
+
+def brg(a: str, b: str, c: str, d: str) -> str:
+    """Bearing from (a, b) to (c, d)."""
+    return f"((degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))) + 360) % 360)"
+
+
+def off(lat: str, lon: str, bearing: str, nm: float) -> str:
+    """The point at a distance along a bearing, as two columns."""
+    return f"{lat} + {nm}::DOUBLE / 60 * cos(radians({bearing})) AS lat, {lon} + {nm}::DOUBLE / 60 * sin(radians({bearing})) / cos(radians({lat})) AS lon"
+
+
+def _densest(source: str, where: str) -> str:
+    return f"SELECT port_region, floor(lat / 0.1::DOUBLE)::BIGINT AS i, floor(lon / 0.1::DOUBLE)::BIGINT AS j, count(*) AS n, median(lat) AS lat, median(lon) AS lon FROM {source} {where} GROUP BY ALL"
+
+
+_TURN = "least((({a} - {b}) % 360 + 360) % 360, 360 - (({a} - {b}) % 360 + 360) % 360) <= 90"
+PLACED = _with(
+    PTS, SEED_SQL, RADIUS, "local AS (SELECT * FROM near WHERE range_nm <= 40)",
+    "fair AS (SELECT * FROM (" + _densest("local", "WHERE sog >= 5") + ") QUALIFY row_number() OVER (PARTITION BY port_region ORDER BY n DESC, i, j) = 1)",
+    "base AS (SELECT *, " + brg("seed_lat", "seed_lon", "f_lat", "f_lon") + " AS out_brg FROM (SELECT s.port_region, seed_lat, seed_lon, coalesce(f.lat, seed_lat) AS f_lat, coalesce(f.lon, seed_lon) AS f_lon FROM seeds s LEFT JOIN fair f USING (port_region)))",
+    "slow AS (SELECT * FROM (SELECT *, sum(CASE WHEN sog < 60 THEN 0 ELSE 1 END) OVER (PARTITION BY port_region, mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM local) WHERE sog < 60)",
+    "stays AS (SELECT * FROM slow QUALIFY max(t) OVER (PARTITION BY port_region, mmsi, run) - min(t) OVER (PARTITION BY port_region, mmsi, run) >= 21600)",
+    "tops AS (SELECT *, row_number() OVER (PARTITION BY port_region ORDER BY n DESC, i, j) AS k FROM (" + _densest("stays", "") + ") QUALIFY k <= 8)",
+    "spots AS (SELECT t.*, f_lat, f_lon, out_brg, " + brg("f_lat", "f_lon", "lat", "lon") + " AS brg FROM tops t JOIN base USING (port_region))",
+    "berth AS (SELECT port_region, arg_max(lat, (n * w, -k)) AS lat, arg_max(lon, (n * w, -k)) AS lon FROM (SELECT *, CASE WHEN " + _TURN.format(a="brg", b="(out_brg + 180)") + " THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS w FROM spots) GROUP BY port_region)",
+    "at_berth AS (SELECT base.*, coalesce(berth.lat, f_lat) AS b0_lat, coalesce(berth.lon, f_lon) AS b0_lon FROM base LEFT JOIN berth USING (port_region))",
+    "moved AS (SELECT *, lat AS b_lat, lon AS b_lon FROM (SELECT *, " + off("b0_lat", "b0_lon", brg("b0_lat", "b0_lon", "f_lat", "f_lon"), 0.15) + " FROM at_berth))",
+    "anchor AS (SELECT port_region, arg_max(lat, (n * w, -k)) AS lat, arg_max(lon, (n * w, -k)) AS lon FROM (SELECT s.*, CASE WHEN " + _TURN.format(a="brg", b="s.out_brg") + " THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS w FROM spots s JOIN (SELECT port_region, b_lat, b_lon FROM moved) m USING (port_region) WHERE " + hav("b_lat", "b_lon", "s.lat", "s.lon") + " / 1.852 >= 1) GROUP BY port_region)",
+    "stand_in AS (SELECT port_region, " + off("f_lat", "f_lon", "out_brg", 1.5) + " FROM base)",
+    "placed AS (SELECT port_region, 'berth_approach' AS placement_class, b_lat AS lat, b_lon AS lon FROM moved UNION ALL SELECT port_region, 'anchorage', coalesce(a.lat, s.lat), coalesce(a.lon, s.lon) FROM stand_in s LEFT JOIN anchor a USING (port_region) UNION ALL SELECT port_region, 'offshore_terminal', lat, lon FROM (SELECT port_region, " + off("f_lat", "f_lon", brg("b_lat", "b_lon", "f_lat", "f_lon"), 4.0) + " FROM (SELECT port_region, f_lat, f_lon, b_lat, b_lon FROM moved)) UNION ALL SELECT port_region, 'fairway_stress', f_lat, f_lon FROM base)",
+    "named AS (SELECT port_region || '__' || placement_class AS asset_id, * FROM placed)",
+)
 ORACLE = {
+    "placements": PLACED + "SELECT asset_id, port_region, placement_class, round(lat, 6) AS lat, round(lon, 6) AS lon FROM named",
+    "placement_validity": PLACED.rstrip() + ", reach AS (SELECT asset_id, mmsi, t, " + hav("p.lat", "p.lon", "a.lat", "a.lon") + """ / 1.852 AS r FROM points p, named a), close AS (SELECT *, row_number() OVER (PARTITION BY asset_id, mmsi ORDER BY t) - 1 AS i FROM reach WHERE r <= 6),
+legs AS (SELECT asset_id, count(*) AS n FROM (SELECT asset_id, mmsi FROM close GROUP BY asset_id, mmsi HAVING count(*) >= 4 AND arg_min(i, (r, t)) >= 3) GROUP BY asset_id),
+seen AS (SELECT asset_id, min(r) AS m FROM reach WHERE r <= 40 GROUP BY asset_id),
+v AS (SELECT asset_id, port_region, placement_class, lat, lon, m, coalesce(n, 0) AS n, coalesce(m <= 1, false) AS wet FROM named LEFT JOIN seen USING (asset_id) LEFT JOIN legs USING (asset_id)),
+w AS (SELECT *, concat_ws(',', CASE WHEN NOT wet THEN 'not_over_water' END, CASE WHEN n < 5 THEN 'inbound_legs<5' END, CASE WHEN coalesce(m > 3.5, true) THEN 'min_range>3.5' END) AS why FROM v)
+SELECT asset_id, port_region, placement_class, round(lat, 6) AS lat, round(lon, 6) AS lon, round(m, 6) AS min_observed_range_nm, n AS n_inbound_legs_in_annulus, wet AS water_occupied, why AS reject_reason, why = '' AS valid FROM w""",
     "trip_segmentation": TRIP + "SELECT mmsi, trip_seq, count(*) AS n_points, round(max(t) - min(t), 6) AS duration_s, round(quantile_cont(sog, 0.95), 6) AS sog_p95, round(stddev_samp(sog), 6) AS sog_std FROM numbered GROUP BY ALL",
     "trip_features": STEPS + f"SELECT mmsi, trip_seq, {AGG}, round(avg(CASE WHEN heading IS NULL THEN 0.0 ELSE 1.0 END), 6) AS heading_avail_frac FROM steps GROUP BY ALL",
     "kept_trips": TRIP + "SELECT mmsi, trip_seq, count(*) AS n_points, round(max(t) - min(t), 6) AS duration_s FROM numbered GROUP BY ALL HAVING count(*) >= 2 AND max(t) - min(t) >= 300",
