@@ -67,7 +67,10 @@ def plain_codes(found, lexicon):
         cell = {t: _signed(_long(t, seed)) % rate for t in inside}
         for j in range(imatch.PER_RATE):
             held = [t for t in inside if cell[t] == j]
-            out.append(f"{fold(held):X}".rjust(16, "0")[8:] if held else None)
+            h = 42
+            for t in held:
+                h = _long(t, _long(h, 42))
+            out.append(f"{h:X}".rjust(16, "0")[8:] if held else None)
     return out
 
 

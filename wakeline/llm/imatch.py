@@ -64,26 +64,42 @@ def banded(found: Column, words: list[int]) -> Column:
     return F.sort_array(F.filter(found, lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(n)).cast("int")), t)))
 
 
-def _cells(inside: str, rate: int) -> Column:
-    """(subset, term) of the sorted lexicon terms that fall in one of PER_RATE subsets, each with one term in ``rate``."""
-    cells = F.transform(inside, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(rate), t), F.lit(rate)).cast("int").alias("c"), t.alias("t")))
-    return F.filter(cells, lambda x: x["c"] < PER_RATE)
+def _cells(inside: Column) -> Column:
+    """(subset, term) of the lexicon terms, for each subset that holds them, sorted; each subset begins with a null term.
 
+    A rate has PER_RATE disjoint subsets, each with one term in ``rate``; they are numbered through over the rates."""
+    def of_rate(i: int, rate: int) -> Column:
+        def cell(t):
+            return F.pmod(F.xxhash64(F.lit(rate), t), F.lit(rate)).cast("int")
 
-def _subset(cells: str, j: int) -> Column:
-    held = F.transform(F.filter(cells, lambda x: x["c"] == j), lambda x: x["t"])
-    return F.when(F.size(held) > 0, F.substring(F.lpad(F.hex(F.xxhash64(held)), 16, "0"), 9, 8))
+        held = F.filter(inside, lambda t: cell(t) < PER_RATE) if rate > PER_RATE else inside
+        return F.transform(held, lambda t: F.struct((cell(t) + i * PER_RATE).alias("c"), t.alias("t")))
+
+    begins = F.array(*[F.struct(F.lit(j).alias("c"), F.lit(None).cast("long").alias("t")) for j in range(len(RATES) * PER_RATE)])
+    parts = [begins, *[of_rate(i, rate) for i, rate in enumerate(RATES)]]
+    return F.sort_array(F.concat(*parts))
+
+
+def _chains(cells: Column) -> Column:
+    """The hash of each subset's terms in their order, in one pass; null where it holds none."""
+
+    def step(acc, x):
+        begins = F.struct(F.lit(None).cast("long").alias("h"), F.array_append(acc["out"], acc["h"]).alias("out"))
+        goes_on = F.struct(F.xxhash64(F.coalesce(acc["h"], F.lit(42).cast("long")), x["t"]).alias("h"), acc["out"].alias("out"))
+        return F.when(x["t"].isNull(), begins).otherwise(goes_on)
+
+    seed = F.struct(F.lit(None).cast("long").alias("h"), F.array().cast("array<long>").alias("out"))
+    # the first subset's beginning ends none
+    return F.aggregate(cells, seed, step, lambda a: F.slice(F.array_append(a["out"], a["h"]), 2, len(RATES) * PER_RATE))
 
 
 def with_codes(rows: DataFrame, inside: str, found: str, out: str) -> DataFrame:
     """rows with array<string>: the hash of all terms inside the lexicon, then one per subset; null where a subset holds
-    none. Subsets are unrolled over a column of cells: inside a lambda the cells would be made again for each."""
+    none."""
     whole = F.when(F.size(inside) > 0, F.hex(F.xxhash64(inside))).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64(F.sort_array(found)))))
+    parts = F.transform(_chains(_cells(F.col(inside))), lambda h: F.substring(F.lpad(F.hex(h), 16, "0"), 9, 8))
     rest = [c for c in rows.columns if c not in (inside, found)]
-    made = {f"{out}_{r}": _cells(inside, r) for r in RATES}
-    rows = rows.select(*rest, F.lpad(whole, 17, "0").alias(f"{out}_all"), *[c.alias(k) for k, c in made.items()])
-    parts = [_subset(k, j) for k in made for j in range(PER_RATE)]
-    return rows.select(*rest, F.array(F.col(f"{out}_all"), *parts).alias(out))
+    return rows.select(*rest, F.concat(F.array(F.lpad(whole, 17, "0")), parts).alias(out))
 
 
 def fingerprint(c: str) -> Column:
