@@ -3,6 +3,7 @@
 import importlib.util
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wakeline.operators import tracks
@@ -24,7 +25,7 @@ def messages(spark, vessels=60):
     return spark.createDataFrame(rows, readers.POSITIONS)
 
 
-def test_messages_to_decisions(spark):
+def test_messages_to_decisions(spark, tmp_path):
     got = flows.ingest(messages(spark), {37: "pleasure"}, [(70, 79, "cargo")], {"cargo": "benign", "pleasure": "benign"})
     trips = flows.split_vessels(got.trips).cache()
     assert trips.count() == 120 and {r.cls for r in got.vessels.select("cls").distinct().collect()} == {"cargo", "pleasure"}
@@ -38,6 +39,13 @@ def test_messages_to_decisions(spark):
     assert d.count() == 120 and {r.status for r in d.where("asserted_class = 'cargo'").collect()} == {"scored"} and {r.action for r in d.where("asserted_class = 'pleasure'").collect()} == {"abstain"}
     far = {r.cls: r for r in flows.false_alarms(d).collect()}
     assert far["cargo"].far is not None and far["pleasure"].far is None
+    # a frozen bundle decides alike, and a changed one is refused
+    digests = flows.freeze(fitted, str(tmp_path / "bundle"))
+    again = flows.thaw(rows, str(tmp_path / "bundle"), digests)
+    key = ["mmsi", "trip_seq", "window_s", "status", "action"]
+    assert sorted(map(tuple, flows.decide(again, policy).select(*key).collect()), key=str) == sorted(map(tuple, d.select(*key).collect()), key=str)
+    with pytest.raises(ValueError, match="digest"):
+        flows.thaw(rows, str(tmp_path / "bundle"), {"registry": "0" * 64})
 
 
 def test_unknown_vessels_are_dealt_out(spark):

@@ -5,8 +5,9 @@ Each step is a plan; what several steps read again is written to the shared fold
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,35 +68,49 @@ class Fitted:
     scored: DataFrame
 
 
-def fit(rows: DataFrame, family: str = "mahalanobis", far_targets: Sequence[float] = models.FAR_TARGETS, min_rows: int = models.MIN_ROWS, extra: Sequence[str] = (), keep=session.checkpoint) -> Fitted:
-    """A model per class, window and subspace on benign training rows, thresholds on validation rows, all rows scored.
+def _subspaces(extra: Sequence[str] = ()) -> dict[str, list[str]]:
+    return {"core": [*CORE, *extra], "core_course": [*CORE, *COURSE, *extra]}
 
-    Rows with all course features are scored by the course model where there is one, others by the core model. extra:
-    further features of both, such as those of an encounter (rows without them have no score).
-    """
+
+def score(rows: DataFrame, registry: DataFrame, family: str = "mahalanobis", extra: Sequence[str] = ()) -> DataFrame:
+    """rows with the score of their subspace (score), that of the core (core_score) and of the course model (course_score). Rows
+    with all course features are scored by the course model where there is one, others by the core model."""
     session.ship(rows.sparkSession)
-    rows = keep(rows.withColumn("row_id", F.xxhash64("mmsi", "trip_seq", "window_s")))
-    benign = decisions.benign_only(rows)
     by = ["cls", "window_s"]
-    parts = [("core", [*CORE, *extra]), ("core_course", [*CORE, *COURSE, *extra])]
-    registry = None
-    for name, features in parts:
-        one = models.fit_models(benign, by, features, [family], min_rows=min_rows).withColumn("subspace", F.lit(name))
-        registry = one if registry is None else registry.unionByName(one)
-    registry = keep(registry)
-    each = {}
-    for name, features in parts:
-        each[name] = models.score_rows(rows, registry.where(F.col("subspace") == name), by, features, family)
-    held = registry.where("subspace = 'core_course'").select("cls", "window_s", F.lit(True).alias("has_course"))
+    rows = rows.withColumn("row_id", F.xxhash64("mmsi", "trip_seq", "window_s"))
+    each = {k: models.score_rows(rows, registry.where(F.col("subspace") == k), by, features, family) for k, features in _subspaces(extra).items()}
+    held = registry.where("subspace = 'core_course'").select(*by, F.lit(True).alias("has_course")).distinct()
     both = each["core"].withColumnRenamed("score", "core_score").join(each["core_course"].select("row_id", F.col("score").alias("course_score")), "row_id").join(tables.small(held), by, "left")
     both = both.withColumn("subspace", models.subspace(COURSE, F.coalesce("has_course", F.lit(False))))
-    scored = keep(both.withColumn("score", F.when(F.col("subspace") == "core_course", F.col("course_score")).otherwise(F.col("core_score"))).drop("has_course"))
+    return both.withColumn("score", F.when(F.col("subspace") == "core_course", F.col("course_score")).otherwise(F.col("core_score"))).drop("has_course")
+
+
+def fit(rows: DataFrame, family: str = "mahalanobis", far_targets: Sequence[float] = models.FAR_TARGETS, min_rows: int = models.MIN_ROWS, extra: Sequence[str] = (), keep=session.checkpoint) -> Fitted:
+    """A model per class, window and subspace on benign training rows, thresholds on validation rows, all rows scored.
+    extra: further features of both subspaces, such as those of an encounter (rows without them have no score)."""
+    session.ship(rows.sparkSession)
+    rows = keep(rows)
+    benign = decisions.benign_only(rows.withColumn("row_id", F.xxhash64("mmsi", "trip_seq", "window_s")))
+    by = ["cls", "window_s"]
+    registry = keep(reduce(DataFrame.unionByName, [models.fit_models(benign, by, features, [family], min_rows=min_rows).withColumn("subspace", F.lit(k)) for k, features in _subspaces(extra).items()]))
+    scored = keep(score(rows, registry, family, extra))
     cal = scored.where("role = 'benign'")
     t = models.thresholds(cal.withColumn("score", F.col("core_score")), by, far_targets).withColumn("subspace", F.lit("core"))
     t = t.unionByName(models.thresholds(cal.withColumn("score", F.col("course_score")), by, far_targets).withColumn("subspace", F.lit("core_course")))
     return Fitted(registry, keep(t), scored)
 
 
+def freeze(fitted: Fitted, path: str, note: str = "") -> dict[str, str]:
+    """Models and thresholds below path, and their digests."""
+    return {k: models.save_registry(getattr(fitted, k), f"{path}/{k}", note) for k in ("registry", "thresholds")}
+
+
+def thaw(rows: DataFrame, path: str, digests: Mapping[str, str] | None = None, family: str = "mahalanobis", extra: Sequence[str] = ()) -> Fitted:
+    """What ``freeze`` wrote, checked against its digests, with rows scored by it: nothing is fitted again."""
+    registry, thresholds = (models.load_registry(rows.sparkSession, f"{path}/{k}", (digests or {}).get(k)) for k in ("registry", "thresholds"))
+    return Fitted(registry, thresholds, score(rows, registry, family, extra))
+
+
 def decide(fitted: Fitted, policy: DataFrame, far_target: float = 0.05, override: str | None = None) -> DataFrame:
     """One decision per trip: its longest complete window, scored under the envelope of its class."""
     rows = tracks.longest_complete(fitted.scored, ["mmsi", "trip_seq"], ["cls", "role", "split", "subspace", "score"])
