@@ -126,7 +126,7 @@ def per_row(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str
 
 # --- word hashing -------------------------------------------------------------------------------------------------
 
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _blank = np.zeros(256, bool)
@@ -154,7 +154,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (byte offsets) and 64-bit hash of each word; in spans of about 1 MB, cut at blanks."""
+    """Start, end (byte offsets) and 64-bit hash of each word; in spans of about 256 KB, cut at blanks."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         z = np.zeros(0, np.int64)
