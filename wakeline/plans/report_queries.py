@@ -94,10 +94,11 @@ def slugs(spark, sf_dir):
 
 
 def fast_straight(spark, sf_dir):
-    """Windows in the fast-and-straight band."""
+    """Windows in the fast-and-straight band, of features rounded as they are given out: a speed of 60 stays 60 where its
+    interpolation falls short of it by rounding."""
     w = tracks.last_windows(tracks.trip_sequence(points(spark, sf_dir), limits=LIMITS), WINDOWS, ("mmsi", "trip_seq"))
     w = w.withColumn("role", F.when(F.col("mmsi") % 2 == 0, "benign").otherwise("other"))
-    return w.where(decisions.fast_and_straight(60.0, 0.3)).select("mmsi", "trip_seq", "window_s")
+    return rounded(w).where(decisions.fast_and_straight(60.0, 0.3)).select("mmsi", "trip_seq", "window_s")
 
 
 def window_choice(spark, sf_dir):
