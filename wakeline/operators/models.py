@@ -1,7 +1,7 @@
 """One-class models of normal behavior, fitted per group, kept in a registry table and scored in Arrow batches.
 
 Fitting draws a bounded sample of each group (``max_rows``, by a hash order) and runs one group per task with
-applyInPandas; the registry (a row per group with arrays) stays small and is sent to the scoring tasks whole. Scoring
+applyInPandas, of mixtures one start per task; the registry (a row per group with arrays) stays small and is sent to the scoring tasks whole. Scoring
 reads all rows, without a shuffle. No pickles: a model is its numbers.
 """
 
@@ -26,6 +26,8 @@ REG, ITERATIONS, STARTS, SEED = 1e-6, 200, 3, 1337
 KNEE_NATS = 0.5
 FAR_TARGETS = (0.01, 0.05, 0.1)
 TREES, SUBSAMPLE = 200, 256
+BLOCK = 1024
+SPREAD = 32
 MIN_ROWS = 50
 MAX_MODELS = 50_000
 REGISTRY = "family string, n_train long, model string"
@@ -58,11 +60,13 @@ def shrunk(s: np.ndarray, fourth: float, n: int) -> tuple[np.ndarray, float]:
 
 
 def _log_gauss(x: np.ndarray, means: np.ndarray, chol: np.ndarray) -> np.ndarray:
-    """Log densities, rows by components; chol: lower factors of the covariances."""
+    """Log densities, rows by components; chol: lower factors of the covariances. In blocks of rows that stay in a cache."""
     out = np.empty((len(x), len(means)))
     for k, (m, c) in enumerate(zip(means, chol, strict=True)):
-        z = np.linalg.solve(c, (x - m).T)
-        out[:, k] = -0.5 * ((z**2).sum(axis=0) + len(m) * np.log(2 * np.pi)) - np.log(np.diag(c)).sum()
+        turn, rest = np.linalg.inv(c).T, len(m) * np.log(2 * np.pi) / 2 + np.log(np.diag(c)).sum()
+        for i in range(0, len(x), BLOCK):
+            z = (x[i : i + BLOCK] - m) @ turn
+            out[i : i + BLOCK, k] = -0.5 * np.einsum("ij,ij->i", z, z) - rest
     return out
 
 
@@ -71,31 +75,54 @@ def log_sum_exp(a: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=1, keepdims=True)))[:, 0]
 
 
+def _scatter(x: np.ndarray, share: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sum of outer products of the rows' deviations from a mean, by shares."""
+    out, root = np.zeros((x.shape[1], x.shape[1])), np.sqrt(share)[:, None]
+    for i in range(0, len(x), BLOCK):
+        z = (x[i : i + BLOCK] - mean) * root[i : i + BLOCK]
+        out += z.T @ z
+    return out
+
+
+def begin_mixture(x: np.ndarray, k: int, start: int, seed: int = SEED) -> np.ndarray:
+    """The nearest of the k-means++ centres of a start, for each row. The starts draw from one sequence, one after another."""
+    rng = np.random.default_rng(seed)
+    for _ in range(start + 1):
+        gap = nearest = None
+        for j in range(k):
+            c = x[rng.choice(len(x), p=gap / gap.sum()) if j and gap.sum() > 0 else rng.integers(len(x))]
+            away = ((x - c) ** 2).sum(axis=1)
+            nearest = np.zeros(len(x), int) if gap is None else np.where(away < gap, j, nearest)
+            gap = away if gap is None else np.minimum(gap, away)
+    return nearest
+
+
+def run_mixture(x: np.ndarray, k: int, start: int, seed: int = SEED) -> dict:
+    """Full-covariance Gaussian mixture by EM from one start."""
+    resp, last = np.eye(k)[begin_mixture(x, k, start, seed)], -np.inf
+    for _ in range(ITERATIONS):
+        weight = resp.sum(axis=0) + 10 * np.finfo(float).eps
+        means = resp.T @ x / weight[:, None]
+        cov = np.stack([_scatter(x, resp[:, j], means[j]) / weight[j] + REG * np.eye(x.shape[1]) for j in range(k)])
+        chol = np.linalg.cholesky(cov)
+        joint = _log_gauss(x, means, chol) + np.log(weight / weight.sum())
+        total = log_sum_exp(joint)
+        resp = np.exp(joint - total[:, None])
+        now = total.mean()
+        if abs(now - last) < 1e-3:
+            break
+        last = now
+    return {"ll": float(now), "weights": (weight / weight.sum()).tolist(), "means": means.tolist(), "chol": chol.tolist()}
+
+
+def starts_of(k: int, starts: int = STARTS) -> range:
+    """One component is the same from every start."""
+    return range(starts if k > 1 else 1)
+
+
 def fit_mixture(x: np.ndarray, k: int, seed: int = SEED, starts: int = STARTS) -> dict:
-    """Full-covariance Gaussian mixture by EM; the best of several k-means++ starts."""
-    rng, best, d = np.random.default_rng(seed), None, x.shape[1]
-    for _ in range(starts):
-        centre = [x[rng.integers(len(x))]]
-        for _ in range(k - 1):
-            gap = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
-            centre.append(x[rng.choice(len(x), p=gap / gap.sum())] if gap.sum() > 0 else x[rng.integers(len(x))])
-        nearest = np.argmin([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
-        resp, last = np.eye(k)[nearest], -np.inf
-        for _ in range(ITERATIONS):
-            weight = resp.sum(axis=0) + 10 * np.finfo(float).eps
-            means = resp.T @ x / weight[:, None]
-            cov = np.stack([(resp[:, j, None] * (x - means[j])).T @ (x - means[j]) / weight[j] + REG * np.eye(d) for j in range(k)])
-            chol = np.linalg.cholesky(cov)
-            joint = _log_gauss(x, means, chol) + np.log(weight / weight.sum())
-            total = log_sum_exp(joint)
-            resp = np.exp(joint - total[:, None])
-            now = total.mean()
-            if abs(now - last) < 1e-3:
-                break
-            last = now
-        if best is None or now > best["ll"]:
-            best = {"ll": float(now), "weights": (weight / weight.sum()).tolist(), "means": means.tolist(), "chol": chol.tolist()}
-    return best
+    """The best of several starts."""
+    return max((run_mixture(x, k, s, seed) for s in starts_of(k, starts)), key=lambda m: m["ll"])
 
 
 def select_mixture(train: np.ndarray, val: np.ndarray, sweep: Sequence[int] = COMPONENTS, tol: float = KNEE_NATS) -> dict:
@@ -104,10 +131,19 @@ def select_mixture(train: np.ndarray, val: np.ndarray, sweep: Sequence[int] = CO
     for k in sweep:
         if k <= len(train):
             m = fit_mixture(train, k)
-            fits.append((k, float(-mixture_score(val if len(val) else train, m).mean()), m))
-    top = max(ll for _, ll, _ in fits)
-    k, ll, m = next(f for f in fits if f[1] >= top - tol)
-    return m | {"k": k, "val_ll": ll}
+            fits.append((k, held_out(train, val, m), m))
+    k, ll = knee([(k, ll) for k, ll, _ in fits], tol)
+    return next(m for j, _, m in fits if j == k) | {"k": k, "val_ll": ll}
+
+
+def held_out(train: np.ndarray, val: np.ndarray, m: dict) -> float:
+    return float(-mixture_score(val if len(val) else train, m).mean())
+
+
+def knee(fits: Sequence[tuple[int, float]], tol: float = KNEE_NATS) -> tuple[int, float]:
+    """The first (k, log-likelihood) within tol of the best."""
+    top = max(ll for _, ll in fits)
+    return next(f for f in fits if f[1] >= top - tol)
 
 
 def mixture_score(x: np.ndarray, m: dict) -> np.ndarray:
@@ -211,19 +247,63 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
     unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
     rows = rows.join(tables.small(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    d, chosen, keys = len(features), list(families), list(by)
+    d, keys, made = len(features), list(by), [] if exact is None else [exact]
+    if "mixture" in families:
+        made.append(mixtures(rows, by, split, order, d, min_rows))
+    chosen = [f for f in families if f != "mixture"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        train, val = (np.array(pdf.loc[pdf[split] == s, "_x"].tolist(), float).reshape(-1, d) for s in ("train", "val"))
+        train, val = _sides(pdf, split, order, d)
         out = []
         if len(train) >= min_rows:
             for f in chosen:
                 out.append([*pdf.iloc[0][keys], f, len(train), json.dumps(fit_family(f, train, val))])
         return pd.DataFrame(out, columns=[*keys, "family", "n_train", "model"])
 
-    fitted = rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}")
-    return fitted if exact is None else fitted.unionByName(exact)
+    if chosen:
+        made.append(rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}"))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _sides(pdf: pd.DataFrame, split: str, order: str, d: int) -> list[np.ndarray]:
+    """Training and validation rows of a group, in order."""
+    pdf = pdf.sort_values(order, kind="stable")
+    return [np.array(pdf.loc[pdf[split] == s, "_x"].tolist(), float).reshape(-1, d) for s in ("train", "val")]
+
+
+def mixture_fits(rows: DataFrame, by: Sequence[str], split: str, order: str, d: int, min_rows: int) -> DataFrame:
+    """(by, k, start, n_train, ll, val_ll, model): the mixtures that ``fit_family`` chooses from, each in a task of its own.
+    A task gets the rows of its group; groups are dealt over SPREAD tasks per start, and those of most components begin first."""
+    jobs, keys = [(k, s) for k in sorted(COMPONENTS, reverse=True) for s in starts_of(k)], list(by)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (k, start), (train, val), out = jobs[pdf["_job"].iloc[0]], _sides(pdf, split, order, d), []
+        if len(train) >= max(min_rows, k):
+            mean, std = scaler(train)
+            a, b = (train - mean) / std, (val - mean) / std
+            m = run_mixture(a, k, start)
+            m |= {"k": k, "val_ll": held_out(a, b, m), "family": "mixture", "mean": mean.tolist(), "std": std.tolist()}
+            out.append([*pdf.iloc[0][keys], k, start, len(train), m["ll"], m["val_ll"], json.dumps(m)])
+        return pd.DataFrame(out, columns=[*keys, "k", "start", "n_train", "ll", "val_ll", "model"])
+
+    each = rows.select(*by, split, order, "_x", F.explode(F.array(*[F.lit(j) for j in range(len(jobs))])).alias("_job"))
+    each = each.withColumn("_task", (F.col("_job") * SPREAD + F.pmod(F.xxhash64(*by), F.lit(SPREAD))).cast("int"))
+    each = each.repartitionById(SPREAD * len(jobs), F.col("_task"))
+    return each.groupBy(*by, "_job", "_task").applyInPandas(run, f"{kinds}, k int, start int, n_train long, ll double, val_ll double, model string")
+
+
+def mixtures(rows: DataFrame, by: Sequence[str], split: str, order: str, d: int, min_rows: int) -> DataFrame:
+    """Registry of mixtures: the best start of each number of components, then ``knee``."""
+    keys, kinds = list(by), ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "start"], ignore_index=True)
+        best = pdf.loc[pdf.groupby("k")["ll"].idxmax()]
+        k, _ = knee(list(zip(best["k"], best["val_ll"], strict=True)))
+        return best[best["k"] == k].assign(family="mixture")[[*keys, "family", "n_train", "model"]]
+
+    return mixture_fits(rows, by, split, order, d, min_rows).groupBy(*by).applyInPandas(choose, f"{kinds}, {REGISTRY}")
 
 
 def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> DataFrame:
