@@ -1,24 +1,28 @@
 """One-class models of normal behavior, fitted per group, kept in a registry table and scored in Arrow batches.
 
-Fitting draws a bounded sample of each group (``max_rows``, by a hash order) and runs one group per task with
-applyInPandas, of mixtures one start per task; the registry (a row per group with arrays) stays small and is sent to the scoring tasks whole. Scoring
-reads all rows, without a shuffle. No pickles: a model is its numbers.
+Mahalanobis models and mixtures are fitted on all rows: the former from sums, the latter with one start per task where a
+group fits a task (``max_rows``), else in passes over an ordered table. Forests, which draw SUBSAMPLE rows a tree, draw
+them from a bounded sample of each group (``max_rows``, by a hash order), one group per task. The registry (a row per group with
+arrays) stays small and is sent to the scoring tasks whole. Scoring reads all rows, without a shuffle. No pickles: a model is its numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables
+from ..session import checkpoint
 
 # Fixed values of the model configuration.
 COMPONENTS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
@@ -28,9 +32,11 @@ FAR_TARGETS = (0.01, 0.05, 0.1)
 TREES, SUBSAMPLE = 200, 256
 BLOCK = 1024
 SPREAD = 32
+CELLS, SENT, PART = 1 << 21, 32 << 20, 64 << 20
 MIN_ROWS = 50
 MAX_MODELS = 50_000
 REGISTRY = "family string, n_train long, model string"
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
 # --- fitting, in numpy ----------------------------------------------------------------------------------------------
@@ -233,8 +239,9 @@ def score_family(x: np.ndarray, m: dict) -> np.ndarray:
 def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], families: Sequence[str], split: str = "split", order: str = "row_id", min_rows: int = MIN_ROWS, max_rows: int = 20_000) -> DataFrame:
     """Registry: one row per group and family with at least min_rows training rows without missing features.
 
-    Mahalanobis models come from sums over all rows. For the other families at most max_rows rows per group and split,
-    about (those with the smallest hash of ``order``), reach the fitting task.
+    Mahalanobis models come from sums over all rows. Mixtures are fitted on all rows too: a group with at most max_rows rows
+    per split in tasks that hold it, a larger one in passes, with the same numbers. Of forests about max_rows rows per
+    group and split (those with the smallest hash of ``order``) reach the fitting task.
     """
     # one array: a filter over many columns makes the optimizer infer constraints for minutes
     rows = rows.where(F.col(split).isin("train", "val")).select(*by, split, order, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
@@ -243,14 +250,16 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
     families = [f for f in families if f != "mahalanobis"]
     if not families and exact is not None:
         return exact
-    counts = rows.groupBy(*by, split).count()
-    unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    rows = rows.join(tables.small(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     d, keys, made = len(features), list(by), [] if exact is None else [exact]
     if "mixture" in families:
-        made.append(mixtures(rows, by, split, order, d, min_rows))
+        made += mixtures_of_all(rows, by, split, order, d, min_rows, max_rows)
     chosen = [f for f in families if f != "mixture"]
+    if not chosen:
+        return reduce(DataFrame.unionByName, made)
+    counts = rows.groupBy(*by, split).count()
+    unit = (F.pmod(F.xxhash64(order), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    rows = rows.join(tables.small(counts), [*by, split]).where(unit < F.lit(float(max_rows)) / F.col("count"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         train, val = _sides(pdf, split, order, d)
@@ -260,9 +269,7 @@ def fit_models(rows: DataFrame, by: Sequence[str], features: Sequence[str], fami
                 out.append([*pdf.iloc[0][keys], f, len(train), json.dumps(fit_family(f, train, val))])
         return pd.DataFrame(out, columns=[*keys, "family", "n_train", "model"])
 
-    if chosen:
-        made.append(rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}"))
-    return reduce(DataFrame.unionByName, made)
+    return reduce(DataFrame.unionByName, [*made, rows.groupBy(*by).applyInPandas(run, f"{kinds}, {REGISTRY}")])
 
 
 def _sides(pdf: pd.DataFrame, split: str, order: str, d: int) -> list[np.ndarray]:
@@ -306,9 +313,275 @@ def mixtures(rows: DataFrame, by: Sequence[str], split: str, order: str, d: int,
     return mixture_fits(rows, by, split, order, d, min_rows).groupBy(*by).applyInPandas(choose, f"{kinds}, {REGISTRY}")
 
 
-def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> DataFrame:
-    """Registry of Mahalanobis models from (by, _x), what ``fit_family`` gives on all rows: means and deviations in one
-    pass, products and fourth powers of the standardised features, summed by partition and then by group, in a second."""
+def mixtures_of_all(rows: DataFrame, by: Sequence[str], split: str, order: str, d: int, min_rows: int, max_rows: int) -> list[DataFrame]:
+    """Registries of mixtures fitted on all rows: of the groups that fit a task, and of those with more than max_rows rows in a split."""
+    counts = rows.groupBy(*by).agg(F.count_if(F.col(split) == "train").alias("_t"), F.count_if(F.col(split) == "val").alias("_u"))
+    found = counts.where(F.greatest("_t", "_u") > max_rows).select(*by).limit(MAX_MODELS + 1).collect()
+    if len(found) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    if not found:
+        return [mixtures(rows, by, split, order, d, min_rows)]
+    large = F.broadcast(rows.sparkSession.createDataFrame(found, counts.select(*by).schema))
+    same = reduce(and_, [rows[c].eqNullSafe(large[c]) for c in by])
+    return [mixtures(rows.join(large, same, "left_anti"), by, split, order, d, min_rows), mixtures_in_passes(rows.join(large, same, "left_semi"), by, split, order, d, min_rows)]
+
+
+@dataclass
+class Fit:
+    """A start of a mixture that is fitted in passes."""
+
+    group: int
+    k: int
+    start: int
+    rng: np.random.Generator
+    centres: list[np.ndarray] = field(default_factory=list)
+    ll: float = -np.inf
+    val_ll: float = -np.inf
+    model: tuple = ()
+
+
+def products(x: np.ndarray) -> np.ndarray:
+    """Per row the products of its features (each pair once), the features and a 1: a Gaussian log density is linear in them,
+    and their sums by shares are all that a step of EM needs."""
+    n, d = x.shape
+    out, at = np.empty((n, d * (d + 1) // 2 + d + 1)), 0
+    for i in range(d):
+        np.multiply(x[:, i : i + 1], x[:, i:], out=out[:, at : at + d - i])
+        at += d - i
+    out[:, at:-1], out[:, -1] = x, 1.0
+    return out
+
+
+def mixture_of_sums(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and lower factors from the sums of ``products`` by shares, a row per component: as in ``run_mixture``."""
+    i, j = np.triu_indices(d)
+    square, first, share = np.empty((len(sums), d, d)), sums[:, -d - 1 : -1], sums[:, -1]
+    square[:, i, j] = square[:, j, i] = sums[:, : len(i)]
+    weight = share + 10 * np.finfo(float).eps
+    means = first / weight[:, None]
+    cross = means[:, :, None] * first[:, None, :]
+    square += share[:, None, None] * means[:, :, None] * means[:, None, :] - cross - cross.transpose(0, 2, 1)
+    return weight / weight.sum(), means, np.linalg.cholesky(square / weight[:, None, None] + REG * np.eye(d))
+
+
+def coefficients(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What ``products`` times gives the log of weight times density, a column per component."""
+    out = []
+    for w, m, c in zip(*model, strict=True):
+        turn = np.linalg.inv(c)
+        p = turn.T @ turn
+        i, j = np.triu_indices(len(m))
+        rest = np.log(w) - m @ p @ m / 2 - len(m) * np.log(2 * np.pi) / 2 - np.log(np.diag(c)).sum()
+        out.append(np.concatenate([np.where(i == j, -0.5, -1.0) * p[i, j], p @ m, [rest]]))
+    return np.array(out).T
+
+
+def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, rows by centres; what rounding leaves of a zero is a zero."""
+    size = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)
+    away = size - 2 * x @ centres.T
+    return np.where(away > 1e-13 * size, away, 0.0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int, mean: np.ndarray, std: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, part, standardised rows) from (_k, _p, _x), in order, in blocks whose ``products`` have about CELLS cells."""
+    step = max(1, CELLS // (d * (d + 3) // 2 + 1))
+    for b in batches:
+        group, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+        x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            for i in range(0, len(at), step):
+                rows = at[i : i + step]
+                yield int(g), int(part[rows[0]]), (x[rows] - mean[g]) / std[g]
+
+
+def mixtures_in_passes(rows: DataFrame, by: Sequence[str], split: str, order: str, d: int, min_rows: int) -> DataFrame:
+    """Registry of mixtures of groups that fit no task: what ``fit_family`` gives on all rows. Every centre and every step of EM
+    is a pass over the rows, which stay in a table in order, for as many starts at once as have SENT bytes of coefficients;
+    tasks return sums, and only these reach the driver."""
+    spark, keys = rows.sparkSession, list(by)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    found, mean, std, number = moments(rows.where(F.col(split) == "train"), by, d, min_rows)
+    if not found:
+        return spark.createDataFrame([], f"{kinds}, {REGISTRY}")
+    same = reduce(and_, [rows[c].eqNullSafe(number[c]) for c in by])
+    table = rows.join(F.broadcast(number), same).select("_k", (rows[split] == "val").alias("_v"), rows[order].alias("_o"), "_x")
+    n_val = {r._k: r["count"] for r in table.where("_v").groupBy("_k").count().collect()}
+    n = [r.n_train for r in found]
+    parts = max(2 * spark.sparkContext.defaultParallelism, (sum(n) + sum(n_val.values())) * d * 8 // PART)
+    table = table.repartitionByRange(parts, "_k", "_v", "_o").sortWithinPartitions("_k", "_v", "_o")
+    table = checkpoint(table.select("_k", "_v", F.spark_partition_id().alias("_p"), "_x"))
+    train, val = (table.where(c).select("_k", "_p", "_x") for c in ("not _v", "_v"))
+
+    def over(source: DataFrame, task: Callable, sent: dict, schema: str, total: Callable | None = None) -> list:
+        """Rows of ``task(blocks, sent)``, added up by their first column if there is a total. Only the groups, or groups
+        and parts, that are keys of sent are read."""
+        b = spark.sparkContext.broadcast((sent, mean, std))
+        shape = pa.schema([(c, ARROW[k]) for c, k in map(str.split, schema.split(", "))])
+
+        def run(batches):
+            what, m, s = b.value
+            for row in task(_blocks(batches, d, m, s), what):
+                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, row, strict=True))], shape)
+
+        groups, places = {k if isinstance(k, int) else k[0] for k in sent}, [k[1] for k in sent if not isinstance(k, int)]
+        source = source.where(F.col("_k").isin(groups) & (F.col("_p").isin(places) if places else F.lit(True)))
+        out = source.mapInArrow(run, schema)
+        got = (out if total is None else out.groupBy(shape.names[0]).applyInPandas(total, schema)).collect()
+        b.unpersist()
+        return got
+
+    jobs = [(g, k, s) for g in range(len(found)) for k in sorted(COMPONENTS, reverse=True) for s in starts_of(k) if k <= n[g]]
+    held, best, out, most = [], {}, [], SENT // 8 // (d * (d + 3) // 2 + 1)
+    for at, (g, k, s) in enumerate(jobs):
+        rng = np.random.default_rng(SEED)
+        for _ in range(s):  # the draws of the starts before
+            rng.integers(n[g]), rng.random(k - 1)
+        held.append(Fit(g, k, s, rng))
+        if at + 1 < len(jobs) and sum(f.k for f in held) + jobs[at + 1][1] <= most:
+            continue
+        _seed(held, n, lambda *a: over(train, *a))
+        _expect(held, n, n_val, d, lambda *a: over(train, *a), lambda *a: over(val, *a))
+        for f in held:
+            if (f.group, f.k) not in best or (f.ll, -f.start) > (best[f.group, f.k].ll, -best[f.group, f.k].start):
+                best[f.group, f.k] = f
+        held = []
+        done = jobs[at + 1][0] if at + 1 < len(jobs) else len(found)
+        for i in sorted({i for i, _ in best if i < done}):
+            fits = [best.pop((i, c)) for c in COMPONENTS if (i, c) in best]
+            c, _ = knee([(f.k, f.val_ll) for f in fits])
+            f = next(f for f in fits if f.k == c)
+            m = {"ll": f.ll, **{a: v.tolist() for a, v in zip(("weights", "means", "chol"), f.model, strict=True)}}
+            m |= {"k": c, "val_ll": f.val_ll, "family": "mixture", "mean": mean[i].tolist(), "std": std[i].tolist()}
+            out.append((*[found[i][a] for a in keys], "mixture", n[i], json.dumps(m)))
+    return spark.createDataFrame(out, f"{kinds}, {REGISTRY}")
+
+
+def _seed(fits: list[Fit], n: Sequence[int], over: Callable) -> None:
+    """k-means++ centres as ``begin_mixture`` draws them: a pass adds up what each part of the table weighs, a second one
+    takes the row at the drawn place of its part."""
+
+    def weigh(blocks, sent):
+        held: dict = {}
+        for g, p, x in blocks:
+            c, q = held.get((g, p), (0, 0.0))
+            held[g, p] = c + len(x), q + np.array([_gap(x, sent[g][i]).sum() for i in sent[g]])
+        yield from ((g, p, c, q.tobytes()) for (g, p), (c, q) in held.items())
+
+    def take(blocks, sent):
+        passed, last = {}, {}
+        for g, p, x in blocks:
+            for i, (centres, place) in sent.get((g, p), {}).items():
+                run = passed.get(i, 0.0) + np.cumsum(gap := _gap(x, centres))
+                if passed.get(i, 0.0) <= place and gap.any():
+                    j = np.searchsorted(run, place, side="right")
+                    last[i] = x[j if j < len(x) else np.flatnonzero(gap)[-1]].copy()
+                passed[i] = run[-1]
+        yield from ((i, x.tobytes()) for i, x in last.items())
+
+    while todo := [i for i, f in enumerate(fits) if len(f.centres) < f.k]:
+        sent: dict = {}
+        for i in todo:
+            sent.setdefault(fits[i].group, {})[i] = np.array(fits[i].centres)
+        parts = sorted(over(weigh, sent, "g int, p int, n long, q binary"), key=lambda r: (r.g, r.p))
+        wanted: dict = {}
+        for g, of in sent.items():
+            here = [r for r in parts if r.g == g]
+            for col, (i, centres) in enumerate(of.items()):
+                weight = np.array([np.frombuffer(r.q)[col] for r in here])
+                if len(centres) and weight.sum() > 0:
+                    place = fits[i].rng.random() * weight.sum()
+                else:
+                    place, weight, centres = fits[i].rng.integers(n[g]), np.array([float(r.n) for r in here]), centres[:0]
+                ends = np.cumsum(weight)
+                j = min(int(np.searchsorted(ends, place, side="right")), int(np.flatnonzero(weight)[-1]))
+                wanted.setdefault((g, here[j].p), {})[i] = centres, place - (ends[j] - weight[j])
+        for r in over(take, wanted, "i int, x binary"):
+            fits[r.i].centres.append(np.frombuffer(r.x))
+
+
+def _gap(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest centre; 1 without any."""
+    return squares(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
+
+
+def _expect(fits: list[Fit], n: Sequence[int], n_val: Mapping[int, int], d: int, over: Callable, over_val: Callable) -> None:
+    """EM from the centres, as ``run_mixture``, then the held-out log-likelihoods."""
+
+    def begin(blocks, sent):
+        held: dict = {}
+        for g, _, x in blocks:
+            p = products(x)
+            for i, centres in sent[g].items():
+                held[i] = held.get(i, 0.0) + np.eye(len(centres))[squares(x, centres).argmin(axis=1)].T @ p
+        yield from ((i, 0.0, q.tobytes()) for i, q in held.items())
+
+    def step(blocks, sent):
+        held: dict = {}
+        for g, _, x in blocks:
+            _, at, size, log = sent[g]
+            p = products(x)
+            joint = p @ log
+            top = np.maximum.reduceat(joint, at, axis=1)
+            joint = np.exp(joint - np.repeat(top, size, axis=1))
+            total = np.add.reduceat(joint, at, axis=1)
+            joint /= np.repeat(total, size, axis=1)
+            ll, q = held.get(g, (0.0, 0.0))
+            held[g] = ll + (top + np.log(total)).sum(axis=0), q + joint.T @ p
+        for g, (ll, q) in held.items():
+            ids, at, size, _ = sent[g]
+            yield from ((i, float(v), q[a : a + k].tobytes()) for i, v, a, k in zip(ids, ll, at, size, strict=True))
+
+    def judge(blocks, sent):
+        held: dict = {}
+        for g, _, x in blocks:
+            _, at, size, log = sent[g]
+            joint = products(x) @ log
+            top = np.maximum.reduceat(joint, at, axis=1)
+            total = np.add.reduceat(np.exp(joint - np.repeat(top, size, axis=1)), at, axis=1)
+            held[g] = held.get(g, 0.0) + (top + np.log(total)).sum(axis=0)
+        for g, ll in held.items():
+            yield from ((i, float(v), np.zeros(1).tobytes()) for i, v in zip(sent[g][0], ll, strict=True))
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = sum(np.frombuffer(b) for b in pdf["q"])
+        return pd.DataFrame([(pdf["i"].iloc[0], pdf["ll"].sum(), q.tobytes())], columns=["i", "ll", "q"])
+
+    def sent_of(of: list[int]) -> dict:
+        out = {}
+        for g in sorted({fits[i].group for i in of}):
+            ids = [i for i in of if fits[i].group == g]
+            size = [fits[i].k for i in ids]
+            out[g] = ids, np.cumsum([0, *size[:-1]]), size, np.concatenate([coefficients(fits[i].model) for i in ids], axis=1)
+        return out
+
+    schema, live = "i int, ll double, q binary", list(range(len(fits)))
+    begun: dict = {}
+    for i in live:
+        begun.setdefault(fits[i].group, {})[i] = np.array(fits[i].centres)
+    got = over(begin, begun, schema, added)
+    for _ in range(ITERATIONS):
+        for r in got:
+            fits[r.i].model = mixture_of_sums(np.frombuffer(r.q).reshape(fits[r.i].k, -1), d)
+        got, live = over(step, sent_of(live), schema, added), []
+        for r in got:
+            f = fits[r.i]
+            last, f.ll = f.ll, r.ll / n[f.group]
+            if not abs(f.ll - last) < 1e-3:
+                live.append(r.i)
+        got = [r for r in got if r.i in live]
+        if not live:
+            break
+    for f in fits:
+        f.val_ll = f.ll
+    if judged := [i for i, f in enumerate(fits) if n_val.get(f.group)]:
+        for r in over_val(judge, sent_of(judged), schema, added):
+            fits[r.i].val_ll = r.ll / n_val[fits[r.i].group]
+
+
+def moments(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> tuple[list, np.ndarray, np.ndarray, DataFrame]:
+    """The groups of (by, _x) with min_rows rows, their means and deviations (1 if constant), and a table that numbers them."""
     stats = [f(F.get("_x", F.lit(i))).alias(f"_{p}{i}") for i in range(d) for p, f in (("m", F.avg), ("s", F.stddev_pop))]
     groups = rows.groupBy(*by).agg(F.count("*").alias("n_train"), *stats).where(F.col("n_train") >= min_rows)
     found = groups.limit(MAX_MODELS + 1).collect()
@@ -316,9 +589,15 @@ def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> Data
         raise ValueError(f"more than {MAX_MODELS} models")
     mean = np.array([[r[f"_m{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
     std = np.array([[r[f"_s{i}"] for i in range(d)] for r in found], float).reshape(-1, d)
-    std = np.where(std > 0, std, 1.0)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     number = rows.sparkSession.createDataFrame([(*[r[c] for c in by], k, r.n_train) for k, r in enumerate(found)], f"{kinds}, _k int, n_train long")
+    return found, mean, np.where(std > 0, std, 1.0), number
+
+
+def gaussians(rows: DataFrame, by: Sequence[str], d: int, min_rows: int) -> DataFrame:
+    """Registry of Mahalanobis models from (by, _x), what ``fit_family`` gives on all rows: means and deviations in one
+    pass, products and fourth powers of the standardised features, summed by partition and then by group, in a second."""
+    found, mean, std, number = moments(rows, by, d, min_rows)
     same = [rows[c].eqNullSafe(number[c]) for c in by]
 
     def sums(batches):
